@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("panels",)
+MODULES = ("panels", "cross_section", "expressions")
 
 
 def _load():

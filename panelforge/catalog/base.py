@@ -11,6 +11,7 @@ from panelforge.functions.expressions import parse, temporal_pairs
 from panelforge.operators.calendar import PanelShape, measure, trading_calendar
 from panelforge.operators.labels import add_labels
 from panelforge.operators.ranks import widest_group
+from panelforge.session import materialize
 from panelforge.sources import panel as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,21 +61,30 @@ def register(name: str, sql: str | None = None):
 
 # --- Spark inputs ------------------------------------------------------------------------
 
+_PANELS: dict[tuple[str, str], DataFrame] = {}
+_CALENDARS: dict[tuple[str, str], DataFrame] = {}
 _SHAPES: dict[tuple[str, str], PanelShape] = {}
 
 
-def main_shape(spark: SparkSession, folder: str) -> PanelShape:
-    """Measured once per folder; queries on the main panel plan from it."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _SHAPES:
-        _SHAPES[key] = measure(sources.supplier_week(spark, folder))
-    return _SHAPES[key]
+def _key(spark: SparkSession, folder: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, folder
 
 
 def main_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """supplier × week with the rounded forward return."""
-    df = sources.with_forward_return(sources.supplier_week(spark, folder), "px", HORIZON, LABEL)
-    return df.withColumn(LABEL, fixed(F.col(LABEL), 6))
+    """supplier × week with the forward return, prepared once per session as Parquet."""
+    key = _key(spark, folder)
+    if key not in _PANELS:
+        df = sources.with_forward_return(sources.supplier_week(spark, folder), "px", HORIZON, LABEL)
+        _PANELS[key] = materialize(df.withColumn(LABEL, fixed(F.col(LABEL), 4)))
+    return _PANELS[key]
+
+
+def main_shape(spark: SparkSession, folder: str) -> PanelShape:
+    """Measured once per prepared panel; queries on it plan from these bounds."""
+    key = _key(spark, folder)
+    if key not in _SHAPES:
+        _SHAPES[key] = measure(main_panel(spark, folder))
+    return _SHAPES[key]
 
 
 def labelled_panel(spark: SparkSession, folder: str, *, position: bool = False) -> DataFrame:
@@ -83,7 +93,11 @@ def labelled_panel(spark: SparkSession, folder: str, *, position: bool = False)
 
 
 def main_calendar(spark: SparkSession, folder: str) -> DataFrame:
-    return trading_calendar(sources.supplier_week(spark, folder))
+    """The calendar of the prepared panel, written once beside it."""
+    key = _key(spark, folder)
+    if key not in _CALENDARS:
+        _CALENDARS[key] = materialize(trading_calendar(main_panel(spark, folder)).coalesce(1))
+    return _CALENDARS[key]
 
 
 def r(column, digits: int = 10):
@@ -122,7 +136,7 @@ SERIES = "PARTITION BY entity ORDER BY trade_date"
 
 MAIN_SQL = PANEL_SQL + f""",
 main AS (
-  SELECT *, {fixed_sql(f'lead(px, {HORIZON}) OVER ({SERIES}) / px - 1e0')} AS {LABEL} FROM panel)"""
+  SELECT *, {fixed_sql(f'lead(px, {HORIZON}) OVER ({SERIES}) / px - 1e0', 4)} AS {LABEL} FROM panel)"""
 
 
 def avg_rank_sql(value: str, part: str, *, pct: bool = True) -> str:

@@ -139,7 +139,7 @@ def to_long(wide: DataFrame, names: Iterable[str], keep: Iterable[str] = ()) ->
 # --- jobs over a table with a canonical-text column -------------------------------------
 
 _TOKEN = r'"[^"]*"'
-_LEAF = r'(?<!\[)"([^"]*)"'
+_OPERATOR_OR_LEAF = r'\["[^"]*"|"([^"]*)"'  # group 1 is empty for an operator
 _TEMPORAL_ALTERNATIVES = "|".join(TEMPORAL)
 
 
@@ -172,7 +172,8 @@ def valid_column(expression: Column) -> Column:
 
 
 def leaves_column(expression: Column) -> Column:
-    return F.regexp_extract_all(expression, F.lit(_LEAF), F.lit(1))
+    found = F.regexp_extract_all(expression, F.lit(_OPERATOR_OR_LEAF), F.lit(1))
+    return F.filter(found, lambda name: name != "")
 
 
 def profile_expressions(table: DataFrame, column: str = "expression") -> DataFrame:

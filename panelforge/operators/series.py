@@ -31,52 +31,50 @@ def led(x: Column, rows: int) -> Column:
     return F.lead(x, rows).over(_SERIES)
 
 
-def delta(x: Column, rows: int = 5) -> Column:
-    return x - lagged(x, rows)
-
-
-def slope_5(x: Column) -> Column:
-    """Least-squares slope over the last five rows; NULL if a used row is missing."""
-    return (x * 2.0 + lagged(x, 1) - lagged(x, 3) - lagged(x, 4) * 2.0) / F.lit(10.0)
-
-
-def rolling_mean(x: Column, rows: int, least: int) -> Column:
-    return F.when(F.count(x).over(_last(rows)) >= least, F.avg(x).over(_last(rows)))
-
-
-def rolling_std(x: Column, rows: int, least: int) -> Column:
-    return F.when(F.count(x).over(_last(rows)) >= least, F.stddev_samp(x).over(_last(rows)))
-
-
 def rolling_sum(x: Column, rows: int) -> Column:
     return F.sum(x).over(_last(rows))
 
 
-def rolling_zscore(x: Column, rows: int = 20, least: int = 5) -> Column:
-    spread = rolling_std(x, rows, least)
-    return F.when(spread > F.lit(FLAT), (x - rolling_mean(x, rows, least)) / spread)
+# Window primitives: each is computed once per feature, whatever formulas share it.
+_WINDOWS = {
+    "lag1": lambda x: lagged(x, 1),
+    "lag3": lambda x: lagged(x, 3),
+    "lag4": lambda x: lagged(x, 4),
+    "lag5": lambda x: lagged(x, 5),
+    "n5": lambda x: F.count(x).over(_last(5)),
+    "mean5": lambda x: F.avg(x).over(_last(5)),
+    "n20": lambda x: F.count(x).over(_last(20)),
+    "mean20": lambda x: F.avg(x).over(_last(20)),
+    "std20": lambda x: F.stddev_samp(x).over(_last(20)),
+    "seen20": lambda x: F.collect_list(x).over(_last(20)),  # at most 20 values, NULLs dropped
+}
+
+
+def _slope(x: Column, w: dict[str, Column]) -> Column:
+    """Least-squares slope over the last five rows; NULL if a used row is missing."""
+    return (x * 2.0 + w["lag1"] - w["lag3"] - w["lag4"] * 2.0) / F.lit(10.0)
 
 
-def rolling_rank(x: Column, rows: int = 20, least: int = 5) -> Column:
-    """Average-tie percentile rank of the current value among its last ``rows`` values."""
-    seen = F.collect_list(x).over(_last(rows))  # at most ``rows`` values, NULLs dropped
-    below = F.size(F.filter(seen, lambda v: v < x))
-    equal = F.size(F.filter(seen, lambda v: v == x))
-    rank = (below + (equal + 1) / F.lit(2.0)) / F.size(seen)
-    return F.when(x.isNotNull() & (F.size(seen) >= least), rank)
+def _recent_rank(x: Column, w: dict[str, Column]) -> Column:
+    """Average-tie percentile rank of the current value among its last values."""
+    size = F.size(w["seen20"])
+    below = F.size(F.filter(w["seen20"], lambda v: v < x))
+    equal = F.size(F.filter(w["seen20"], lambda v: v == x))
+    return F.when(x.isNotNull() & (size >= 5), (below + (equal + 1) / F.lit(2.0)) / size)
 
 
-def temporal(name: str, x: Column) -> Column:
-    x = x.cast("double")
-    made = {
-        "delta_5": lambda: delta(x),
-        "slope_5": lambda: slope_5(x),
-        "mean_5": lambda: rolling_mean(x, 5, 3),
-        "std_20": lambda: rolling_std(x, 20, 5),
-        "zscore_20": lambda: rolling_zscore(x),
-        "ts_rank_20": lambda: rolling_rank(x),
-    }[name]()
-    return missing_if_infinite(made)
+# Operator -> (window primitives, formula over the feature and those columns).
+_FORMULAS = {
+    "delta_5": (("lag5",), lambda x, w: x - w["lag5"]),
+    "slope_5": (("lag1", "lag3", "lag4"), _slope),
+    "mean_5": (("n5", "mean5"), lambda x, w: F.when(w["n5"] >= 3, w["mean5"])),
+    "std_20": (("n20", "std20"), lambda x, w: F.when(w["n20"] >= 5, w["std20"])),
+    "zscore_20": (
+        ("n20", "mean20", "std20"),
+        lambda x, w: F.when((w["n20"] >= 5) & (w["std20"] > F.lit(FLAT)), (x - w["mean20"]) / w["std20"]),
+    ),
+    "ts_rank_20": (("seen20",), _recent_rank),
+}
 
 
 def temporal_column(name: str, feature: str) -> str:
@@ -84,8 +82,20 @@ def temporal_column(name: str, feature: str) -> str:
 
 
 def with_temporals(panel: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
-    """Add one column per (operator, feature); needs the full history of every entity."""
+    """Add one column per (operator, feature); needs the full history of every entity.
+
+    All windows share one partitioning and sort, so any number of pairs costs one exchange.
+    """
     wanted = sorted(set(pairs))
-    return panel.select(
-        "*", *[temporal(op, F.col(f)).alias(temporal_column(op, f)) for op, f in wanted]
+    if not wanted:
+        return panel
+    made = {(w, f) for op, f in wanted for w in _FORMULAS[op][0]}
+    windows = panel.select(
+        "*", *[_WINDOWS[w](F.col(f).cast("double")).alias(f"__{w}__{f}") for w, f in sorted(made)]
     )
+    columns = []
+    for op, feature in wanted:
+        needs, formula = _FORMULAS[op]
+        value = formula(F.col(feature).cast("double"), {w: F.col(f"__{w}__{feature}") for w in needs})
+        columns.append(missing_if_infinite(value).alias(temporal_column(op, feature)))
+    return windows.select(*panel.columns, *columns)

@@ -58,13 +58,11 @@ def rebalance_calendar(calendar: DataFrame, start: str, end: str, update: int) -
     Positions are consecutive, so the block number is arithmetic on the position.
     """
     test = calendar.where(F.col("trade_date").between(start, end))
-    first = test.agg(F.min("position").alias("first"))
-    block = F.floor((F.col("position") - F.col("first")) / F.lit(update))
-    numbered = test.crossJoin(F.broadcast(first)).withColumn("block", block)  # one-row side
-    heads = numbered.groupBy("block").agg(
-        F.min("trade_date").alias("rebalance_date"), F.min("position").alias("rebalance_position")
-    )
-    return numbered.join(F.broadcast(heads), "block").select(
+    first = F.broadcast(test.agg(F.min("position").alias("first")))  # one row
+    step = F.floor((F.col("position") - F.col("first")) / F.lit(update)) * update
+    placed = test.crossJoin(first).withColumn("rebalance_position", (F.col("first") + step).cast("int"))
+    heads = calendar.select(F.col("trade_date").alias("rebalance_date"), F.col("position").alias("rebalance_position"))
+    return placed.join(F.broadcast(heads), "rebalance_position").select(
         "trade_date", "position", "rebalance_date", "rebalance_position"
     )
 
@@ -79,7 +77,7 @@ def history_windows(
     unless ``require_full`` is off. The needed positions are generated and matched by
     equality, so no range join is planned.
     """
-    heads = blocks.select("rebalance_date", "rebalance_position").distinct()
+    heads = blocks.where(F.col("trade_date") == F.col("rebalance_date"))
     newest = F.col("rebalance_position") - F.lit(horizon + 1)
     oldest = newest - F.lit(lookback - 1)
     if require_full:
@@ -91,7 +89,7 @@ def history_windows(
         newest.alias("newest"),
         F.explode(F.sequence(F.greatest(F.lit(0), oldest), newest)).alias("position"),
     )
-    return wanted.join(calendar, "position").select(
+    return wanted.join(F.broadcast(calendar), "position").select(
         "rebalance_date", "trade_date", (F.col("newest") - F.col("position")).alias("age")
     )
 
