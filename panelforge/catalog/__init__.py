@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("panels", "cross_section", "expressions")
+MODULES = ("panels", "cross_section", "expressions", "quality")
 
 
 def _load():

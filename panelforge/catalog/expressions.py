@@ -134,18 +134,18 @@ def expressions_deduplicated(spark, folder):
     return unseen(table, table.where("part_key % 3 = 0"))
 
 
-_WIDE_ROUND = ", ".join(f"round({n}, 8) + 0e0 AS {n}" for n in NAMES)
+_WIDE_ROUND = ", ".join(f"{n} + 0e0 AS {n}" for n in NAMES)
 
 
 @register("evaluate_wide", with_sql(MAIN_SQL, factors_sql("main"), select=f"SELECT entity, trade_date, {_WIDE_ROUND} FROM wide"))
 def evaluate_wide(spark, folder):
-    return rounded(ex.evaluate_expressions(main_panel(spark, folder), LIBRARY, digits=DIGITS), NAMES, 8)
+    return rounded(ex.evaluate_expressions(main_panel(spark, folder), LIBRARY, digits=DIGITS), NAMES, 9)
 
 
-@register("evaluate_long", with_sql(MAIN_SQL, factors_sql("main"), long_sql(), select="SELECT factor, entity, trade_date, round(value, 8) + 0e0 AS value FROM long"))
+@register("evaluate_long", with_sql(MAIN_SQL, factors_sql("main"), long_sql(), select="SELECT factor, entity, trade_date, value FROM long"))
 def evaluate_long(spark, folder):
     wide = ex.evaluate_expressions(main_panel(spark, folder), LIBRARY, digits=DIGITS)
-    return rounded(ex.to_long(wide, NAMES), ["value"], 8)
+    return rounded(ex.to_long(wide, NAMES), ["value"], 9)
 
 
 @register(
