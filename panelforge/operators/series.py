@@ -16,19 +16,20 @@ from panelforge.functions.scalar import missing_if_infinite
 TEMPORAL = ("delta_5", "slope_5", "mean_5", "std_20", "zscore_20", "ts_rank_20")
 FLAT = 1e-12
 
-_SERIES = Window.partitionBy("entity").orderBy("trade_date")
+def _series():
+    return Window.partitionBy("entity").orderBy("trade_date")
 
 
 def _last(rows: int):
-    return _SERIES.rowsBetween(1 - rows, 0)
+    return _series().rowsBetween(1 - rows, 0)
 
 
 def lagged(x: Column, rows: int) -> Column:
-    return F.lag(x, rows).over(_SERIES)
+    return F.lag(x, rows).over(_series())
 
 
 def led(x: Column, rows: int) -> Column:
-    return F.lead(x, rows).over(_SERIES)
+    return F.lead(x, rows).over(_series())
 
 
 def rolling_sum(x: Column, rows: int) -> Column:
