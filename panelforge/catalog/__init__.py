@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("panels", "cross_section", "expressions", "quality", "walk", "evaluation")
+MODULES = ("panels", "cross_section", "expressions", "quality", "walk", "evaluation", "models")
 
 
 def _load():
