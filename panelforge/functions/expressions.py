@@ -13,20 +13,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions import scalar
 from panelforge.operators.series import TEMPORAL, temporal_column, with_temporals
+from panelforge.session import tune
 
+# SQL of each operator over operands {0} and {1}; the Column form of each is in
+# functions.scalar. Text is parsed once per projection, which keeps plan building fast for
+# populations of many expressions.
 UNARY = {
-    "neg": scalar.negate,
-    "abs": F.abs,
-    "signed_log": scalar.signed_log,
-    "signed_sqrt": scalar.signed_sqrt,
+    "neg": "-{0}",
+    "abs": "abs({0})",
+    "signed_log": "signum({0}) * log1p(abs({0}))",
+    "signed_sqrt": "signum({0}) * sqrt(abs({0}))",
 }
 BINARY = {
-    "add": lambda a, b: a + b,
-    "sub": lambda a, b: a - b,
-    "mul": lambda a, b: a * b,
-    "div": scalar.guarded_divide,
-    "min": scalar.lower_of,
-    "max": scalar.higher_of,
+    "add": "{0} + {1}",
+    "sub": "{0} - {1}",
+    "mul": "{0} * {1}",
+    "div": f"CASE WHEN abs({{1}}) > {scalar.DIVISOR_FLOOR!r}D THEN {{0}} / {{1}} END",
+    "min": "CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN least({0}, {1}) END",
+    "max": "CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN greatest({0}, {1}) END",
 }
 
 
@@ -83,18 +87,65 @@ def temporal_pairs(trees: Iterable) -> set[tuple[str, str]]:
     }
 
 
-def compile_tree(tree, max_abs: float = scalar.MAX_ABS) -> Column:
-    """Column for the tree. Operator results are clipped; leaves and temporals are not."""
+def _clipped(value: str, max_abs: float) -> str:
+    bound = f"{float(max_abs)!r}D"
+    return f"CASE WHEN ({value}) IS NOT NULL AND NOT isnan({value}) THEN greatest(least({value}, {bound}), -{bound}) END"
+
+
+def sql_text(tree, max_abs: float = scalar.MAX_ABS, known: Mapping[str, str] | None = None) -> str:
+    """SQL for the tree. Operator results are clipped; leaves and temporals are not.
+
+    ``known`` maps the text of sub-expressions that are columns already to their names.
+    """
     if isinstance(tree, str):
-        return F.col(tree).cast("double")
+        return f"CAST(`{tree}` AS DOUBLE)"
+    made = (known or {}).get(to_text(tree))
+    if made is not None:
+        return f"`{made}`"
     name, *operands = tree
     if name in TEMPORAL:
-        return F.col(temporal_column(name, operands[0]))
-    columns = [compile_tree(operand, max_abs) for operand in operands]
-    apply = UNARY.get(name) if len(columns) == 1 else BINARY.get(name)
-    if apply is None:
-        raise ValueError(f"unknown operator {name!r} with {len(columns)} operands")
-    return scalar.clip(apply(*columns), max_abs)
+        return f"`{temporal_column(name, operands[0])}`"
+    template = (UNARY if len(operands) == 1 else BINARY).get(name)
+    if template is None:
+        raise ValueError(f"unknown operator {name!r} with {len(operands)} operands")
+    return _clipped(template.format(*[f"({sql_text(o, max_abs, known)})" for o in operands]), max_abs)
+
+
+def compile_tree(tree, max_abs: float = scalar.MAX_ABS) -> Column:
+    """Column for one tree whose temporal columns exist."""
+    return F.expr(sql_text(tree, max_abs))
+
+
+def _height(tree) -> int:
+    """Operator levels above features and temporal columns."""
+    if isinstance(tree, str) or tree[0] in TEMPORAL:
+        return 0
+    return 1 + max(_height(child) for child in tree[1:])
+
+
+def with_expressions(source: DataFrame, trees: Mapping[str, object], max_abs: float = scalar.MAX_ABS) -> DataFrame:
+    """Add one column per tree; temporal columns must exist already.
+
+    Sub-expressions shared by any of the trees are computed once. One projection per level
+    keeps the generated code small: a clip mentions its argument several times, and nesting
+    them in one expression would grow exponentially with depth.
+    """
+    levels: dict[int, dict[str, object]] = {}
+    for tree in trees.values():
+        for node in walk(tree):
+            if _height(node):
+                levels.setdefault(_height(node), {})[to_text(node)] = node
+    known: dict[str, str] = {}
+    kept = source.columns
+    for level in sorted(levels):
+        made = {text: f"__x{len(known) + i}" for i, text in enumerate(levels[level])}
+        source = source.selectExpr(
+            "*", *[f"{sql_text(node, max_abs, known)} AS `{made[text]}`" for text, node in levels[level].items()]
+        )
+        known.update(made)
+    return source.selectExpr(
+        *[f"`{c}`" for c in kept], *[f"{sql_text(tree, max_abs, known)} AS `{name}`" for name, tree in trees.items()]
+    )
 
 
 def evaluate_expressions(
@@ -108,20 +159,20 @@ def evaluate_expressions(
 ) -> DataFrame:
     """Wide form: entity, trade_date, ``keep`` and one double column per expression.
 
+    Temporal columns are derived first, from full histories, unless the panel has them.
     ``digits`` rounds the values, which makes ties reproducible across engines.
     """
+    tune(panel.sparkSession)
     trees = {name: parse(text) for name, text in expressions.items()}
-    pairs = temporal_pairs(trees.values())
-    source = with_temporals(panel, pairs) if pairs else panel
+    missing = {p for p in temporal_pairs(trees.values()) if temporal_column(*p) not in panel.columns}
+    source = with_expressions(with_temporals(panel, missing), trees, max_abs)
     made = []
-    for name, tree in trees.items():
-        column = compile_tree(tree, max_abs)
-        if digits is not None:
-            column = F.round(column, digits)
-        if directions is not None and directions.get(name, 1) != 1:
-            column = column * F.lit(float(directions[name]))
-        made.append((column + F.lit(0.0)).alias(name))
-    return source.select("entity", "trade_date", *keep, *made)
+    for name in trees:
+        value = f"`{name}`" if digits is None else f"round(`{name}`, {digits})"
+        if directions is not None:
+            value = f"{value} * {float(directions.get(name, 1))!r}D"
+        made.append(f"{value} + 0D AS `{name}`")
+    return source.selectExpr("entity", "trade_date", *keep, *made)
 
 
 def to_long(wide: DataFrame, names: Iterable[str], keep: Iterable[str] = ()) -> DataFrame:

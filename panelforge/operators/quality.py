@@ -106,6 +106,19 @@ def ic_fitness(
     """
     spread = long.groupBy("factor").agg(F.stddev_samp("value").alias("value_std"))
     daily = daily_rank_ic_preranked(long, label_rank, min_names=min_names, widest=widest)
+    return ic_fitness_of(daily, spread, sizes, min_days=min_days, n_months=n_months, min_std=min_std)
+
+
+def ic_fitness_of(
+    daily: DataFrame,
+    spread: DataFrame,
+    sizes: DataFrame,
+    *,
+    min_days: int = MIN_MONTH_DAYS,
+    n_months: int = TOP_MONTHS,
+    min_std: float = MIN_FACTOR_STD,
+) -> DataFrame:
+    """The fitness from daily ICs (factor, trade_date, ic) and value_std per factor."""
     volatility = daily.groupBy("factor").agg(F.stddev_samp("ic").alias("daily_ic_std"))
     months = monthly_ic(daily, min_days=min_days).withColumn("abs_ic", F.abs("mean_ic"))
     valid = months.groupBy("factor").agg(F.count("*").alias("valid_months"))
@@ -114,7 +127,8 @@ def ic_fitness(
         F.avg("abs_ic").alias("mean_top_abs_ic"),
         F.min_by("month", "month_rank").alias("peak_month"),
     )
-    joined = sizes.join(F.broadcast(spread.join(volatility, "factor", "left").join(valid, "factor", "left").join(best, "factor", "left")), "factor", "left")
+    found = spread.join(volatility, "factor", "left").join(valid, "factor", "left").join(best, "factor", "left")
+    joined = sizes.join(F.broadcast(found), "factor", "left")  # one row per factor of the batch
     usable = (F.col("value_std") >= min_std) & F.col("mean_top_abs_ic").isNotNull()
     score = (
         F.col("mean_top_abs_ic")
@@ -264,6 +278,13 @@ def directional_fitness(
         daily = daily_ic_sides(long, k=k, min_valid=min_valid, widest=widest)
     else:
         daily = daily_ndcg_sides(long, k=k, min_valid=min_valid)
+    return directional_fitness_of(daily, sizes, objective=objective, min_days=min_days)
+
+
+def directional_fitness_of(
+    daily: DataFrame, sizes: DataFrame, *, objective: str, min_days: int = MIN_MONTH_DAYS
+) -> DataFrame:
+    """The fitness from daily sides (factor, trade_date, pos, neg)."""
     months = directional_months(daily, min_days=min_days)
     overall = contiguous_objective(months) if objective.startswith("contiguous") else top_objective(months)
     found = overall.join(chosen_side_volatility(daily), "factor")

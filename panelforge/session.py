@@ -26,6 +26,18 @@ def broadcast_limit(spark: SparkSession) -> int:
     return _number(spark, "maxBroadcastRows", MAX_BROADCAST_ROWS)
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the generated projections need, unless the session chose its own.
+
+    HotSpot never compiles methods above 8,000 bytecodes, so larger generated ones run
+    interpreted; with this limit Spark splits such projections instead.
+    """
+    name, default = "spark.sql.codegen.hugeMethodLimit", "65535"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, "8000")
+    return spark
+
+
 def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when ``rows`` (a proven upper bound of ``df``) is small enough.
 
