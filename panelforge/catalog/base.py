@@ -61,8 +61,7 @@ def register(name: str, sql: str | None = None):
 
 # --- Spark inputs ------------------------------------------------------------------------
 
-_PANELS: dict[tuple[str, str], DataFrame] = {}
-_CALENDARS: dict[tuple[str, str], DataFrame] = {}
+_PREPARED: dict[tuple[str, str, str], DataFrame] = {}
 _SHAPES: dict[tuple[str, str], PanelShape] = {}
 
 
@@ -71,12 +70,13 @@ def _key(spark: SparkSession, folder: str) -> tuple[str, str]:
 
 
 def main_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """supplier × week with the forward return, prepared once per session as Parquet."""
-    key = _key(spark, folder)
-    if key not in _PANELS:
+    """supplier × week with the forward return."""
+
+    def build():
         df = sources.with_forward_return(sources.supplier_week(spark, folder), "px", HORIZON, LABEL)
-        _PANELS[key] = materialize(df.withColumn(LABEL, fixed(F.col(LABEL), 4)))
-    return _PANELS[key]
+        return df.withColumn(LABEL, fixed(F.col(LABEL), 4))
+
+    return prepared(spark, folder, "panel", build)
 
 
 def main_shape(spark: SparkSession, folder: str) -> PanelShape:
@@ -87,17 +87,22 @@ def main_shape(spark: SparkSession, folder: str) -> PanelShape:
     return _SHAPES[key]
 
 
+def prepared(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written once per session and read by every query that needs it."""
+    key = (*_key(spark, folder), name)
+    if key not in _PREPARED:
+        _PREPARED[key] = materialize(build())
+    return _PREPARED[key]
+
+
 def labelled_panel(spark: SparkSession, folder: str, *, position: bool = False) -> DataFrame:
     widest = main_shape(spark, folder).widest
-    return add_labels(main_panel(spark, folder), LABEL, K, EDGES, position=position, widest=widest)
+    build = lambda: add_labels(main_panel(spark, folder), LABEL, K, EDGES, position=position, widest=widest)
+    return build() if position else prepared(spark, folder, "labelled", build)
 
 
 def main_calendar(spark: SparkSession, folder: str) -> DataFrame:
-    """The calendar of the prepared panel, written once beside it."""
-    key = _key(spark, folder)
-    if key not in _CALENDARS:
-        _CALENDARS[key] = materialize(trading_calendar(main_panel(spark, folder)).coalesce(1))
-    return _CALENDARS[key]
+    return prepared(spark, folder, "calendar", lambda: trading_calendar(main_panel(spark, folder)).coalesce(1))
 
 
 def r(column, digits: int = 10):

@@ -12,23 +12,13 @@ from panelforge.catalog.evaluation import rounds
 from panelforge.catalog.walk import ranked_frame, windows
 from panelforge.plans import grid as gr
 from panelforge.plans import models as md
-from panelforge.session import materialize, small_table
+from panelforge.session import small_table
 
 _UPDATE = 20
 _BOOST = {**md.BOOST, "max_iter": 6, "min_rows": 20, "step": 0.1}
-_FRAMES: dict = {}
-
-
-def frame(spark, folder):
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _FRAMES:
-        _FRAMES[key] = materialize(ranked_frame(spark, folder))
-    return _FRAMES[key]
-
-
 def run(spark, folder, model, options=None, **settings):
     return gr.walk_forward(
-        frame(spark, folder), NAMES, main_calendar(spark, folder), main_shape(spark, folder), model=model, start=START,
+        ranked_frame(spark, folder), NAMES, main_calendar(spark, folder), main_shape(spark, folder), model=model, start=START,
         end=END, label=LABEL, horizon=HORIZON, lookback=LOOKBACK, validation=5, update=_UPDATE, k=K, options=options, **settings,
     )
 
@@ -94,6 +84,6 @@ def model_grid(spark, folder):
         **gr.ablation_grid(library, {"without_terms": "terms"}),
     }
     return gr.run_grid(
-        frame(spark, folder), NAMES, main_calendar(spark, folder), main_shape(spark, folder), grid, label=LABEL, k=K,
+        ranked_frame(spark, folder), NAMES, main_calendar(spark, folder), main_shape(spark, folder), grid, label=LABEL, k=K,
         years=["2000"], common=common,
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.catalog.base import (
     DIGITS, FEATURES, K, LABEL, LABELLED_SQL, LIBRARY, MIN_DAYS, MIN_NAMES, NAMES, avg_rank_sql, factors_sql,
-    labelled_panel, long_sql, main_panel, main_shape, pearson_sql, r, register, rounded, with_sql,
+    labelled_panel, long_sql, main_panel, main_shape, pearson_sql, prepared, r, register, rounded, with_sql,
 )
 from panelforge.functions import expressions as ex
 from panelforge.operators import quality as q
@@ -19,8 +19,8 @@ MIN_VALID = 12
 
 
 def library_long(spark, folder, keep=KEEP):
-    wide = ex.evaluate_expressions(labelled_panel(spark, folder), LIBRARY, keep=keep, digits=DIGITS)
-    return ex.to_long(wide, NAMES, keep)
+    build = lambda: ex.evaluate_expressions(labelled_panel(spark, folder), LIBRARY, keep=KEEP, digits=DIGITS)
+    return ex.to_long(prepared(spark, folder, "library_values", build), NAMES, keep)
 
 
 LONG_SQL = LABELLED_SQL + ",\n" + factors_sql("labelled", KEEP) + ",\n" + long_sql(keep=KEEP)
@@ -107,7 +107,7 @@ _FIT = "SELECT factor, nodes, round(raw - 0.05e0 * volatility - 0.0005e0 * nodes
 
 
 def _sides(spark, folder):
-    return q.daily_ndcg_sides(library_long(spark, folder), k=K, min_valid=MIN_VALID)
+    return q.daily_ndcg_sides(library_long(spark, folder), k=K, min_valid=MIN_VALID, widest=main_shape(spark, folder).widest)
 
 
 @register("daily_ndcg_sides", with_sql(LONG_SQL, sides_sql(), select="SELECT factor, trade_date, round(pos, 10) + 0e0 AS pos, round(neg, 10) + 0e0 AS neg FROM sides"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from panelforge.catalog.base import (
     CALENDAR_SQL, DIGITS, DIRECTIONS, END, HORIZON, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, MAIN_SQL, MIN_NAMES, NAMES,
     PANEL_SQL, SERIES, START, UPDATE, avg_rank_sql, factors_sql, fixed_sql, hist_sql, labelled_panel, long_sql,
-    main_calendar, main_panel, main_shape, pearson_sql, r, register, rounded, with_sql,
+    main_calendar, main_panel, main_shape, pearson_sql, prepared, r, register, rounded, with_sql,
 )
 from panelforge.catalog.quality import IC_SQL
 from panelforge.functions import expressions as ex
 from panelforge.operators import features as ft
+from panelforge.operators.calendar import prune_dates
 from panelforge.operators.series import lagged
 from panelforge.plans import walkforward as wf
 from panelforge.session import small_table
@@ -26,27 +27,28 @@ def windows(spark, folder):
     return blocks, wf.history_windows(blocks, calendar, horizon=HORIZON, lookback=LOOKBACK)
 
 
-def pruned(spark, folder, panel):
+def within_windows(spark, folder, frame):
     """Drop dates no window needs; temporals were computed on full histories before."""
-    return wf_prune(spark, folder, panel)
-
-
-def wf_prune(spark, folder, frame):
-    from panelforge.operators.calendar import prune_dates
-
     return prune_dates(frame, main_calendar(spark, folder), START, END, horizon=HORIZON, lookback=LOOKBACK)
 
 
 def factor_values(spark, folder):
-    """Unranked factor frame over the dates the windows need."""
-    return wf_prune(spark, folder, ex.evaluate_expressions(main_panel(spark, folder), LIBRARY, keep=[LABEL], digits=DIGITS))
+    """Unranked factor frame over the dates the windows need, written once."""
+    return prepared(
+        spark, folder, "factor_values",
+        lambda: within_windows(spark, folder, ex.evaluate_expressions(main_panel(spark, folder), LIBRARY, keep=[LABEL], digits=DIGITS)),
+    )
 
 
 def ranked_frame(spark, folder):
-    """Ranked, filled frame with labels over the dates the windows need."""
+    """Ranked, filled frame with labels over the dates the windows need, written once."""
     keep = [LABEL, "target_rank", "relevance", "is_target_topk"]
-    wide = ex.evaluate_expressions(labelled_panel(spark, folder), LIBRARY, keep=keep, directions=DIRECTIONS, digits=DIGITS)
-    return wf.ranked_factors(wf_prune(spark, folder, wide), NAMES, widest=main_shape(spark, folder).widest)
+
+    def build():
+        wide = ex.evaluate_expressions(labelled_panel(spark, folder), LIBRARY, keep=keep, directions=DIRECTIONS, digits=DIGITS)
+        return wf.ranked_factors(within_windows(spark, folder, wide), NAMES, widest=main_shape(spark, folder).widest)
+
+    return prepared(spark, folder, "ranked_frame", build)
 
 
 def ic_history(spark, folder, min_ic_days=10):

@@ -113,6 +113,41 @@ def daily_statistics(wide: DataFrame, names: Sequence[str], kind: str, *, k: int
     )
 
 
+def daily_score_quality(rows: DataFrame, label: str, *, tail: float, least: int) -> DataFrame:
+    """(trade_date, slot, ic, spread) for every entry of the ``scores`` array.
+
+    The array has one score per parameter combination; a date's rows are ranked together.
+    """
+
+    def one_date(key, frame):
+        import pandas as pd
+
+        y = frame[label].to_numpy(dtype="float64")
+        scores = np.stack(frame["scores"].to_numpy())
+        ranks = _ranks(scores)
+        ic = _correlate(ranks, np.broadcast_to(_ranks(y[:, None]), ranks.shape))
+        pct = ranks / len(y)
+
+        def mean_where(mask):
+            n = mask.sum(0)
+            return np.where(n > 0, (mask * y[:, None]).sum(0) / np.maximum(n, 1), np.nan)
+
+        return pd.DataFrame(
+            {
+                "trade_date": key[0],
+                "slot": np.arange(scores.shape[1]),
+                "ic": ic if len(y) >= least else np.nan,
+                "spread": mean_where(pct >= 1.0 - tail) - mean_where(pct <= tail),
+            }
+        )
+
+    found = rows.select("trade_date", label, "scores").groupBy("trade_date").applyInPandas(
+        one_date, "trade_date string, slot int, ic double, spread double"
+    )
+    present = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return found.select("trade_date", "slot", present("ic"), present("spread"))
+
+
 def value_spread(daily: DataFrame) -> DataFrame:
     """Sample standard deviation of each factor's values, merged from the daily moments."""
     kept = daily.where(F.col("n") > 0)

@@ -14,7 +14,7 @@ from panelforge.functions.expressions import node_count, parse
 from panelforge.functions.scalar import discount, gain
 from panelforge.operators.aggregates import pearson
 from panelforge.operators.ranks import average_rank, top_rows
-from panelforge.session import small_table
+from panelforge.session import group_limit, materialize, small_table
 
 GROUP = ["factor", "trade_date"]
 # Scoring constants.
@@ -106,7 +106,7 @@ def ic_fitness(
     """
     spread = long.groupBy("factor").agg(F.stddev_samp("value").alias("value_std"))
     daily = daily_rank_ic_preranked(long, label_rank, min_names=min_names, widest=widest)
-    return ic_fitness_of(daily, spread, sizes, min_days=min_days, n_months=n_months, min_std=min_std)
+    return ic_fitness_of(materialize(daily), spread, sizes, min_days=min_days, n_months=n_months, min_std=min_std)
 
 
 def ic_fitness_of(
@@ -153,35 +153,41 @@ def daily_ndcg_sides(
     k: int = 50,
     min_valid: int = 100,
     flat: float = 1e-12,
+    widest: int | None = None,
 ) -> DataFrame:
     """NDCG@k of the highest-k rows (pos) and of the lowest-k taken ascending (neg).
 
-    Each of the three selections is a group limit, so at most k rows per factor-date and
-    task are shuffled. Ties are broken by entity.
+    Groups known to fit one task are ordered three times after one exchange. Otherwise
+    each selection is a group limit, so at most k rows per factor-date and task are
+    shuffled. Ties are broken by entity.
     """
     valid = long.where(F.col("value").isNotNull() & F.col("target_rank").isNotNull())
     slim = valid.select(*GROUP, "entity", "value", "relevance")
-    day = slim.groupBy(*GROUP).agg(F.count("*").alias("names"), F.stddev_pop("value").alias("spread"))
-    weighted = gain(F.col("relevance")) * discount(F.col("position"))
-
-    def side(order, name):
-        return top_rows(slim, GROUP, order, k).groupBy(*GROUP).agg(F.sum(weighted).alias(name))
-
-    high = side([F.desc("value"), F.asc("entity")], "dcg_high")
-    low = side([F.asc("value"), F.asc("entity")], "dcg_low")
-    ideal = side([F.desc("relevance"), F.asc("entity")], "dcg_ideal")
-    usable = (
-        (F.col("names") >= max(min_valid, k)) & (F.col("spread") >= flat) & (F.col("dcg_ideal") > 0)
-    )
-    return (
-        day.join(high, GROUP)
-        .join(low, GROUP)
-        .join(ideal, GROUP)
-        .select(
-            *GROUP,
-            F.when(usable, F.col("dcg_high") / F.col("dcg_ideal")).alias("pos"),
-            F.when(usable, F.col("dcg_low") / F.col("dcg_ideal")).alias("neg"),
+    orders = {
+        "dcg_high": [F.desc("value"), F.asc("entity")],
+        "dcg_low": [F.asc("value"), F.asc("entity")],
+        "dcg_ideal": [F.desc("relevance"), F.asc("entity")],
+    }
+    size = [F.count("*").alias("names"), F.stddev_pop("value").alias("spread")]
+    weighted = lambda position: gain(F.col("relevance")) * discount(F.col(position))
+    if widest is not None and widest <= group_limit(long.sparkSession):
+        placed = slim.select(
+            "*", *[F.row_number().over(Window.partitionBy(*GROUP).orderBy(*o)).alias(f"__{n}") for n, o in orders.items()]
+        )
+        day = placed.groupBy(*GROUP).agg(
+            *size, *[F.sum(F.when(F.col(f"__{n}") <= k, weighted(f"__{n}"))).alias(n) for n in orders]
         )
+    else:
+        slim = materialize(slim)  # read four times below
+        day = slim.groupBy(*GROUP).agg(*size)
+        for name, order in orders.items():
+            top = top_rows(slim, GROUP, order, k)
+            day = day.join(top.groupBy(*GROUP).agg(F.sum(weighted("position")).alias(name)), GROUP)
+    usable = (F.col("names") >= max(min_valid, k)) & (F.col("spread") >= flat) & (F.col("dcg_ideal") > 0)
+    return day.select(
+        *GROUP,
+        F.when(usable, F.col("dcg_high") / F.col("dcg_ideal")).alias("pos"),
+        F.when(usable, F.col("dcg_low") / F.col("dcg_ideal")).alias("neg"),
     )
 
 
@@ -277,8 +283,8 @@ def directional_fitness(
     if objective.endswith("_ic"):
         daily = daily_ic_sides(long, k=k, min_valid=min_valid, widest=widest)
     else:
-        daily = daily_ndcg_sides(long, k=k, min_valid=min_valid)
-    return directional_fitness_of(daily, sizes, objective=objective, min_days=min_days)
+        daily = daily_ndcg_sides(long, k=k, min_valid=min_valid, widest=widest)
+    return directional_fitness_of(materialize(daily), sizes, objective=objective, min_days=min_days)
 
 
 def directional_fitness_of(
@@ -312,7 +318,7 @@ def validate_library(
 ) -> tuple[DataFrame, DataFrame]:
     """Full-history review of every factor: (one row per factor, long monthly table)."""
     daily = daily_rank_ic_preranked(long, label_rank, min_names=min_names, widest=widest)
-    months = monthly_ic(daily, min_days=min_days).withColumn("abs_ic", F.abs("mean_ic"))
+    months = materialize(monthly_ic(daily, min_days=min_days).withColumn("abs_ic", F.abs("mean_ic")))
     best = top_months(months, "abs_ic").groupBy("factor").agg(
         F.min_by("month", "month_rank").alias("full_peak_month"),
         F.max("abs_ic").alias("full_best_month_abs_ic"),

@@ -15,6 +15,7 @@ from panelforge.functions.expressions import evaluate_expressions, to_long
 from panelforge.functions.scalar import floor_bin, half_life_weight, signal, signed_power
 from panelforge.operators.aggregates import information_ratio, pearson, share, weighted_mean
 from panelforge.operators.calendar import PanelShape
+from panelforge.operators.daily import daily_score_quality
 from panelforge.operators.quality import daily_rank_ic
 from panelforge.operators.ranks import average_rank
 from panelforge.session import broadcast_checked, broadcast_within, small_table
@@ -22,6 +23,8 @@ from panelforge.session import broadcast_checked, broadcast_within, small_table
 # Default settings.
 CAP_ROUNDS = 10
 BIN_SHRINK = 500.0
+# Scores of one date ranked in one task: 8 million doubles are 64 MB.
+VECTOR_CELLS = 8_000_000
 
 
 def ranked_factors(frame: DataFrame, factors: Sequence[str], *, fill: float | None = 0.5, widest: int | None = None) -> DataFrame:
@@ -280,37 +283,42 @@ def parameter_sweep(
     weights = cap_weights(keyed, cap, keys=["combo", "rebalance_date"])
     wide = _weights_wide(weights, factors, ["combo", "rebalance_date"])
 
-    per_block = wide.groupBy("rebalance_date").agg(
-        F.collect_list(F.struct("combo", *[f"w_{f}" for f in factors])).alias("votes")
-    )
+    # Votes of a block as one array ordered by combination; a row's scores follow that order.
+    votes = F.sort_array(F.collect_list(F.struct("combo", *[f"w_{f}" for f in factors])))
+    per_block = wide.groupBy("rebalance_date").agg(votes.alias("votes"))
     table = blocks.select("trade_date", "rebalance_date").join(per_block, "rebalance_date")
-    signals = ranks.join(broadcast_within(table, shape.dates * len(combos)), "trade_date").select(
-        "entity", "trade_date", label, *factors, F.explode("votes").alias("v")
-    )
-    by_mode = F.array(
-        *[
-            F.struct(
-                F.lit(m).alias("signal_mode"),
-                _dot(factors, lambda f: F.coalesce(signal(F.col(f), m), F.lit(0.0)) * F.col(f"v.w_{f}")).alias("score"),
-            )
-            for m in modes
-        ]
-    )
-    scored = signals.select(
-        F.col("v.combo").alias("combo"), "entity", "trade_date", label, F.explode(by_mode).alias("s")
-    ).select("combo", "entity", "trade_date", label, "s.signal_mode", F.round("s.score", 9).alias("score"))
-    scored = scored.na.drop(subset=["score", label])
-    keys = ["combo", "signal_mode", "trade_date"]
-    ranked = average_rank(scored, keys, "score", "__x", pct=False, widest=shape.widest)
-    ranked = average_rank(ranked, keys, "score", "__pct", widest=shape.widest)
-    ranked = average_rank(ranked, keys, label, "__y", pct=False, widest=shape.widest)
-    pct = F.col("__pct")
-    daily = ranked.groupBy(*keys).agg(
-        pearson(F.col("__x"), F.col("__y"), min_rows=min_names).alias("ic"),
-        (
-            F.avg(F.when(pct >= 1.0 - tail, F.col(label))) - F.avg(F.when(pct <= tail, F.col(label)))
-        ).alias("spread"),
+    rows = ranks.na.drop(subset=[label]).join(broadcast_within(table, shape.dates * len(combos)), "trade_date")
+    for m in modes:
+        rows = rows.withColumn(f"__{m}", F.array(*[F.coalesce(signal(F.col(f), m), F.lit(0.0)) for f in factors]))
+
+    def scores_of(m):
+        terms = range(len(factors))
+        return F.transform(
+            "votes", lambda v: F.round(_dot(terms, lambda i: F.col(f"__{m}")[i] * v[f"w_{factors[i]}"]), 9)
+        )
+
+    scores = F.flatten(F.array(*[scores_of(m) for m in modes]))
+    scored = rows.select("entity", "trade_date", label, scores.alias("scores"))
+    slots = small_table(
+        spark,
+        slot=list(range(len(combos) * len(modes))),
+        combo=list(range(len(combos))) * len(modes),
+        signal_mode=[m for m in modes for _ in combos],
     )
+    if shape.widest * len(combos) * len(modes) <= VECTOR_CELLS:
+        daily = daily_score_quality(scored, label, tail=tail, least=min_names)
+    else:
+        keys = ["slot", "trade_date"]
+        long = scored.select("entity", "trade_date", label, F.posexplode("scores").alias("slot", "score"))
+        long = average_rank(long, keys, "score", "__x", pct=False, widest=shape.widest)
+        long = average_rank(long, keys, "score", "__pct", widest=shape.widest)
+        long = average_rank(long, keys, label, "__y", pct=False, widest=shape.widest)
+        high, low = F.col("__pct") >= 1.0 - tail, F.col("__pct") <= tail
+        daily = long.groupBy(*keys).agg(
+            pearson(F.col("__x"), F.col("__y"), min_rows=min_names).alias("ic"),
+            (F.avg(F.when(high, F.col(label))) - F.avg(F.when(low, F.col(label)))).alias("spread"),
+        )
+    daily = daily.join(F.broadcast(slots), "slot")
     result = daily.groupBy("combo", "signal_mode").agg(
         F.avg("ic").alias("mean_rank_ic"),
         information_ratio(F.col("ic")).alias("rank_ic_ir"),
