@@ -50,13 +50,13 @@ def scan_date_bounded(spark, folder):
 )
 def load_panel_labelled(spark, folder):
     """Prepared panel written by month, read back with a date range, then labelled."""
-    import tempfile
+    import uuid
 
     from panelforge.operators.labels import add_labels
     from panelforge.session import work_folder
 
-    path = tempfile.mktemp(prefix="panel-", dir=work_folder(spark)) if "://" not in work_folder(spark) else f"{work_folder(spark)}/panel"
-    sources.build_or_reuse(spark, path, lambda: main_panel(spark, folder), force=True)
+    path = f"{work_folder(spark)}/panel-{uuid.uuid4().hex}"
+    sources.build_or_reuse(spark, path, lambda: main_panel(spark, folder))
     df = sources.load_panel(spark, path, START, END, ["px", LABEL, "px"])
     widest = main_shape(spark, folder).widest
     labelled = add_labels(df, LABEL, K, position=False, widest=widest)
@@ -387,9 +387,9 @@ def argmax_by_group(spark, folder):
 
 @register("sorted_panel", with_sql(PANEL_SQL, select="SELECT trade_date, entity, px FROM panel"))
 def sorted_panel(spark, folder):
-    """Rows of a date together and in order, without a global sort."""
+    """Ordered by date and entity; ranges are cut from a sample, so a large date is split."""
     panel = sources.supplier_week(spark, folder).select("trade_date", "entity", "px")
-    return panel.repartition("trade_date", F.pmod(F.xxhash64("entity"), F.lit(8))).sortWithinPartitions("trade_date", "entity")
+    return panel.repartitionByRange("trade_date", "entity").sortWithinPartitions("trade_date", "entity")
 
 
 @register("best_rows_limit", with_sql(PANEL_SQL, select="SELECT entity, trade_date, rev FROM panel ORDER BY rev DESC, trade_date, entity LIMIT 600"))

@@ -14,6 +14,7 @@ from panelforge.functions.scalar import discount, gain
 from panelforge.operators.aggregates import information_ratio, pearson, share
 from panelforge.operators.quality import daily_rank_ic
 from panelforge.operators.ranks import average_rank, ordinal_rank, top_rows
+from panelforge.session import materialize
 
 DATE = ["trade_date"]
 MONTHLY_METRICS = ("topk_excess", "topk_return", "ndcg", "precision", "rank_ic", "turnover")
@@ -58,8 +59,12 @@ def daily_rank_corr(pred: DataFrame, label: str, *, widest: int | None = None) -
 
 
 def daily_topk(pred: DataFrame, label: str, k: int) -> DataFrame:
+    return _topk_means(select_topk(pred, k), label)
+
+
+def _topk_means(top: DataFrame, label: str) -> DataFrame:
     weighted = gain(F.col("relevance")) * discount(F.col("pred_position"))
-    return select_topk(pred, k).groupBy(*DATE).agg(
+    return top.groupBy(*DATE).agg(
         F.avg(label).alias("topk_return"),
         F.avg("target_rank").alias("topk_mean_percentile"),
         F.avg(F.col("is_target_topk").cast("double")).alias("precision"),
@@ -94,7 +99,12 @@ def discount_total(names: Column, k: int) -> Column:
 
 def turnover(pred: DataFrame, k: int) -> DataFrame:
     """1 − |today ∩ previous date| / k per date; NULL on the first date."""
-    top = select_topk(pred, k).select(*DATE, "entity")
+    return _turnover(materialize(select_topk(pred, k).select(*DATE, "entity")), k)
+
+
+def _turnover(top: DataFrame, k: int) -> DataFrame:
+    """``top`` has k rows per date and is read three times, so callers pass a written table."""
+    top = top.select(*DATE, "entity")
     # Calendar-sized: one row per date that has predictions.
     order = top.select(*DATE).distinct().withColumn("previous", F.lag("trade_date").over(Window.orderBy("trade_date")))
     today = top.join(F.broadcast(order), "trade_date")
@@ -107,12 +117,14 @@ def turnover(pred: DataFrame, k: int) -> DataFrame:
 
 
 def daily_table(pred: DataFrame, label: str, k: int, *, widest: int | None = None) -> DataFrame:
-    """One row per date. Every part is grouped by date, so the joins reuse that layout."""
-    whole = daily_universe(pred, label)
+    """One row per date. The selected rows (k per date) are written once; every part is
+    grouped by date, so the joins are between calendar-sized tables."""
+    top = materialize(select_topk(pred, k))
     table = (
-        whole.join(daily_topk(pred, label, k), DATE)
+        daily_universe(pred, label)
+        .join(_topk_means(top, label), DATE)
         .join(daily_ideal(pred, k), DATE)
-        .join(turnover(pred, k), DATE)
+        .join(_turnover(top, k), DATE)
         .join(daily_rank_corr(pred, label, widest=widest), DATE)
     )
     shown = F.least(F.col("names"), F.lit(k))

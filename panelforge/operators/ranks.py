@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.session import broadcast_checked, group_limit, materialize
 
-SAMPLES_PER_SLICE = 64
+SAMPLES_PER_SLICE = 16
 SALTS = 64
 
 

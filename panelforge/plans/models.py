@@ -7,6 +7,7 @@ blocks are fitted by a few driver threads, so the cluster always has jobs to run
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.functions.scalar import half_life_weight
 from panelforge.operators.calendar import PanelShape
-from panelforge.session import broadcast_within, materialize, small_table
+from panelforge.session import broadcast_within, materialize, small_table, work_folder
 
 # Default model settings.
 TREE_DEPTHS = (1, 2, 3)
@@ -119,7 +120,12 @@ def run_blocks(
     threads: int = 4,
     columns: Sequence[str] = ("target_rank", "relevance", "is_target_topk"),
 ) -> WalkForward:
-    """Fit every block (a few at a time) and score its test dates."""
+    """Fit every block (a few at a time) and score its test dates.
+
+    A block's scores are written when its model is ready, so the result is one table with a
+    short plan however many refits there are.
+    """
+    folder = f"{work_folder(frame.sparkSession)}/predictions-{uuid.uuid4().hex}"
 
     def one(block: Block):
         rows = history(frame, block).persist()
@@ -137,14 +143,13 @@ def run_blocks(
         scored = score(model, test).select(
             "entity", "trade_date", F.lit(block.rebalance_date).alias("rebalance_date"), label, *columns, "score"
         )
-        return model, record, scored
+        scored.write.parquet(f"{folder}/block={block.rebalance_date}")
+        return model, record
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
         done = list(pool.map(one, blocks))
-    predictions = done[0][2]
-    for _, _, scored in done[1:]:
-        predictions = predictions.unionByName(scored)
-    return WalkForward(predictions, [r for _, r, _ in done], {r["rebalance_date"]: m for m, r, _ in done})
+    predictions = frame.sparkSession.read.parquet(folder).drop("block")
+    return WalkForward(predictions, [r for _, r in done], {r["rebalance_date"]: m for m, r in done})
 
 
 def records_table(spark, records: Sequence[dict]) -> DataFrame:

@@ -120,18 +120,16 @@ def prepare_panel(
 def build_or_reuse(spark: SparkSession, path: str, build, *, force: bool = False) -> DataFrame:
     """Read the prepared panel at ``path``; build and write it when absent or ``force``.
 
-    Laid out by month, so a date range reads only the months it touches. Rows are shuffled
-    by month and a salt, so a month holding much of the data is written by many tasks.
+    Laid out by month, so a date range reads only the months it touches. The rebalance hint
+    lets AQE split a month holding much of the data over many tasks and merge small ones.
     """
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     ready = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
     if force or not ready:
         df = build().withColumn("month", F.substring("trade_date", 1, 6))
-        salt = F.pmod(F.xxhash64(*KEYS), F.lit(16))
-        df.repartition("month", salt).sortWithinPartitions("month", *reversed(KEYS)).write.mode(
-            "overwrite"
-        ).partitionBy("month").parquet(path)
+        rebalanced = df.hint("rebalance", "month").sortWithinPartitions("month", *reversed(KEYS))
+        rebalanced.write.mode("overwrite").partitionBy("month").parquet(path)
     return spark.read.option("basePath", path).parquet(path)
 
 
