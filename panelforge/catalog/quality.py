@@ -10,9 +10,7 @@ from panelforge.catalog.base import (
 )
 from panelforge.functions import expressions as ex
 from panelforge.operators import quality as q
-from panelforge.operators.calendar import PanelShape
 from panelforge.plans import search as sr
-from panelforge.plans.walkforward import ranked_factors
 
 KEEP = [LABEL, "target_rank", "relevance"]
 MIN_VALID = 12
@@ -235,9 +233,8 @@ def review_full(spark, folder):
     ),
 )
 def rank_correlation_matrix(spark, folder):
-    wide = ex.evaluate_expressions(main_panel(spark, folder), LIBRARY, digits=DIGITS)
-    ranks = ranked_factors(wide, NAMES, fill=None, widest=main_shape(spark, folder).widest)
-    return rounded(sr.gram_correlation(ranks.select(*NAMES), NAMES), ["correlation"], 9)
+    matrix = sr.rank_correlation_matrix(main_panel(spark, folder), LIBRARY, digits=DIGITS, widest=main_shape(spark, folder).widest)
+    return rounded(matrix, ["correlation"], 9)
 
 
 @register("select_library")

@@ -103,8 +103,12 @@ def test_value_spread(spark, labelled):
         assert got[name] == pytest.approx(expected[name], abs=1e-9)
 
 
-def test_pooled_correlation_matches_pandas(spark, labelled):
-    got = {(r.left, r.right): r.correlation for r in sr.rank_correlation_matrix(labelled, EXPRESSIONS).collect()}
+@pytest.mark.parametrize("limit", ["4000000", "15"])
+def test_pooled_correlation_matches_pandas(spark, labelled, limit):
+    spark.conf.set("spark.panelforge.maxGroupRows", limit)
+    matrix = sr.rank_correlation_matrix(labelled, EXPRESSIONS, widest=40)
+    spark.conf.unset("spark.panelforge.maxGroupRows")
+    got = {(r.left, r.right): r.correlation for r in matrix.collect()}
     wide = ex.evaluate_expressions(labelled, EXPRESSIONS).toPandas()
     names = list(EXPRESSIONS)
     ranks = wide.groupby("trade_date")[names].rank(pct=True)
