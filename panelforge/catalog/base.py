@@ -11,7 +11,7 @@ from panelforge.functions.expressions import parse, temporal_pairs
 from panelforge.operators.calendar import PanelShape, measure, trading_calendar
 from panelforge.operators.labels import add_labels
 from panelforge.operators.ranks import widest_group
-from panelforge.session import materialize
+from panelforge.session import path_exists, write_table
 from panelforge.sources import panel as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +61,7 @@ def register(name: str, sql: str | None = None):
 
 # --- Spark inputs ------------------------------------------------------------------------
 
-_PREPARED: dict[tuple[str, str, str], DataFrame] = {}
+_PREPARED: dict[tuple[str, str, str], str] = {}
 _SHAPES: dict[tuple[str, str], PanelShape] = {}
 
 
@@ -88,11 +88,15 @@ def main_shape(spark: SparkSession, folder: str) -> PanelShape:
 
 
 def prepared(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table written once per session and read by every query that needs it."""
+    """A derived table written once per session and read by every query that needs it.
+
+    It is written again if the shared folder was cleared in between.
+    """
     key = (*_key(spark, folder), name)
-    if key not in _PREPARED:
-        _PREPARED[key] = materialize(build())
-    return _PREPARED[key]
+    path = _PREPARED.get(key)
+    if path is None or not path_exists(spark, f"{path}/_SUCCESS"):
+        path = _PREPARED[key] = write_table(build())
+    return spark.read.parquet(path)
 
 
 def labelled_panel(spark: SparkSession, folder: str, *, position: bool = False) -> DataFrame:

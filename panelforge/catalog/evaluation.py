@@ -41,7 +41,7 @@ agg AS (SELECT trade_date, count(*) AS n, avg(CASE WHEN p <= {K} THEN {LABEL} EN
  avg(CASE WHEN p <= {K} THEN target_rank END) AS topk_mean_percentile, avg(CASE WHEN p <= {K} THEN CAST(is_target_topk AS DOUBLE) END) AS precision,
  sum(CASE WHEN p <= {K} THEN {_GAIN} / log2(p + 1e0) END) AS dcg, sum(CASE WHEN ip <= {K} THEN {_GAIN} / log2(ip + 1e0) END) AS ideal,
  avg({_GAIN}) AS mean_gain, sum(CASE WHEN p <= {K} THEN 1e0 / log2(p + 1e0) END) AS w, {pearson_sql('rx', 'ry')} AS rank_ic FROM pos GROUP BY 1),
-daily AS (SELECT trade_date, topk_return, universe_return, topk_return - universe_return AS topk_excess, topk_mean_percentile, precision,
+daily AS (SELECT trade_date, topk_return, universe_return, round(topk_return - universe_return, 12) AS topk_excess, topk_mean_percentile, precision,
  CAST(least({K}, n) AS DOUBLE) / n AS random_precision, CASE WHEN ideal > 0 THEN dcg / ideal END AS ndcg, CASE WHEN ideal > 0 THEN mean_gain * w / ideal END AS random_ndcg,
  CASE WHEN i > 1 THEN 1e0 - kept / {K}e0 END AS turnover, rank_ic, substr(trade_date, 1, 6) AS month, substr(trade_date, 1, 4) AS year FROM agg JOIN kept USING (trade_date))"""
 

@@ -32,7 +32,7 @@ ic AS (SELECT factor, trade_date, count(*) FILTER (WHERE x IS NOT NULL AND y IS
 MONTH_SQL = f"""mon AS (SELECT factor, substr(trade_date, 1, 6) AS month, avg(ic) AS mean_ic, count(*) AS days FROM ic
  WHERE ic IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {MIN_DAYS})"""
 NODES_SQL = "sizes AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{n}', {ex.node_count(ex.parse(t))})" for n, t in LIBRARY.items()
+    f"('{n}', CAST({ex.node_count(ex.parse(t))} AS BIGINT))" for n, t in LIBRARY.items()
 ) + ") AS v(factor, nodes))"
 BEST_SQL = """best AS (SELECT factor, max(abs(mean_ic)) AS best, avg(abs(mean_ic)) AS top3, min(month) FILTER (WHERE r = 1) AS peak
  FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY abs(mean_ic) DESC, month ASC) AS r FROM mon) WHERE r <= 3 GROUP BY 1)"""

@@ -128,12 +128,14 @@ def daily_table(pred: DataFrame, label: str, k: int, *, widest: int | None = Non
         .join(daily_rank_corr(pred, label, widest=widest), DATE)
     )
     shown = F.least(F.col("names"), F.lit(k))
+    # Summation noise must not turn a zero excess (all names selected) into a win or a loss.
+    excess = F.round(F.col("topk_return") - F.col("universe_return"), 12)
     proper = F.col("ideal_dcg") > 0
     return table.select(
         *DATE,
         "topk_return",
         "universe_return",
-        (F.col("topk_return") - F.col("universe_return")).alias("topk_excess"),
+        excess.alias("topk_excess"),
         "topk_mean_percentile",
         "precision",
         (shown / F.col("names")).alias("random_precision"),

@@ -112,7 +112,11 @@ def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[Column], fil
 
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column], filled: Column,
             identity: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """Add ``__slice`` (monotone in ``order``; odd = equal to a cut point) and count slices."""
+    """Add ``__slice`` (monotone in ``order``; odd = equal to a cut point) and count slices.
+
+    The rows are written first: they are read to count, to sample, to place and to rank.
+    """
+    df = materialize(df)
     cuts = _cut_points(df, keys, order, filled, identity, limit)
     here = F.struct(*order)
     cut = (

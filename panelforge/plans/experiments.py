@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelforge.operators.calendar import PanelShape
 from panelforge.sources.store import audit_columns
@@ -24,8 +24,9 @@ def importance_shift(validation: DataFrame, test: DataFrame, top: int = 10) -> D
     """Normalised importances of two (factor, importance) tables; the ``top`` largest test values."""
 
     def normal(df, name):
-        total = F.sum("importance").over(Window.partitionBy())  # one row per library factor
-        return df.select("factor", F.when(total > 0, F.col("importance") / total).otherwise(F.col("importance")).alias(name))
+        total = F.broadcast(df.agg(F.sum("importance").alias("total")))  # one row
+        share = F.when(F.col("total") > 0, F.col("importance") / F.col("total")).otherwise(F.col("importance"))
+        return df.crossJoin(total).select("factor", share.alias(name))
 
     aligned = align_scores(normal(validation, "validation"), normal(test, "test"), "factor")
     return aligned.orderBy(F.desc("test"), F.asc("factor")).limit(top)

@@ -69,15 +69,21 @@ def work_folder(spark: SparkSession) -> str:
     return work_folder(spark)
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def write_table(df: DataFrame) -> str:
+    """Write ``df`` to a new table in the shared folder and return its path."""
+    path = f"{work_folder(df.sparkSession)}/panelforge-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, columnar reuse."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/panelforge-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df))
 
 
 def small_table(spark: SparkSession, **columns: list) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from panelforge.functions.scalar import fixed, missing_if_nan
 from panelforge.operators.series import led
+from panelforge.session import path_exists
 
 KEYS = ("entity", "trade_date")
 # Status columns that are never features.
@@ -123,9 +124,7 @@ def build_or_reuse(spark: SparkSession, path: str, build, *, force: bool = False
     Laid out by month, so a date range reads only the months it touches. The rebalance hint
     lets AQE split a month holding much of the data over many tasks and merge small ones.
     """
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    ready = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    ready = path_exists(spark, f"{path}/_SUCCESS")
     if force or not ready:
         df = build().withColumn("month", F.substring("trade_date", 1, 6))
         rebalanced = df.hint("rebalance", "month").sortWithinPartitions("month", *reversed(KEYS))
