@@ -101,7 +101,10 @@ PAIR_SQL = """roll AS (SELECT *, row_number() OVER w AS i, CASE WHEN count(score
 fin AS (SELECT factor, i AS e FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY pair DESC, month) AS q FROM roll WHERE pair IS NOT NULL) WHERE q = 1),
 obj AS (SELECT roll.factor, avg(score) AS raw, max(month) AS peak_month, CASE WHEN avg(pos) >= avg(neg) THEN 1 ELSE -1 END AS direction FROM roll JOIN fin USING (factor) WHERE i BETWEEN e - 1 AND e GROUP BY 1)"""
 VOL_SQL = "vol AS (SELECT factor, stddev_pop(CASE WHEN pos >= neg THEN pos ELSE neg END) AS volatility FROM sides GROUP BY 1)"
-_FIT = "SELECT factor, nodes, round(raw - 0.05e0 * volatility - 0.0005e0 * nodes, 9) + 0e0 AS score, round(raw, 9) + 0e0 AS raw, round(volatility, 9) + 0e0 AS volatility, peak_month, direction FROM sizes JOIN obj USING (factor) JOIN vol USING (factor)"
+# Factors without a usable month keep the sentinel score.
+_SCORE = "coalesce(round(raw - 0.05e0 * volatility - 0.0005e0 * nodes, 9) + 0e0, -1e9 - 0.0005e0 * nodes) AS score"
+_REST = "coalesce(peak_month, '') AS peak_month, coalesce(direction, 1) AS direction FROM sizes LEFT JOIN (SELECT * FROM obj JOIN vol USING (factor)) USING (factor)"
+_FIT = f"SELECT factor, nodes, {_SCORE}, coalesce(round(raw, 9) + 0e0, -1e9) AS raw, coalesce(round(volatility, 9) + 0e0, 0e0) AS volatility, {_REST}"
 
 
 def _sides(spark, folder):
@@ -201,7 +204,7 @@ def _population(spark, folder, masked):
     return rounded(scored, ["score"], 9)
 
 
-_POP = "SELECT factor, nodes, round(raw - 0.05e0 * volatility - 0.0005e0 * nodes, 9) + 0e0 AS score, peak_month, direction FROM sizes JOIN obj USING (factor) JOIN vol USING (factor)"
+_POP = f"SELECT factor, nodes, {_SCORE}, {_REST}"
 _MASK_SQL = f"""mm AS (SELECT month FROM (SELECT DISTINCT substr(trade_date, 1, 6) AS month FROM labelled) ORDER BY md5('7:' || month), month LIMIT 40),
 masked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY md5('7:' || entity), entity) AS hr FROM labelled)
  WHERE hr <= 20 AND substr(trade_date, 1, 6) IN (SELECT month FROM mm))"""
