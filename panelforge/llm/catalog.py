@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import exact, mixing, secrets, urls
+from panelforge.llm import exact, mixing, packing, prefixes, secrets, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,6 +61,12 @@ def secret_scan(spark, folder):
     return secrets.digest(secrets.scan(table(spark, folder, "documents")))
 
 
+@register("op5_simhash_neardup")
+def simhash_neardup(spark, folder):
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @register(
     "op6_exact_dedup",
     r"""
@@ -73,6 +79,16 @@ def exact_dedup(spark, folder):
     return exact.groups(table(spark, folder, "documents"))
 
 
+@register("op9_best_fit_packing")
+def best_fit_packing(spark, folder):
+    return packing.packed(table(spark, folder, "documents"))
+
+
+@register("op10_prefix_fingerprints")
+def prefix_fingerprints(spark, folder):
+    return prefixes.fingerprinted(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
