@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import exact, mixing, packing, prefixes, secrets, simhash, urls
+from panelforge.llm import exact, mixing, packing, prefixes, rules, secrets, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,6 +61,24 @@ def secret_scan(spark, folder):
     return secrets.digest(secrets.scan(table(spark, folder, "documents")))
 
 
+@register(
+    "op4_warc_index",
+    r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda k:
+    CASE WHEN substr(from_hex(hex)::BIT::VARCHAR, (5 * i + k + 1)::BIGINT, 1) = '1' THEN (16 >> k::INT) ELSE 0 END))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+""",
+)
+def warc_index(spark, folder):
+    pages = table(spark, folder, "pages")
+    index = warc.write(pages, warc.archive_folder(pages))
+    return warc.read(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op5_simhash_neardup")
 def simhash_neardup(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
@@ -79,6 +97,11 @@ def exact_dedup(spark, folder):
     return exact.groups(table(spark, folder, "documents"))
 
 
+@register("op7_quality_rules")
+def quality_rules(spark, folder):
+    return rules.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @register("op9_best_fit_packing")
 def best_fit_packing(spark, folder):
     return packing.packed(table(spark, folder, "documents"))
