@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import exact, mixing, packing, prefixes, rules, secrets, simhash, urls, warc
+from panelforge.llm import exact, masked, mixing, packing, prefixes, rules, secrets, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,6 +103,11 @@ def quality_rules(spark, folder):
     return rules.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@register("op8_masked_lm")
+def masked_lm(spark, folder):
+    return masked.scored(table(spark, folder, "documents"))
+
+
 @register("op9_best_fit_packing")
 def best_fit_packing(spark, folder):
     return packing.packed(table(spark, folder, "documents"))
@@ -112,6 +118,11 @@ def prefix_fingerprints(spark, folder):
     return prefixes.fingerprinted(table(spark, folder, "documents"))
 
 
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

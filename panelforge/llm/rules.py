@@ -129,25 +129,31 @@ def compile_rules(intercept: float, rules: Sequence[tuple[Rule, float]]) -> Colu
     return 1 / (1 + F.exp(-total))
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` labelled rows outside the held-out fold, written to a table."""
+def training_sample(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """At most ``sample`` labels outside the held-out fold: (doc_id, quality)."""
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL").where(~held_out(F.col("doc_id")))
-    first = marked.orderBy(F.xxhash64("doc_id"), "quality").limit(sample)
-    return materialize(stats.join(F.broadcast(first), "doc_id").repartition(4, "doc_id").sortWithinPartitions("doc_id"))
+    return materialize(marked.orderBy(F.xxhash64("doc_id"), "quality").limit(sample))
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Training rows in an order of their own, so that the fit does not depend on the reading."""
+    return materialize(rows.repartition(4, "doc_id").sortWithinPartitions("doc_id", *STATISTICS))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     stats = materialize(measured(docs))
-    model = fit(training_rows(stats, labels, sample))
+    # The sample's size is bounded by its parameter.
+    model = fit(_settled(stats.join(F.broadcast(training_sample(labels, sample)), "doc_id")))
     scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), compile_rules(*model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that are predicted good, with all their columns, where they are read."""
-    marked = labels.select("doc_id").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text")
-    model = fit(training_rows(measured(marked).dropDuplicates(["doc_id"]), labels, sample))
+    chosen = training_sample(labels, sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fit(_settled(measured(texts).join(F.broadcast(chosen), "doc_id")))
     fields = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
