@@ -154,14 +154,14 @@ def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: fl
     chosen = training_sample(labels, sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     model = fit(_settled(measured(texts).join(F.broadcast(chosen), "doc_id")))
-    fields = docs.columns
+    # Numbered names inside: no column of the rows can clash with the statistics.
+    fields, text = [f"c{i}" for i in range(len(docs.columns))], f"c{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([statistics(t.as_py()) for t in batch.column("text")], "f8").reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), pa.array(list(values), pa.list_(pa.float64()))], names=[*fields, "_stats"])
+            values = np.array([statistics(t.as_py()) for t in batch.column(text)], "f8").reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), *(pa.array(values[:, i]) for i in range(len(STATISTICS)))], names=[*fields, *STATISTICS])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    wide = docs.mapInArrow(run, f"{kinds}, _stats array<double>")
-    wide = wide.select(F.struct(*fields).alias("_row"), *[F.col("_stats")[i].alias(s) for i, s in enumerate(STATISTICS)])
-    return wide.where(compile_rules(*model) >= threshold).select("_row.*")
+    kinds = [f"{c} {f.dataType.simpleString()}" for c, f in zip(fields, docs.schema)] + [f"{s} double" for s in STATISTICS]
+    wide = docs.toDF(*fields).mapInArrow(run, ", ".join(kinds)).where(compile_rules(*model) >= threshold)
+    return wide.select(*[F.col(c).alias(name) for c, name in zip(fields, docs.columns)])
