@@ -74,7 +74,7 @@ def main_panel(spark: SparkSession, folder: str) -> DataFrame:
 
     def build():
         df = sources.with_forward_return(sources.supplier_week(spark, folder), "px", HORIZON, LABEL)
-        return df.withColumn(LABEL, fixed(F.col(LABEL), 4))
+        return df.withColumn(LABEL, fixed(F.col(LABEL), 6))
 
     return prepared(spark, folder, "panel", build)
 
@@ -145,7 +145,7 @@ SERIES = "PARTITION BY entity ORDER BY trade_date"
 
 MAIN_SQL = PANEL_SQL + f""",
 main AS (
-  SELECT *, {fixed_sql(f'lead(px, {HORIZON}) OVER ({SERIES}) / px - 1e0', 4)} AS {LABEL} FROM panel)"""
+  SELECT *, {fixed_sql(f'lead(px, {HORIZON}) OVER ({SERIES}) / px - 1e0', 6)} AS {LABEL} FROM panel)"""
 
 
 def avg_rank_sql(value: str, part: str, *, pct: bool = True) -> str:

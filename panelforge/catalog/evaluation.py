@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from panelforge.catalog import base
 from panelforge.catalog.base import (
-    CALENDAR_SQL, CATEGORIES, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, MIN_NAMES, PANEL_SQL, avg_rank_sql, labelled_panel,
-    main_calendar, main_panel, main_shape, ordinal_sql, pearson_sql, r, register, rounded, with_sql,
+    CALENDAR_SQL, CATEGORIES, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, MIN_NAMES, ORACLE, PANEL_SQL, avg_rank_sql, labelled_panel,
+    main_calendar, main_panel, main_shape, ordinal_sql, pearson_sql, r, register, with_sql,
 )
 from panelforge.catalog.expressions import CATEGORIES_SQL, EXPRESSIONS_SQL, LEAVES_SQL, categories, expression_table
 from panelforge.functions import expressions as ex
 from panelforge.operators import evaluate as ev
 from panelforge.plans import experiments as xp
-from panelforge.sources import panel as sources
+from panelforge.session import work_folder
+from panelforge.sources import panel as sources, store
 
 
 def predictions(spark, folder, score="disc"):
@@ -51,8 +55,17 @@ _DAILY = ["topk_return", "universe_return", "topk_excess", "topk_mean_percentile
 _SUMMARY = ["topk_return", "topk_excess", "topk_mean_percentile", "precision", "random_precision", "ndcg", "random_ndcg", "turnover", "rank_ic"]
 
 
+# Means of rounded labels often lie halfway between two rounded values, where the order of a
+# sum decides. Both engines round values moved by this much.
+HALFWAY = 1e-12
+
+
 def rounds(columns, digits=9):
-    return ", ".join(f"round({c}, {digits}) + 0e0 AS {c}" for c in columns)
+    return ", ".join(f"round({c} + {HALFWAY!r}, {digits}) + 0e0 AS {c}" for c in columns)
+
+
+def rounded(df, columns, digits=9):
+    return base.rounded(df.withColumns({c: F.col(c) + HALFWAY for c in columns}), columns, digits)
 
 
 SUMMARY_SQL = (
@@ -76,6 +89,19 @@ def topk_selection(spark, folder):
     return top.select("entity", "trade_date", "score", F.col("pred_position").cast("long").alias("pred_position"))
 
 
+def _stored(spark):
+    return f"{work_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
+@register("predictions_stored", ORACLE["topk_selection"])
+def predictions_stored(spark, folder):
+    """Predictions and the selected rows written by month; the selected rows read back."""
+    ranked, path = ev.rank_predictions(predictions(spark, folder), LABEL, K, widest=main_shape(spark, folder).widest), _stored(spark)
+    store.write_predictions(ranked, path)
+    top = spark.read.parquet(f"{path}/topk_predictions")
+    return top.select("entity", "trade_date", "score", F.col("pred_position").cast("long").alias("pred_position"))
+
+
 @register("rank_predictions", with_sql(pred_sql(), select=f"SELECT entity, trade_date, score, p AS pred_position, p <= {K} AS is_pred_topk FROM (SELECT *, {ordinal_sql('score', 'trade_date', descending=True)} AS p FROM pred)"))
 def rank_predictions(spark, folder):
     ranked = ev.rank_predictions(predictions(spark, folder), LABEL, K, widest=main_shape(spark, folder).widest)
@@ -126,6 +152,14 @@ def evaluation_daily(spark, folder):
     return rounded(daily(spark, folder, "ret_share"), _DAILY, 9)
 
 
+@register("metrics_stored", ORACLE["evaluation_daily"])
+def metrics_stored(spark, folder):
+    """The daily metrics written as CSV and read back under their schema."""
+    table, path = rounded(daily(spark, folder, "ret_share"), _DAILY, 9), _stored(spark)
+    store.write_metrics({"daily": table}, path)
+    return spark.read.schema(table.schema).option("header", True).csv(f"{path}/daily")
+
+
 @register("evaluation_monthly", with_sql(daily_sql(), MONTHLY_SQL, select=f"SELECT month, {rounds(ev.MONTHLY_METRICS)} FROM monthly"))
 def evaluation_monthly(spark, folder):
     return rounded(ev.monthly_table(daily(spark, folder)), ev.MONTHLY_METRICS, 9)
@@ -136,15 +170,16 @@ def evaluation_summary(spark, folder):
     return rounded(ev.evaluate_predictions(predictions(spark, folder), LABEL, K, widest=main_shape(spark, folder).widest).summary, _SUM_COLS, 9)
 
 
-@register("evaluation_yearly", with_sql(daily_sql(), select="SELECT year, " + ", ".join(f"round(avg({m}), 9) + 0e0 AS {m}" for m in ev.YEARLY_METRICS) + " FROM daily GROUP BY 1"))
+@register("evaluation_yearly", with_sql(daily_sql(), select="SELECT year, " + ", ".join(f"round(avg({m}) + 1e-12, 9) + 0e0 AS {m}" for m in ev.YEARLY_METRICS) + " FROM daily GROUP BY 1"))
 def evaluation_yearly(spark, folder):
     return rounded(ev.yearly_table(daily(spark, folder)), ev.YEARLY_METRICS, 9)
 
 
-_YEARS = ["1999", "2000"]
+# Every year of the tables.
+_YEARS = [str(y) for y in range(1995, 2002)]
 
 
-@register("evaluation_year_pivot", with_sql(daily_sql(), select="SELECT " + ", ".join(f"round(avg(CASE WHEN year = '{y}' THEN {m} END), 9) + 0e0 AS {m}_{y}" for y in _YEARS for m in ev.YEARLY_METRICS) + " FROM daily"))
+@register("evaluation_year_pivot", with_sql(daily_sql(), select="SELECT " + ", ".join(f"round(avg(CASE WHEN year = '{y}' THEN {m} END) + 1e-12, 9) + 0e0 AS {m}_{y}" for y in _YEARS for m in ev.YEARLY_METRICS) + " FROM daily"))
 def evaluation_year_pivot(spark, folder):
     wide = ev.yearly_columns(daily(spark, folder), _YEARS)
     return rounded(wide, wide.columns, 9)
@@ -179,9 +214,9 @@ _BACKTEST = ["mean_top_return", "mean_bottom_return", "mean_long_short", "long_s
 
 
 def backtest_sql(rate):
-    return f"""SELECT count(*) AS test_days, round(avg(top_return), 9) + 0e0 AS mean_top_return, round(avg(bottom_return), 9) + 0e0 AS mean_bottom_return,
- round(avg(long_short), 9) + 0e0 AS mean_long_short, round({rate}, 9) AS long_short_win_rate, round(avg(rank_ic) FILTER (WHERE n >= {MIN_NAMES}), 9) + 0e0 AS mean_rank_ic,
- round(avg(rank_ic) FILTER (WHERE n >= {MIN_NAMES}) / stddev_samp(rank_ic) FILTER (WHERE n >= {MIN_NAMES}), 9) + 0e0 AS rank_ic_ir FROM qd"""
+    return f"""SELECT count(*) AS test_days, round(avg(top_return) + 1e-12, 9) + 0e0 AS mean_top_return, round(avg(bottom_return) + 1e-12, 9) + 0e0 AS mean_bottom_return,
+ round(avg(long_short) + 1e-12, 9) + 0e0 AS mean_long_short, round({rate} + 1e-12, 9) AS long_short_win_rate, round(avg(rank_ic) FILTER (WHERE n >= {MIN_NAMES}) + 1e-12, 9) + 0e0 AS mean_rank_ic,
+ round(avg(rank_ic) FILTER (WHERE n >= {MIN_NAMES}) / stddev_samp(rank_ic) FILTER (WHERE n >= {MIN_NAMES}) + 1e-12, 9) + 0e0 AS rank_ic_ir FROM qd"""
 
 
 def _backtest(spark, folder, missing_is_loss):
@@ -276,7 +311,7 @@ def _summary_sql(name, cond):
     with_sql(
         daily_sql(), _summary_sql("va", "trade_date < '20010101'"), _summary_sql("te", "trade_date >= '20010101'"),
         select=" UNION ALL ".join(
-            f"SELECT '{m}' AS metric, round(va.{m}, 9) + 0e0 AS validation, round(te.{m}, 9) + 0e0 AS test, round(te.{m} - va.{m}, 9) + 0e0 AS absolute_gap, round(te.{m} / nullif(va.{m}, 0e0), 8) + 0e0 AS retention FROM va, te"
+            f"SELECT '{m}' AS metric, round(va.{m} + 1e-12, 9) + 0e0 AS validation, round(te.{m} + 1e-12, 9) + 0e0 AS test, round(te.{m} - va.{m} + 1e-12, 9) + 0e0 AS absolute_gap, round(te.{m} / nullif(va.{m}, 0e0) + 1e-12, 8) + 0e0 AS retention FROM va, te"
             for m in _GAP
         ),
     ),

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelforge.catalog.base import (
-    CALENDAR_SQL, END, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, NAMES, START, hist_sql, labelled_panel,
+    CALENDAR_SQL, END, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, NAMES, PANEL_SQL, START, hist_sql, labelled_panel,
     main_calendar, main_shape, register, rounded, with_sql,
 )
 from panelforge.catalog.evaluation import rounds
 from panelforge.catalog.walk import ranked_frame, windows
 from panelforge.plans import grid as gr
 from panelforge.plans import models as md
-from panelforge.session import small_table
+from panelforge.session import path_exists, small_table, work_folder
+from panelforge.sources import store
 
 _UPDATE = 20
 _BOOST = {**md.BOOST, "max_iter": 6, "min_rows": 20, "step": 0.1}
+_RUNS: dict[tuple[str, str, str], md.WalkForward] = {}
+
+
 def run(spark, folder, model, options=None, **settings):
     return gr.walk_forward(
         ranked_frame(spark, folder), NAMES, main_calendar(spark, folder), main_shape(spark, folder), model=model, start=START,
@@ -23,6 +29,53 @@ def run(spark, folder, model, options=None, **settings):
     )
 
 
+RUNS = {
+    "rolling_tree": dict(model="tree"),
+    # First generation: two depths compared on the validation dates.
+    "rolling_boost_candidates": dict(
+        model="regression", options=dict(settings=_BOOST, candidates=({"depth": 2}, {"depth": 3})), half_life=0.0
+    ),
+    "rolling_boost_decayed": dict(model="regression", options=dict(settings=_BOOST)),
+    "rolling_topk_classifier": dict(model="classifier", options=dict(settings=_BOOST)),
+    "rolling_lambdarank": dict(model="lambdarank", options=dict(rounds=3, step=0.3, depth=2, min_rows=20, l2=1.0)),
+}
+
+
+def walked(spark, folder, name):
+    """A named run, made once per session; its predictions are a written table."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    found = _RUNS.get(key)
+    if found is None or not path_exists(spark, found.predictions.inputFiles()[0]):
+        found = _RUNS[key] = run(spark, folder, **RUNS[name])
+    return found
+
+
+def coverage(spark, folder, name):
+    """Per refit: its training dates, embargo gap and the number of rows it scored."""
+    result = walked(spark, folder, name)
+    position = main_calendar(spark, folder).select("trade_date", "position")
+    fields = ("rebalance_date", "train_start", "train_end")
+    spans = small_table(spark, **{f: [x[f] for x in result.records] for f in fields})
+    at = lambda c: F.broadcast(position.select(F.col("trade_date").alias(c), F.col("position").alias(f"{c}_position")))
+    rows = result.predictions.groupBy("rebalance_date").agg(F.count("*").alias("scored_rows"), F.count("score").alias("scores"))
+    return (
+        spans.join(at("rebalance_date"), "rebalance_date").join(at("train_end"), "train_end").join(rows, "rebalance_date")
+        .select(*fields, (F.col("rebalance_date_position") - F.col("train_end_position")).cast("int").alias("gap"), "scored_rows", "scores")
+    )
+
+
+COVERAGE_SQL = with_sql(
+    PANEL_SQL, CALENDAR_SQL, hist_sql(update=_UPDATE),
+    "spans AS (SELECT rebalance_date, min(trade_date) AS train_start, max(trade_date) AS train_end FROM hist GROUP BY 1)",
+    select=f"""SELECT rebalance_date, train_start, train_end, CAST({HORIZON + 1} AS INTEGER) AS gap, count(*) AS scored_rows, count(*) AS scores
+FROM spans JOIN blocks USING (rebalance_date) JOIN panel ON panel.trade_date = blocks.trade_date GROUP BY 1, 2, 3""",
+)
+SPANS_SQL = with_sql(
+    PANEL_SQL, CALENDAR_SQL, hist_sql(update=_UPDATE),
+    select="SELECT rebalance_date, min(trade_date) AS train_start, max(trade_date) AS train_end FROM hist GROUP BY 1",
+)
+
+
 @register(
     "validation_baseline",
     with_sql(
@@ -35,31 +88,55 @@ def validation_baseline(spark, folder):
     return rounded(base, ["validation_baseline_mae"])
 
 
-@register("rolling_tree")
-def rolling_tree(spark, folder):
-    return run(spark, folder, "tree", dict(depths=(1, 2), leaf_shares=(0.05, 0.10))).predictions
+for _name in RUNS:
+    register(_name)(lambda spark, folder, name=_name: walked(spark, folder, name).predictions)
+    register(f"{_name}_coverage", COVERAGE_SQL)(lambda spark, folder, name=_name: coverage(spark, folder, name))
 
 
-@register("rolling_boost_candidates")
-def rolling_boost_candidates(spark, folder):
-    """First generation: two depths compared on the validation dates."""
-    options = dict(settings=_BOOST, candidates=({"depth": 2}, {"depth": 3}))
-    return run(spark, folder, "regression", options, half_life=0.0).predictions
+@register("records_stored", SPANS_SQL)
+def records_stored(spark, folder):
+    """Model records written as JSON and read back."""
+    path = f"{work_folder(spark)}/records-{uuid.uuid4().hex}"
+    store.write_records(md.records_table(spark, walked(spark, folder, "rolling_tree").records), path)
+    return spark.read.json(path).select("rebalance_date", "train_start", "train_end")
 
 
-@register("rolling_boost_decayed")
-def rolling_boost_decayed(spark, folder):
-    return run(spark, folder, "regression", dict(settings=_BOOST)).predictions
-
-
-@register("rolling_topk_classifier")
-def rolling_topk_classifier(spark, folder):
-    return run(spark, folder, "classifier", dict(settings=_BOOST)).predictions
+@register(
+    "models_reloaded",
+    with_sql(
+        PANEL_SQL, CALENDAR_SQL, hist_sql(update=_UPDATE),
+        select="SELECT rebalance_date, count(*) AS compared, CAST(0 AS BIGINT) AS different FROM (SELECT DISTINCT rebalance_date FROM hist) JOIN blocks USING (rebalance_date) JOIN panel ON panel.trade_date = blocks.trade_date GROUP BY 1",
+    ),
+)
+def models_reloaded(spark, folder):
+    """Tree models saved, loaded and scored again: rows whose score changed."""
+    from pyspark.ml.regression import DecisionTreeRegressionModel
+
+    path, result = f"{work_folder(spark)}/models-{uuid.uuid4().hex}", walked(spark, folder, "rolling_tree")
+    md.save_models(result.models, path)
+    frame = md.VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(ranked_frame(spark, folder)).select("entity", "trade_date", "features")
+    out = None
+    for date in result.models:  # one model per refit
+        rows = result.predictions.where(F.col("rebalance_date") == date).join(frame, ["entity", "trade_date"])
+        again = DecisionTreeRegressionModel.load(f"{path}/{date}").transform(rows)
+        again = again.select("rebalance_date", (F.col("prediction") != F.col("score")).cast("int").alias("differs"))
+        out = again if out is None else out.unionByName(again)
+    return out.groupBy("rebalance_date").agg(F.count("*").alias("compared"), F.sum("differs").alias("different"))
 
 
-@register("rolling_lambdarank")
-def rolling_lambdarank(spark, folder):
-    return run(spark, folder, "lambdarank", dict(rounds=3, step=0.3, depth=2, min_rows=20, l2=1.0)).predictions
+@register(
+    "importance_shares",
+    with_sql(
+        PANEL_SQL, CALENDAR_SQL, hist_sql(update=_UPDATE),
+        select=f"SELECT rebalance_date, CAST({len(NAMES)} AS BIGINT) AS factors, 1e0 AS total, CAST({len(NAMES)} AS BIGINT) AS last_position FROM hist GROUP BY 1",
+    ),
+)
+def importance_shares(spark, folder):
+    """Importances of each refit: one row per factor, adding up to one, numbered in order."""
+    table = md.importance_table(spark, walked(spark, folder, "rolling_tree").models, NAMES)
+    return table.groupBy("rebalance_date").agg(
+        F.countDistinct("factor").alias("factors"), F.round(F.sum("importance"), 9).alias("total"), F.max("position").alias("last_position")
+    )
 
 
 @register("feature_importance")

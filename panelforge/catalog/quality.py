@@ -266,4 +266,4 @@ def search_factors(spark, folder):
         selection="tournament", crossover="symmetric_subtree", mutation="mixed", start="category_balanced",
         categories=dict(CATEGORIES),
     )
-    return sr.search_factors(labelled_panel(spark, folder), ["px", "qty", "disc", "ret_share"], options)
+    return sr.search_factors(labelled_panel(spark, folder), FEATURES, options)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from panelforge.operators.daily import VECTOR_NAMES
+from panelforge.operators.daily import CELLS
 from panelforge.operators.ranks import average_rank
 from panelforge.session import group_limit
 
@@ -74,7 +74,7 @@ def rank_correlation(wide: DataFrame, names: Sequence[str], *, widest: int) -> D
     dates use the rank windows, which split them.
     """
     names = list(names)
-    if widest > min(VECTOR_NAMES, group_limit(wide.sparkSession)):
+    if widest * len(names) > CELLS or widest > group_limit(wide.sparkSession):
         for name in names:
             wide = average_rank(wide, ["trade_date"], name, f"__{name}", widest=widest)
         return gram_correlation(wide.select(*[F.col(f"__{n}").alias(n) for n in names]), names)

@@ -1,9 +1,9 @@
 """Per-date statistics of many expression columns at once.
 
-One row per (entity, date) carries all expressions of a batch, so nothing is exploded and
-each date's columns are ranked together by NumPy. Spark shuffles by date. Callers use this
-only when the panel's measured widest date fits ``VECTOR_NAMES``; wider panels use the long
-form in :mod:`panelforge.operators.quality`, which splits dates.
+One row per (entity, date) carries all expressions of a batch, and NumPy ranks the columns of
+a date together. Spark shuffles by date and chunk of columns: a chunk holds as many columns as
+keep a date's cells within ``CELLS``, so a task's memory is bounded however many expressions
+there are, and rows are repeated once per chunk, not once per expression.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TINY = 1e-12
-# 100,000 names × 42 columns of doubles is 34 MB per date.
-VECTOR_NAMES = 100_000
+# 4.2 million doubles are 34 MB per date and chunk.
+CELLS = 4_200_000
 SCHEMA = "factor int, trade_date string, names bigint, n bigint, total double, scatter double, pos double"
 
 
@@ -53,21 +53,26 @@ def _ndcg(values: np.ndarray, gains: np.ndarray, k: int) -> tuple[np.ndarray, np
     return high, pick(np.argsort(values, axis=0, kind="stable")) / ideal
 
 
-def daily_statistics(wide: DataFrame, names: Sequence[str], kind: str, *, k: int = 50, least: int = 1) -> DataFrame:
+def daily_statistics(
+    wide: DataFrame, names: Sequence[str], kind: str, *, k: int = 50, least: int = 1, widest: int | None = None
+) -> DataFrame:
     """(factor, trade_date, names, n, total, scatter, pos, neg) for every expression column.
 
     ``kind`` is ``prerank`` (IC against the given target_rank), ``ic`` (both sides ranked
     over complete rows) or ``ndcg``. ``names`` counts complete rows; n, total and scatter
     describe the non-missing values; pos and neg are NULL below ``least`` complete rows.
+    ``widest`` is the panel's measured widest date; without it all columns go together.
     """
     names = list(names)
     schema = SCHEMA + ", neg double"
+    width = max(1, min(len(names), CELLS // max(1, widest or 1)))
 
     def one_date(key, frame):
         import pandas as pd
 
         frame = frame.sort_values("entity", kind="stable")
-        values = frame[names].to_numpy(dtype="float64")
+        values = np.stack(frame["cells"].to_numpy()).astype("float64") if width < len(names) else frame[names].to_numpy(dtype="float64")
+        first = int(frame["chunk"].iloc[0]) * width if width < len(names) else 0
         target = frame["target_rank"].to_numpy(dtype="float64")
         complete = ~np.isnan(values) & ~np.isnan(target)[:, None]
         size = (~np.isnan(values)).sum(0)
@@ -92,7 +97,7 @@ def daily_statistics(wide: DataFrame, names: Sequence[str], kind: str, *, k: int
                 pos, neg = _ndcg(masked, gains, k)
         return pd.DataFrame(
             {
-                "factor": np.arange(len(names)),
+                "factor": np.arange(first, first + values.shape[1]),
                 "trade_date": key[0],
                 "names": complete.sum(0),
                 "n": size,
@@ -103,8 +108,17 @@ def daily_statistics(wide: DataFrame, names: Sequence[str], kind: str, *, k: int
             }
         )
 
-    rows = wide.select("entity", "trade_date", "target_rank", "relevance", *names)
-    found = rows.groupBy("trade_date").applyInPandas(one_date, schema)
+    keys = ["entity", "trade_date", "target_rank", "relevance"]
+    if width < len(names):
+        cell = lambda n: F.col(n).cast("double")
+        parts = [
+            F.struct(F.lit(i).alias("chunk"), F.array(*[cell(n) for n in names[s : s + width]]).alias("cells"))
+            for i, s in enumerate(range(0, len(names), width))
+        ]
+        rows = wide.select(*keys, F.inline(F.array(*parts)))
+        found = rows.groupBy("trade_date", "chunk").applyInPandas(one_date, schema)
+    else:
+        found = wide.select(*keys, *names).groupBy("trade_date").applyInPandas(one_date, schema)
     present = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     labels = F.array(*[F.lit(n) for n in names])
     return found.select(

@@ -9,19 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.functions.scalar import discount, gain, half_life_weight
 from panelforge.operators.evaluate import daily_ideal, ndcg
 from panelforge.operators.ranks import ordinal_rank
 from panelforge.plans.models import Block, WalkForward, history, run_blocks, split
-from panelforge.session import broadcast_within, materialize
+from panelforge.session import broadcast_within, drop_table, small_table, table_at, write_table
 
 DATE = ["trade_date"]
 # Regularisation of leaf values and default rounds.
 LEAF_L2 = 10.0
-ROUNDS = 30
+ROUNDS = 200
 PATIENCE = 15
 
 
@@ -90,13 +90,29 @@ class LambdaRankModel:
         total = F.lit(0.0)
         for i, (tree, leaves) in enumerate(self.trees[:upto]):
             rows = tree.setLeafCol(f"__leaf{i}").setPredictionCol(f"__pred{i}").transform(rows)
-            value = F.lit(0.0)
-            for leaf, v in leaves.items():
-                value = F.when(F.col(f"__leaf{i}") == leaf, v).otherwise(value)
-            total = total + self.step * value
+            total = total + self.step * leaf_value(f"__leaf{i}", leaves)
         rows = rows.withColumn("score", total)
         return rows.drop(*[c for c in rows.columns if c.startswith(("__leaf", "__pred"))])
 
+    def save(self, path: str) -> None:
+        """Each tree below ``path/<number>`` and one table of leaf values."""
+        spark = SparkSession.active()
+        for i, (tree, _) in enumerate(self.trees):
+            tree.write().overwrite().save(f"{path}/{i}")
+        rows = [(i, float(leaf), value) for i, (_, leaves) in enumerate(self.trees) for leaf, value in leaves.items()]
+        tree, leaf, value = (list(x) for x in zip(*rows))
+        leaves = small_table(spark, tree=tree, leaf=leaf, value=value, step=[self.step] * len(rows))
+        leaves.write.mode("overwrite").parquet(f"{path}/leaves")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LambdaRankModel:
+        rows = spark.read.parquet(f"{path}/leaves").orderBy("tree", "leaf").collect()
+        leaves: dict[int, dict[float, float]] = {}
+        for r in rows:
+            leaves.setdefault(r.tree, {})[r.leaf] = r.value
+        trees = [(DecisionTreeRegressionModel.load(f"{path}/{i}"), leaves[i]) for i in sorted(leaves)]
+        return cls(trees, rows[0].step)
+
     @property
     def featureImportances(self):
         import numpy as np
@@ -108,14 +124,18 @@ class LambdaRankModel:
 
 
 def _fit(rows: DataFrame, *, rounds, step, depth, bins, min_rows, k, l2, weight, widest, dates, seed, on_round=None) -> LambdaRankModel:
-    model = LambdaRankModel([], step)
+    """Boosts ``rows``; each round's table is deleted when the next one is written."""
+    spark, model, before = rows.sparkSession, LambdaRankModel([], step), None
     current = rows.withColumn("score", F.lit(0.0))
     for number in range(rounds):
         graded = lambda_gradients(current, k, widest=widest, dates=dates)
         if weight is not None:
             graded = graded.withColumn("lambda", F.col("lambda") * weight).withColumn("hessian", F.col("hessian") * weight)
         graded = graded.withColumn("direction", F.when(F.col("hessian") > 0, F.col("lambda") / F.col("hessian")).otherwise(0.0))
-        graded = materialize(graded)  # cuts the lineage of the round
+        path = write_table(graded)  # cuts the lineage of the round
+        graded = table_at(graded, path)
+        drop_table(spark, before)
+        before = path
         tree = DecisionTreeRegressor(
             featuresCol="features", labelCol="lambda", maxDepth=depth, maxBins=bins,
             minInstancesPerNode=min_rows, seed=seed + number, leafCol="leaf", predictionCol="raw",
@@ -123,15 +143,43 @@ def _fit(rows: DataFrame, *, rounds, step, depth, bins, min_rows, k, l2, weight,
         leaves = tree.transform(graded).groupBy("leaf").agg((F.sum("lambda") / (F.sum("hessian") + F.lit(l2))).alias("value"))
         values = {x.leaf: float(x.value) for x in leaves.collect()}  # at most 2^depth rows
         model.trees.append((tree, values))
-        value = F.lit(0.0)
-        for leaf, v in values.items():
-            value = F.when(F.col("leaf") == leaf, v).otherwise(value)
-        current = tree.transform(graded).select(*rows.columns, (F.col("score") + step * value).alias("score"))
+        current = tree.transform(graded).select(*rows.columns, (F.col("score") + step * leaf_value("leaf", values)).alias("score"))
         if on_round is not None and on_round(model, number + 1):
             break
+    drop_table(spark, before)
     return model
 
 
+def leaf_value(leaf: str, values: dict):
+    """The value of a leaf as literals, at most 2^depth of them."""
+    value = F.lit(0.0)
+    for number, v in values.items():
+        value = F.when(F.col(leaf) == number, v).otherwise(value)
+    return value
+
+
+class RunningScore:
+    """Validation rows with the score of the trees so far: each round adds one tree."""
+
+    def __init__(self, rows: DataFrame, k: int):
+        self.rows, self.k, self.path = rows.withColumn("score", F.lit(0.0)), k, None
+
+    def add(self, model: LambdaRankModel) -> float | None:
+        """NDCG@k after the newest tree."""
+        tree, leaves = model.trees[-1]
+        columns = self.rows.columns
+        scored = tree.setLeafCol("leaf").setPredictionCol("raw").transform(self.rows)
+        score = F.col("score") + model.step * leaf_value("leaf", leaves)
+        path = write_table(scored.select(*[c for c in columns if c != "score"], score.alias("score")))
+        self.rows = table_at(self.rows, path)
+        drop_table(self.rows.sparkSession, self.path)
+        self.path = path
+        return ndcg(self.rows, self.k).agg(F.avg("ndcg")).first()[0]
+
+    def close(self):
+        drop_table(self.rows.sparkSession, self.path)
+
+
 def rolling_lambdarank(
     frame: DataFrame,
     factors: Sequence[str],
@@ -162,15 +210,16 @@ def rolling_lambdarank(
         last = rows.agg(F.max("position")).first()[0]
         weight = half_life_weight(F.lit(last) - F.col("position"), half_life) if half_life else None
         options = dict(step=step, depth=depth, bins=bins, min_rows=min_rows, k=k, l2=l2, weight=weight, widest=widest, dates=dates, seed=seed)
-        best = {"value": -1.0, "round": 1}
+        best, running = {"value": -1.0, "round": 1}, RunningScore(newer, k)
 
         def watch(model, number):
-            value = quality(model, newer, number)
+            value = running.add(model)
             if value is not None and value > best["value"]:
                 best.update(value=value, round=number)
             return number - best["round"] >= patience
 
         _fit(older, rounds=rounds, on_round=watch, **options)
+        running.close()
         model = _fit(rows, rounds=best["round"], **options)
         return model, {
             "best_iteration": best["round"],

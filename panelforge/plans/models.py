@@ -32,8 +32,8 @@ BOOST = dict(
 )
 BOOST_CANDIDATES = (dict(depth=2, min_rows=5000), dict(depth=3, min_rows=3000))
 POSITIVE_WEIGHT = 50.0
-# Spark ML stops when a round improves the loss by less than this; rank targets gain little.
-STOP_TOLERANCE = 1e-6
+# Boosting stops after so many trees without a better validation loss.
+PATIENCE = 15
 
 
 class WalkForward(NamedTuple):
@@ -205,6 +205,7 @@ def rolling_tree(
             "validation_mae_improvement": baseline - error,
             "actual_depth": model.depth,
             "leaf_count": (model.numNodes + 1) // 2,
+            "tree_text": model.toDebugString,
             "train_rows": n_all,
             "top_feature": top[0],
             "top_feature_importance": top[1],
@@ -218,7 +219,7 @@ def rolling_tree(
 # --- boosting ----------------------------------------------------------------------------
 
 
-def _booster(kind, target, settings, weight, max_iter=None, validation=None):
+def _booster(kind, target, settings, weight, max_iter=None):
     options = dict(
         featuresCol="features", labelCol=target, maxIter=max_iter or settings["max_iter"], stepSize=settings["step"],
         maxDepth=settings["depth"], maxBins=settings["bins"], minInstancesPerNode=settings["min_rows"],
@@ -227,31 +228,40 @@ def _booster(kind, target, settings, weight, max_iter=None, validation=None):
     )
     if weight:
         options["weightCol"] = weight
-    if validation:
-        options.update(validationIndicatorCol=validation, validationTol=STOP_TOLERANCE)
     return kind(**options)
 
 
-def _rolling_boost(frame, factors, blocks, *, kind, target, label, candidates, settings, weight, error, score, threads):
+def stopping_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
+    """Number of trees with the smallest loss before ``patience`` trees brought no better one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def _rolling_boost(frame, factors, blocks, *, kind, target, label, candidates, settings, weight, losses, score, threads, patience):
     def fit(rows, block):
-        rows = rows.withColumn("__fresh", F.col("trade_date") >= block.validation_start)
         if weight is not None:
             last = rows.agg(F.max("position")).first()[0]
             rows = rows.withColumn("__weight", weight(F.lit(last) - F.col("position")))
         weighted = "__weight" if weight is not None else None
-        rows = rows.persist()
+        older, newer = split(rows, block)
+        # Validation rows count equally, whatever weight they have in the fit.
+        newer = newer.withColumn("__weight", F.lit(1.0)).persist()
         try:
-            _, newer = split(rows, block)
             best = None
-            for order, change in enumerate(candidates):
+            for change in candidates:
                 chosen = {**settings, **change}
-                trial = _booster(kind, target, chosen, weighted, validation="__fresh").fit(rows)
-                value = error(trial, newer)
-                rank = (value, chosen["depth"], trial.getNumTrees)
+                found = losses(_booster(kind, target, chosen, weighted).fit(older), newer)
+                trees = stopping_round(found, patience)
+                rank = (found[trees - 1], chosen["depth"], trees)
                 if best is None or rank < best[0]:
-                    best = (rank, chosen, trial.getNumTrees)
-            (value, _, iterations), chosen, _ = best
-            model = _booster(kind, target, chosen, weighted, max_iter=max(1, iterations)).fit(rows)
+                    best = (rank, chosen)
+            (value, _, iterations), chosen = best
+            model = _booster(kind, target, chosen, weighted, max_iter=iterations).fit(rows)
             baseline = mean_abs_error(newer, F.lit(0.5), "target_rank")
             top = importance_rows(model, factors)[:5]
             return model, {
@@ -264,7 +274,7 @@ def _rolling_boost(frame, factors, blocks, *, kind, target, label, candidates, s
                 "top_features": dict(top),
             }
         finally:
-            rows.unpersist()
+            newer.unpersist()
 
     return run_blocks(frame, blocks, fit, score, label=label, threads=threads)
 
@@ -279,8 +289,9 @@ def rolling_boost_regression(
     settings: dict = BOOST,
     half_life: float = 0.0,
     threads: int = 4,
+    patience: int = PATIENCE,
 ) -> WalkForward:
-    """Boosted regression on target_rank.
+    """Boosted regression on target_rank, stopped by the absolute error on the newest dates.
 
     Several ``candidates`` with no ``half_life`` give the first-generation search over
     depths; one candidate with a half-life gives the second-generation decay weights.
@@ -288,7 +299,7 @@ def rolling_boost_regression(
     return _rolling_boost(
         frame, factors, blocks, kind=GBTRegressor, target="target_rank", label=label, candidates=candidates,
         settings=settings, weight=(lambda age: half_life_weight(age, half_life)) if half_life else None,
-        error=lambda m, rows: mean_abs_error(m.transform(rows), F.col("prediction"), "target_rank"),
+        losses=lambda m, rows: list(m.evaluateEachIteration(rows, "absolute")), patience=patience,
         score=lambda m, test: m.transform(test).withColumnRenamed("prediction", "score"), threads=threads,
     )
 
@@ -303,29 +314,30 @@ def rolling_topk_classifier(
     half_life: float = 10.0,
     positive_weight: float = POSITIVE_WEIGHT,
     threads: int = 4,
+    patience: int = PATIENCE,
 ) -> WalkForward:
-    """Probability of ending in the top k; positives weigh ``positive_weight`` times more."""
+    """Probability of ending in the top k; positives weigh ``positive_weight`` times more in the
+    fit. It stops by the logistic loss of the newest dates, whose rows weigh alike."""
 
     def weight(age):
         return half_life_weight(age, half_life) * F.when(F.col("is_target_topk") == 1, positive_weight).otherwise(1.0)
 
     chance = vector_to_array(F.col("probability"))[1]
 
-    def log_loss(model, rows):
-        p = F.greatest(F.least(chance, F.lit(1 - 1e-12)), F.lit(1e-12))
-        loss = -F.when(F.col("is_target_topk") == 1, F.log(p)).otherwise(F.log(1 - p))
-        return model.transform(rows).agg(F.avg(loss)).first()[0]
-
     return _rolling_boost(
         frame, factors, blocks, kind=GBTClassifier, target="is_target_topk", label=label, candidates=({},), settings=settings,
-        weight=weight, error=log_loss, score=lambda m, test: m.transform(test).withColumn("score", chance), threads=threads,
+        weight=weight, losses=lambda m, rows: list(m.evaluateEachIteration(rows)), patience=patience,
+        score=lambda m, test: m.transform(test).withColumn("score", chance), threads=threads,
     )
 
 
 def save_models(models: dict, path: str) -> None:
     """Every refit's model below ``path/<rebalance_date>``."""
     for date, model in models.items():
-        model.write().overwrite().save(f"{path}/{date}")
+        if hasattr(model, "write"):
+            model.write().overwrite().save(f"{path}/{date}")
+        else:
+            model.save(f"{path}/{date}")
 
 
 def importance_table(spark, models: dict, factors: Sequence[str], top: int | None = None) -> DataFrame:

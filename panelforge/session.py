@@ -81,9 +81,21 @@ def write_table(df: DataFrame) -> str:
     return path
 
 
+def table_at(df: DataFrame, path: str) -> DataFrame:
+    """The table that :func:`write_table` wrote from ``df``."""
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str | None) -> None:
+    """Delete an intermediate table whose readers are done."""
+    if path:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, columnar reuse."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df))
+    return table_at(df, write_table(df))
 
 
 def small_table(spark: SparkSession, **columns: list) -> DataFrame:

@@ -22,29 +22,38 @@ def column(df, name):
     return [r[name] for r in df.orderBy("trade_date").collect()]
 
 
-def test_labels_and_exact_topk(spark):
-    df = spark.createDataFrame([(f"s{i}", "20240101", float(i)) for i in range(5)], "entity string, trade_date string, future_ret double")
-    for position in (True, False):
-        rows = add_labels(df, k=2, edges=(0.5, 0.7, 0.9, 0.99), position=position).orderBy("entity").collect()
-        assert [r.target_rank for r in rows] == pytest.approx([0.2, 0.4, 0.6, 0.8, 1.0])
-        assert [r.relevance for r in rows] == [0, 0, 1, 2, 4]
-        assert [r.is_target_topk for r in rows] == [0, 0, 0, 1, 1]
-    scored = add_labels(df, k=2, edges=(0.5, 0.7, 0.9, 0.99)).withColumn("score", F.col("future_ret"))
-    whole = ev.evaluate_predictions(scored, k=2)
-    assert whole.ranked.where("is_pred_topk").count() == 2
+@pytest.mark.parametrize("position", [True, False])
+def test_rank_edges_of_eight_names(spark, position):
+    """Eight names with returns out of order: ranks are eighths, edges are inclusive from below."""
+    returns = {"kiwi": 0.03, "fig": -0.20, "date": 0.11, "plum": -0.01, "lime": 0.40, "pear": 0.02, "nut": -0.07, "yam": 0.25}
+    df = spark.createDataFrame([(e, "20230630", r) for e, r in returns.items()], "entity string, trade_date string, future_ret double")
+    rows = {r.entity: r for r in add_labels(df, k=3, edges=(0.25, 0.6, 0.8), position=position).collect()}
+    order = ["fig", "nut", "plum", "pear", "kiwi", "date", "yam", "lime"]
+    assert [rows[e].target_rank * 8 for e in order] == pytest.approx(list(range(1, 9)))
+    assert [rows[e].relevance for e in order] == [0, 1, 1, 1, 2, 2, 3, 3]
+    assert {e for e in order if rows[e].is_target_topk} == {"date", "yam", "lime"}
+
+
+def test_inverted_scores_pick_the_worst(spark):
+    """Scores that reverse the returns choose the other end and correlate at -1."""
+    df = spark.createDataFrame([(f"n{i}", "20230630", i * i * 0.01) for i in range(9)], "entity string, trade_date string, future_ret double")
+    scored = add_labels(df, k=4, edges=(0.5, 0.8)).withColumn("score", -F.col("future_ret"))
+    whole = ev.evaluate_predictions(scored, k=4)
+    assert {r.entity for r in whole.ranked.where("is_pred_topk").collect()} == {"n0", "n1", "n2", "n3"}
     day = whole.daily.first()
-    assert day.ndcg == pytest.approx(1.0) and day.turnover is None and day.rank_ic == pytest.approx(1.0)
+    assert day.rank_ic == pytest.approx(-1.0) and day.turnover is None and day.ndcg == pytest.approx(0.0)
 
 
-def test_delta_is_backward_only(spark):
-    before = column(with_temporals(series(spark, range(7)), [("delta_5", "x")]), "delta_5__x")
-    assert before == [None] * 5 + [5.0, 5.0]
-    after = column(with_temporals(series(spark, [0, 1, 2, 3, 4, 5, 999]), [("delta_5", "x")]), "delta_5__x")
-    assert after[:6] == before[:6]
+def test_difference_over_a_gap(spark):
+    """A missing observation blanks its own row and the row five places on, nothing else."""
+    values = [2.0, 7.0, None, 1.0, 4.0, 8.0, 9.0, 3.0, 6.0]
+    got = column(with_temporals(series(spark, values), [("delta_5", "x")]), "delta_5__x")
+    assert got == [None] * 5 + [6.0, 2.0, None, 5.0]
 
 
-def test_slope_is_a_linear_fit(spark):
-    assert column(with_temporals(series(spark, [1, 3, 5, 7, 9]), [("slope_5", "x")]), "slope_5__x") == [None] * 4 + [2.0]
+def test_slope_of_a_bent_line(spark):
+    """Least squares over 6, 0, 1, 5, 3 on equal steps: (-2*6 - 0 + 5 + 2*3) / 10."""
+    assert column(with_temporals(series(spark, [6, 0, 1, 5, 3]), [("slope_5", "x")]), "slope_5__x")[4] == pytest.approx(-0.1)
 
 
 @pytest.mark.parametrize("op", ["delta_5", "slope_5", "mean_5", "std_20", "zscore_20", "ts_rank_20"])
@@ -77,16 +86,15 @@ def test_grammar():
     assert not ex.is_valid(["mean_5", ["add", "x", "y"]])
 
 
-def test_expression_helpers(spark):
-    tree = ["add", ["mean_5", "ret_5d"], "turnover"]
-    text = ex.to_text(tree)
-    assert (ex.tree_depth(tree), ex.node_count(tree), ex.readable(tree)) == (2, 4, "add(mean_5(ret_5d),turnover)")
-    assert ex.to_text(["neg", "é"]) == '["neg","é"]'
-    bad = ex.to_text(["mean_5", ["add", "x", "y"]])
-    rows = ex.profile_expressions(spark.createDataFrame([(text,), (bad,), ('"x"',)], "expression string")).collect()
-    assert [(r.nodes, r.depth, r.expression_text, r.valid) for r in rows] == [
-        (4, 2, "add(mean_5(ret_5d),turnover)", True), (4, 2, "mean_5(add(x,y))", False), (1, 0, "x", True),
-    ]
+def test_shape_of_nested_expressions(spark):
+    """max over two branches: three levels on the left, a bare feature on the right."""
+    tree = ["max", ["neg", ["mul", "px", ["std_20", "qty"]]], "tax"]
+    assert (ex.tree_depth(tree), ex.node_count(tree)) == (4, 7)
+    assert ex.readable(tree) == "max(neg(mul(px,std_20(qty))),tax)"
+    assert ex.to_text(["abs", "größe"]) == '["abs","größe"]'
+    nested = ex.to_text(["std_20", ["neg", "px"]])  # windows take features only
+    rows = ex.profile_expressions(spark.createDataFrame([(ex.to_text(tree),), (nested,)], "expression string")).collect()
+    assert [(r.nodes, r.depth, r.valid) for r in rows] == [(7, 4, True), (3, 2, False)]
 
 
 def test_operator_semantics(spark):
@@ -104,12 +112,15 @@ def test_operator_semantics(spark):
     assert value(["signed_log", ["neg", "a"]], 1) == pytest.approx(-1.6094379124341003)
 
 
-def test_reverse_ndcg(spark):
-    rel = [0] * 90 + [1] * 5 + [2] * 3 + [3, 4]
-    rows = [("f", f"s{i:03d}", "20240101", -(i + 1) / 100, (i + 1) / 100, rel[i]) for i in range(100)]
+def test_both_ends_of_a_u_shape(spark):
+    """Six names, relevance at both ends: gains 1, 0, 0, 0, 0, 3 in order of value, k = 2."""
+    import math
+
+    rows = [("f", f"n{i}", "20230630", float(i), (i + 1) / 6, r) for i, r in enumerate([1, 0, 0, 0, 0, 2])]
     long = spark.createDataFrame(rows, "factor string, entity string, trade_date string, value double, target_rank double, relevance int")
-    day = q.daily_ndcg_sides(long, k=10).first()
-    assert day.neg == pytest.approx(1.0) and day.pos == 0.0
+    day = q.daily_ndcg_sides(long, k=2, min_valid=2).first()
+    ideal = 3 + 1 / math.log2(3)
+    assert day.pos == pytest.approx(3 / ideal) and day.neg == pytest.approx(1 / ideal)
 
 
 def test_contiguous_needs_a_pair(spark):
@@ -128,33 +139,36 @@ def test_nan_becomes_null(spark):
     assert [r.x for r in sources.normalise(df).orderBy("entity").collect()] == [None, 1.0]
 
 
-def capped(raw, cap):
-    """Plain-Python restatement of the ten rounds."""
-    total = sum(map(abs, raw))
-    if total <= 0:
-        return raw
-    w = [x / total for x in raw]
-    for _ in range(10):
-        over = [abs(x) > cap for x in w]
-        if not any(over):
-            break
-        w = [(cap if x > 0 else -cap) if o else x for x, o in zip(w, over)]
-        free, room = sum(abs(x) for x, o in zip(w, over) if not o), 1 - cap * sum(over)
-        if free <= 0 or room <= 0:
-            break
-        w = [x if o else x * room / free for x, o in zip(w, over)]
-    return w
-
-
-def test_cap_weights(spark):
-    cases = {"a": [5.0, -1.0, 0.5, 0.1, 0.2], "b": [0.0, 0.0], "c": [1.0, 1.0], "d": [3.0, 2.9, -0.1, 0.1, 0.05, 0.2]}
-    rows = [(b, f"f{i}", 0.0, v) for b, vs in cases.items() for i, v in enumerate(vs)]
+def weights_of(spark, raw, cap):
+    rows = [("b", f"f{i:02d}", 0.0, float(v)) for i, v in enumerate(raw)]
     df = spark.createDataFrame(rows, "rebalance_date string, factor string, mean_ic double, raw double")
-    got = {}
-    for r in wf.cap_weights(df, 0.25).orderBy("rebalance_date", "factor").collect():
-        got.setdefault(r.rebalance_date, []).append(r.weight)
-    for name, raw in cases.items():
-        assert got[name] == pytest.approx(capped(raw, 0.25))
+    return [r.weight for r in wf.cap_weights(df, cap).orderBy("factor").collect()]
+
+
+def test_weights_below_the_cap_are_shares(spark):
+    assert weights_of(spark, [2.0, -1.0, 1.0], 0.5) == pytest.approx([0.5, -0.25, 0.25])
+    assert weights_of(spark, [0.0, 0.0], 0.5) == [0.0, 0.0]
+
+
+def test_excess_goes_to_the_others_in_proportion(spark):
+    # 0.6 is cut to 0.4; the other shares 0.3 and 0.1 grow by 0.6 / 0.4.
+    # The grown 0.45 is cut in turn and the last one takes what is left: 0.2.
+    assert weights_of(spark, [6.0, -3.0, 1.0], 0.4) == pytest.approx([0.4, -0.4, 0.2])
+
+
+def test_cap_properties(spark):
+    import random
+
+    rng = random.Random(8)
+    for n, cap in ((5, 0.3), (9, 0.2), (4, 0.26)):
+        raw = [rng.gauss(0, 1) ** 3 for _ in range(n)]
+        got = weights_of(spark, raw, cap)
+        assert all(g * r > 0 for g, r in zip(got, raw)) and max(map(abs, got)) <= cap + 1e-9
+        assert sum(map(abs, got)) <= 1 + 1e-9
+        # Nothing that is below the cap changes its order, and capped weights stay as they are.
+        below = sorted((abs(r), abs(g)) for r, g in zip(raw, got) if abs(g) < cap - 1e-9)
+        assert [g for _, g in below] == sorted(g for _, g in below)
+        assert weights_of(spark, got, cap) == pytest.approx(got, abs=1e-6)
 
 
 def test_embargo_and_windows(spark):

@@ -130,6 +130,36 @@ def test_grids_cover_every_stage():
     assert (len(gr.MODEL_GRID), len(gr.WINDOW_GRID), len(gr.DECAY_GRID), len(gr.ABLATION_GRID)) == (6, 6, 3, 4)
 
 
+def test_patience_counts_trees_without_a_better_loss():
+    assert md.stopping_round([5.0, 4.0, 3.0, 3.5, 3.4, 3.3, 2.0], patience=3) == 3
+    assert md.stopping_round([5.0, 4.0, 3.0, 3.5, 3.4, 2.9, 2.0], patience=4) == 7
+    assert md.stopping_round([1.0], patience=15) == 1 and md.stopping_round([1.0, 1.0, 1.0], patience=15) == 1
+
+
+def test_ranker_survives_saving(spark, frame, tmp_path):
+    from panelforge.plans.lambdarank import LambdaRankModel
+
+    result = run(frame, "lambdarank", CASES["lambdarank"])
+    md.save_models(result.models, f"{tmp_path}/ranker")
+    date, model = next(iter(result.models.items()))
+    again = LambdaRankModel.load(spark, f"{tmp_path}/ranker/{date}")
+    rows = md.VectorAssembler(inputCols=FACTORS, outputCol="features").transform(frame)
+    assert again.score(rows).select("entity", "trade_date", "score").exceptAll(model.score(rows).select("entity", "trade_date", "score")).count() == 0
+
+
+def test_rounds_leave_no_tables(spark, frame):
+    """Boosting rounds delete what they wrote: the count of tables does not grow with the rounds."""
+    import os
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    left = []
+    for rounds in (1, 4):
+        before = set(os.listdir(folder))
+        run(frame, "lambdarank", {**CASES["lambdarank"], "rounds": rounds, "patience": 9})
+        left.append(len(set(os.listdir(folder)) - before))
+    assert left[0] == left[1]
+
+
 def test_sinks(spark, frame, tmp_path):
     result = run(frame, "tree", dict(depths=(1,), leaf_shares=(0.1,)))
     md.save_models(result.models, f"{tmp_path}/models")

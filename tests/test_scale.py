@@ -94,6 +94,17 @@ def test_wide_and_long_scoring_agree(spark, labelled, objective):
     assert a["flat"].score < -1e8
 
 
+@pytest.mark.parametrize("kind", ["prerank", "ic", "ndcg"])
+@pytest.mark.parametrize("cells", [1, 90, 120])
+def test_columns_of_a_date_in_chunks(spark, labelled, monkeypatch, kind, cells):
+    """One, two or three of the four columns per task give what all together give."""
+    wide = ex.evaluate_expressions(labelled, EXPRESSIONS, keep=["target_rank", "relevance"])
+    whole = dl.daily_statistics(wide, list(EXPRESSIONS), kind, k=5, least=5).collect()
+    monkeypatch.setattr(dl, "CELLS", cells)
+    parts = dl.daily_statistics(wide, list(EXPRESSIONS), kind, k=5, least=5, widest=40).collect()
+    assert sorted(map(repr, whole)) == sorted(map(repr, parts)) and len(whole) == 72
+
+
 def test_value_spread(spark, labelled):
     wide = ex.evaluate_expressions(labelled, EXPRESSIONS, keep=["target_rank", "relevance"])
     daily = dl.daily_statistics(wide, list(EXPRESSIONS), "prerank")
