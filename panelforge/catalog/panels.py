@@ -15,7 +15,7 @@ from panelforge.operators import calendar as cal
 from panelforge.operators.aggregates import pearson, share, weighted_mean
 from panelforge.operators.ranks import average_rank, ordinal_rank
 from panelforge.plans import walkforward as wf
-from panelforge.session import small_table
+from panelforge.session import broadcast_within, small_table
 from panelforge.sources import panel as sources
 from panelforge.sources.store import audit_columns
 
@@ -288,11 +288,14 @@ def count_by_date(spark, folder):
     with_sql(MAIN_SQL, select=f"SELECT substr(trade_date, 1, 6) AS month, round(avg({LABEL}), 10) + 0e0 AS mean, count({LABEL}) AS n, round(stddev_samp({LABEL}), 10) + 0e0 AS std, round(median({LABEL}), 10) + 0e0 AS med, min({LABEL}) AS low, max({LABEL}) AS high FROM main GROUP BY 1"),
 )
 def describe_by_month(spark, folder):
-    y = F.col(LABEL)
-    return main_panel(spark, folder).groupBy(F.substring("trade_date", 1, 6).alias("month")).agg(
-        r(F.avg(y)).alias("mean"), F.count(y).alias("n"), r(F.stddev_samp(y)).alias("std"),
-        r(F.median(y)).alias("med"), F.min(y).alias("low"), F.max(y).alias("high"),
+    """Medians come from positions, so a month's values are never gathered in one task."""
+    y, rows = F.col(LABEL), main_panel(spark, folder).select(F.substring("trade_date", 1, 6).alias("month"), "entity", LABEL)
+    stats = rows.groupBy("month").agg(
+        r(F.avg(y)).alias("mean"), F.count(y).alias("n"), r(F.stddev_samp(y)).alias("std"), F.min(y).alias("low"), F.max(y).alias("high")
     )
+    placed = ordinal_rank(rows, ["month"], LABEL, "place").join(broadcast_within(stats.select("month", "n"), main_shape(spark, folder).dates), "month")
+    middle = placed.where(F.col("place").between(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)))
+    return stats.join(middle.groupBy("month").agg(r(F.avg(y)).alias("med")), "month", "left")
 
 
 @register(

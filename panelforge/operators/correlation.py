@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from panelforge.operators.daily import CELLS
-from panelforge.operators.ranks import average_rank
+from panelforge.operators.ranks import average_ranks
 from panelforge.session import group_limit
 
 # Executors receive these helpers by value, so the package need not be installed there.
@@ -75,8 +75,7 @@ def rank_correlation(wide: DataFrame, names: Sequence[str], *, widest: int) -> D
     """
     names = list(names)
     if widest * len(names) > CELLS or widest > group_limit(wide.sparkSession):
-        for name in names:
-            wide = average_rank(wide, ["trade_date"], name, f"__{name}", widest=widest)
+        wide = average_ranks(wide, ["trade_date"], {n: f"__{n}" for n in names}, widest=widest)
         return gram_correlation(wide.select(*[F.col(f"__{n}").alias(n) for n in names]), names)
 
     def one_date(frame):

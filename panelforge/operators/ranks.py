@@ -12,7 +12,7 @@ Two physical forms give identical results:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -50,6 +50,36 @@ def average_rank(
     return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
 
 
+def average_ranks(
+    df: DataFrame,
+    keys: Sequence[str],
+    outs: Mapping[str, str],
+    *,
+    pct: bool = True,
+    identity: Sequence[str] = ("entity",),
+    widest: int | None = None,
+) -> DataFrame:
+    """:func:`average_rank` of several columns, given as value -> output name.
+
+    Groups that fit a task are ranked by windows after one exchange. Beyond, only keys and
+    values are laid out as one row per column, cut and ranked together, and joined back
+    once, so the number of tables written does not depend on the number of columns.
+    """
+    limit = group_limit(df.sparkSession)
+    widest = widest_group(df, keys) if widest is None else widest
+    if widest <= limit or len(outs) == 1:
+        for value, out in outs.items():
+            df = average_rank(df, keys, value, out, pct=pct, identity=identity, widest=widest)
+        return df
+    cells = [F.struct(F.lit(i).alias("__column"), F.col(v).cast("double").alias("__value")) for i, v in enumerate(outs)]
+    long = df.select(*keys, *identity, F.inline(F.array(*cells)))
+    long = _average_rank_sliced(long, [*keys, "__column"], "__value", "__rank", pct, identity, limit)
+    back = long.groupBy(*keys, *identity).agg(
+        *[F.max(F.when(F.col("__column") == i, F.col("__rank"))).alias(out) for i, out in enumerate(outs.values())]
+    )
+    return df.join(back, [*keys, *identity])
+
+
 def ordinal_rank(
     df: DataFrame,
     keys: Sequence[str],

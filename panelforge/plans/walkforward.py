@@ -17,7 +17,7 @@ from panelforge.operators.aggregates import information_ratio, pearson, share, w
 from panelforge.operators.calendar import PanelShape
 from panelforge.operators.daily import daily_score_quality
 from panelforge.operators.quality import daily_rank_ic
-from panelforge.operators.ranks import average_rank
+from panelforge.operators.ranks import average_rank, average_ranks
 from panelforge.session import broadcast_checked, broadcast_within, small_table
 
 # Default settings.
@@ -31,8 +31,7 @@ def ranked_factors(frame: DataFrame, factors: Sequence[str], *, fill: float | No
     """Replace each factor column by its percentile rank per date, missing -> ``fill``."""
     names = list(factors)
     rest = [c for c in frame.columns if c not in names]
-    for name in names:
-        frame = average_rank(frame, ["trade_date"], name, f"__{name}", widest=widest)
+    frame = average_ranks(frame, ["trade_date"], {n: f"__{n}" for n in names}, widest=widest)
     rank = lambda name: F.col(f"__{name}") if fill is None else F.coalesce(f"__{name}", F.lit(float(fill)))
     return frame.select(*rest, *[rank(n).alias(n) for n in names])
 
@@ -396,19 +395,24 @@ def binning_score(
 ) -> DataFrame:
     """Mean over factors of the bin encoding; bins unseen in the window count as 0.5.
 
-    Each block's encodings travel as one map per date (factors × bins entries), so test
-    rows are scored by lookup, without exploding them per factor.
+    Each block's encodings travel as one array per date (factors × bins entries), so test
+    rows are scored by position, without exploding them per factor.
     """
     encoding = bin_encoding(daily_bins(ranks, factors, bins), windows, shrink=shrink)
-    slot = F.concat_ws("|", "factor", F.col("bin").cast("string"))
-    maps = encoding.groupBy("rebalance_date").agg(
-        F.map_from_entries(F.collect_list(F.struct(slot, "encoded"))).alias("codes")
-    )
-    table = blocks.select("trade_date", "rebalance_date").join(maps, "rebalance_date")
-    bound = shape.dates * len(factors) * bins // 16  # a map entry is far smaller than a row
+    slots = [(f, b) for f in factors for b in range(bins)]
+    grid = small_table(
+        ranks.sparkSession, factor=[f for f, _ in slots], bin=[b for _, b in slots], slot=list(range(len(slots)))
+    ).withColumn("bin", F.col("bin").cast(encoding.schema["bin"].dataType))
+    heads = encoding.select("rebalance_date").distinct().crossJoin(F.broadcast(grid))
+    full = heads.join(encoding, ["rebalance_date", "factor", "bin"], "left")
+    entry = F.struct("slot", F.coalesce("encoded", F.lit(0.5)).alias("encoded"))
+    arrays = full.groupBy("rebalance_date").agg(F.sort_array(F.collect_list(entry)).getField("encoded").alias("codes"))
+    table = blocks.select("trade_date", "rebalance_date").join(arrays, "rebalance_date")
+    bound = shape.dates * len(slots) // 16  # an array entry is far smaller than a row
     scored = ranks.join(broadcast_within(table, bound), "trade_date")
+    first = {f: i * bins + 1 for i, f in enumerate(factors)}
     look = lambda f: F.coalesce(
-        F.try_element_at("codes", F.concat(F.lit(f"{f}|"), floor_bin(F.col(f), bins).cast("string"))), F.lit(0.5)
+        F.try_element_at("codes", (floor_bin(F.col(f), bins) + F.lit(first[f])).cast("int")), F.lit(0.5)
     ) - F.lit(0.5)
     score = _dot(factors, look) / F.lit(float(len(factors))) + F.lit(0.5)
     rest = [c for c in ranks.columns if c not in set(factors)]
