@@ -16,20 +16,28 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from panelforge.session import materialize
 
+# Executors receive these helpers by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LENGTH = 2048
 END = 0
 GROUP = 16_384
 # Words remembered with their ids, and characters tokenised at a time: they bound a task's memory.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 CHARACTERS = 1_000_000
 
 
@@ -39,43 +47,111 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# A word of letters and the marks that may end it; an apostrophe could belong to a contraction.
+SIMPLE = re.compile(r"([^\W\d_]+)([!#$%&)*,.:;?|]*)")
+
+
 class WordIds:
     """Token ids of whole texts from a tokenizer that drops white space.
 
     Such a tokenizer never joins characters across a space, so texts are split at spaces and line
-    feeds and every word is tokenised once while it is remembered.
+    feeds and every word is tokenised once while it is remembered. Most new words are letters with
+    closing marks: the tokenizer separates the two, so both parts are looked up on their own, and
+    letters that are lower-cased and composed already go to the tokenizer's model without its
+    normalisation. Everything else takes the tokenizer as it is. Tests compare with the ids of
+    whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self):
-        self.place: dict[str, int] = {}
-        self.ids, self.begin, self.size = np.empty(0, "<u4"), np.empty(0, "i8"), np.empty(0, "i8")
+        """Starts anew with the empty word, which has no ids."""
+        self.place: dict[str, int] = {"": 0}
+        self.ids, self.begin, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i8")
+        self.words, self.used = 1, 0
+
+    def _add(self, words: list[str], flat: np.ndarray, size: np.ndarray):
+        words_now, used_now = self.words + len(words), self.used + len(flat)
+        # Tables double when they are full, so growing them takes time in proportion to the words.
+        while words_now > len(self.size):
+            self.begin, self.size = np.concatenate((self.begin, self.begin)), np.concatenate((self.size, self.size))
+        while used_now > len(self.ids):
+            self.ids = np.concatenate((self.ids, self.ids))
+        self.place.update(zip(words, range(self.words, words_now)))
+        self.begin[self.words : words_now] = self.used + np.cumsum(size) - size
+        self.size[self.words : words_now] = size
+        self.ids[self.used : used_now] = flat
+        self.words, self.used = words_now, used_now
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, one after the other, and how many each has."""
+        size = self.size[at]
+        before = np.cumsum(size) - size
+        return self.ids[np.repeat(self.begin[at] - before, size) + np.arange(int(size.sum()))], size
+
+    def _learn_letters(self, words: list[str]):
+        if words:
+            found = self.plain.encode(" ".join(words), add_special_tokens=False)
+            self._add(words, np.array(found.ids, "<u4"), np.bincount(found.word_ids, minlength=len(words)).astype("i8"))
+
+    def _learn_others(self, words: list[str]):
+        if words:
+            found = [e.ids for e in self.whole.encode_batch(words, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), "i8", len(found))
+            self._add(words, np.fromiter(itertools.chain.from_iterable(found), "<u4", int(size.sum())), size)
 
     def _learn(self, words: list[str]):
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), "i8", len(found))
-        flat = np.fromiter((i for f in found for i in f), "<u4", int(size.sum()))
-        self.place.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-        self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
-        self.ids, self.size = np.concatenate((self.ids, flat)), np.concatenate((self.size, size))
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
+        """Adds new words, letters first, as the others are put together from them."""
+        letters, others, joined = {}, {}, []
+        for word in words:
+            if m := SIMPLE.fullmatch(word):
+                core, marks = m[1].lower(), m[2]
+                # Lower case is taken letter by letter, which differs for a final sigma only.
+                if core.isalpha() and unicodedata.is_normalized("NFC", core) and "\u03a3" not in word:
+                    if core not in self.place:
+                        letters[core] = None
+                    if marks and marks not in self.place:
+                        others[marks] = None
+                    if core != word:
+                        joined.append((word, core, marks))
+                    continue
+            others[word] = None
+        self._learn_letters(list(letters))
+        self._learn_others(list(others))
+        if joined:
+            pairs = np.array([(self.place[c], self.place[m]) for _, c, m in joined])
+            flat, size = self._gather(pairs.ravel())
+            self._add([w for w, _, _ in joined], flat, size.reshape(-1, 2).sum(1))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the texts together are of bounded size."""
+        out, listed = [None] * len(texts), []
+        for i, text in enumerate(texts):
+            if any(t in text for t in self.special):
+                out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+            else:
+                listed.append((i, text.replace("\n", " ").split(" ")))
+        words = list(itertools.chain.from_iterable(w for _, w in listed))
         new = [w for w in dict.fromkeys(words) if w not in self.place]
         if new:
-            if len(self.place) + len(new) > REMEMBERED and self.place:
+            if len(self.place) + 2 * len(new) > REMEMBERED and len(self.place) > 1:
                 self.forget()
-                new = list(dict.fromkeys(words))
+                new = [w for w in dict.fromkeys(words) if w]
             self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), "i8", len(words))
-        size = self.size[at]
-        before = np.cumsum(size) - size
-        return self.ids[np.repeat(self.begin[at] - before, size) + np.arange(int(size.sum()))]
+        ids, size = self._gather(np.fromiter(map(self.place.__getitem__, words), "i8", len(words)))
+        ends = np.concatenate(([0], np.cumsum(size)))
+        at = 0
+        for i, w in listed:
+            out[i] = ids[ends[at] : ends[at + len(w)]]
+            at += len(w)
+        return out
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -93,21 +169,36 @@ def _parts(text: str) -> Iterator[str]:
     yield text[begin:]
 
 
+def _cut(texts: pa.Array, encode: WordIds, length: int) -> Iterator[tuple[list[int], list[tuple]]]:
+    """(rows, (piece, start, length, checksum) of each) for the texts of a batch, some at a time."""
+    at, n = 0, len(texts)
+    while at < n:
+        some, size = [], 0
+        while at + len(some) < n and (not some or size < CHARACTERS):
+            parts = list(_parts(texts[at + len(some)].as_py() or ""))
+            some.append(parts)
+            size += sum(map(len, parts))
+        found = iter(encode([t for parts in some for t in parts]) if size < 2 * CHARACTERS else (encode([t])[0] for parts in some for t in parts))
+        taken, rows = [], []
+        for i, parts in enumerate(some, at):
+            ids = np.concatenate([*(next(found) for _ in parts), np.array([END], "<u4")])
+            for piece, start in enumerate(range(0, len(ids), length)):
+                part = ids[start : start + length]
+                taken.append(i)
+                rows.append((piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
+        yield taken, rows
+        at += len(some)
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(path)
         for batch in batches:
-            taken, rows = [], []
-            for i, text in enumerate(batch.column("text")):
-                ids = np.concatenate([*(encode(t) for t in _parts(text.as_py() or "")), np.array([END], "<u4")])
-                for n, start in enumerate(range(0, len(ids), length)):
-                    part = ids[start : start + length]
-                    taken.append(i)
-                    rows.append((n, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))] if rows else []
-            if rows:
+            for taken, rows in _cut(batch.column("text"), encode, length):
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(taken)), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

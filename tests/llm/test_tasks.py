@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -313,11 +314,26 @@ def test_two_replace_the_smallest():
 def test_very_long_texts_are_tokenised_in_parts(monkeypatch):
     words = packing.WordIds(packing.tokenizer_path())
     text = " ".join(f"w{i}" for i in range(3000)) + " " + "z" * 5000 + " end"
-    whole = words(text)
+    whole = words([text])[0]
     monkeypatch.setattr(packing, "CHARACTERS", 1000)
     monkeypatch.setattr(packing, "REMEMBERED", 100)
     again = packing.WordIds(packing.tokenizer_path())
-    assert np.array_equal(whole, np.concatenate([again(t) for t in packing._parts(text)]))
+    assert np.array_equal(whole, np.concatenate([again([t])[0] for t in packing._parts(text)]))
+    lengths = [0] * 4
+    for taken, cut in packing._cut(pa.array([text, None, "a b", text]), again, 2048):
+        for i, (_, _, n, _) in zip(taken, cut):
+            lengths[i] += n
+    assert lengths == [len(whole) + 1, 1, 3, len(whole) + 1]
+
+
+def test_ids_equal_those_of_whole_texts():
+    words = packing.WordIds(packing.tokenizer_path())
+    rng = random.Random(7)
+    bits = ["a", "Ab", "É", "é", "e\u0301", "\u03a3", "\u03c2", "\u0130", "\u00df", "\u01c5", "1", "12", "'s", "'", "\u2019", "don't", ".", "..", ",", "!?", "***", "$", "_", "-", "\u201c", "\u2026", "\u00a0", "\t", "\r", "\n", " ", "  ", "\U0001f600", "\u200d", "\u6f22\u5b57", "\u0e01\u0e33", "\u1100\u1161", "\ufb01", "\u00aa", "\u02b0", "<|endoftext|>", "<|", "|>", "\x0b", "\u2028", "\u0345", "x."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    want = [e.ids for e in words.whole.encode_batch(texts, add_special_tokens=False)]
+    for text, a, b in zip(texts, words(texts), want):
+        assert a.tolist() == b, ascii(text)
 
 
 # --- prefix hashes --------------------------------------------------------------------------
