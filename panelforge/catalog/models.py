@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from panelforge.catalog.base import (
-    CALENDAR_SQL, END, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, NAMES, PANEL_SQL, START, hist_sql, labelled_panel,
+    CALENDAR_SQL, END, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, NAMES, PANEL_SQL, START, UPDATE, hist_sql, labelled_panel,
     main_calendar, main_shape, register, rounded, with_sql,
 )
 from panelforge.catalog.evaluation import rounds
 from panelforge.catalog.walk import ranked_frame, windows
 from panelforge.plans import grid as gr
 from panelforge.plans import models as md
+from panelforge.plans import walkforward as wf
 from panelforge.session import path_exists, small_table, work_folder
 from panelforge.sources import store
 
@@ -139,6 +140,28 @@ def importance_shares(spark, folder):
     )
 
 
+def _log_sql(name, lookback):
+    return f"SELECT '{name}' AS run, * FROM (" + with_sql(
+        PANEL_SQL, CALENDAR_SQL, hist_sql(lookback=lookback),
+        select="SELECT rebalance_date AS date, min(trade_date) AS train_start, max(trade_date) AS train_end, count(*) AS rows, CAST(0 AS INTEGER) AS iteration FROM hist GROUP BY 1",
+    ) + ")"
+
+
+@register("refit_logs_read", _log_sql("w30", 30) + " UNION ALL " + _log_sql("w60", 60))
+def refit_logs_read(spark, folder):
+    """Refit logs of two walks written below one folder and found again with their paths."""
+    calendar, path = main_calendar(spark, folder), f"{work_folder(spark)}/logs-{uuid.uuid4().hex}"
+    blocks = wf.rebalance_calendar(calendar, START, END, UPDATE)
+    for name, lookback in (("w30", 30), ("w60", 60)):
+        spans = wf.history_windows(blocks, calendar, horizon=HORIZON, lookback=lookback).groupBy(F.col("rebalance_date").alias("date"))
+        log = spans.agg(
+            F.min("trade_date").alias("train_start"), F.max("trade_date").alias("train_end"), F.count("*").alias("rows"), F.lit(0).alias("iteration")
+        )
+        store.write_refit_log(log, f"{path}/{name}")
+    logs = store.read_refit_logs(spark, path)
+    return logs.withColumn("run", F.element_at(F.split("source_path", "/"), -2)).drop("source_path")
+
+
 @register("feature_importance")
 def feature_importance(spark, folder):
     result = run(spark, folder, "tree", dict(depths=(3,), leaf_shares=(0.05,)))

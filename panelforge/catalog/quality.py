@@ -11,6 +11,7 @@ from panelforge.catalog.base import (
 from panelforge.functions import expressions as ex
 from panelforge.operators import quality as q
 from panelforge.plans import search as sr
+from panelforge.session import small_table
 
 KEEP = [LABEL, "target_rank", "relevance"]
 MIN_VALID = 12
@@ -27,8 +28,14 @@ _G = "factor, trade_date"
 IC_SQL = f"""comp AS (SELECT * FROM long WHERE value IS NOT NULL AND {LABEL} IS NOT NULL),
 rk AS (SELECT factor, trade_date, {avg_rank_sql('value', _G, pct=False)} AS x, {avg_rank_sql(LABEL, _G, pct=False)} AS y FROM comp),
 ic AS (SELECT factor, trade_date, count(*) AS names, {pearson_sql('x', 'y')} AS ic FROM rk GROUP BY 1, 2 HAVING count(*) >= {MIN_NAMES})"""
-PRE_SQL = f"""pre AS (SELECT factor, trade_date, target_rank AS y, {avg_rank_sql('value', _G)} AS x FROM long),
+
+
+def pre_sql(label="target_rank"):
+    return f"""pre AS (SELECT factor, trade_date, {label} AS y, {avg_rank_sql('value', _G)} AS x FROM long),
 ic AS (SELECT factor, trade_date, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS names, {pearson_sql('x', 'y', min_rows=MIN_NAMES)} AS ic FROM pre GROUP BY 1, 2)"""
+
+
+PRE_SQL = pre_sql()
 MONTH_SQL = f"""mon AS (SELECT factor, substr(trade_date, 1, 6) AS month, avg(ic) AS mean_ic, count(*) AS days FROM ic
  WHERE ic IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {MIN_DAYS})"""
 NODES_SQL = "sizes AS (SELECT * FROM (VALUES " + ", ".join(
@@ -58,11 +65,13 @@ def monthly_ic(spark, folder):
     return rounded(q.monthly_ic(daily, min_days=MIN_DAYS), ["mean_ic"])
 
 
+IC_VOL_SQL = "vol AS (SELECT factor, stddev_samp(ic) AS v, (SELECT count(*) FROM mon m WHERE m.factor = ic.factor) AS n FROM ic GROUP BY 1)"
+
+
 @register(
     "ic_fitness",
     with_sql(
-        LONG_SQL, PRE_SQL, MONTH_SQL, NODES_SQL, BEST_SQL,
-        "vol AS (SELECT factor, stddev_samp(ic) AS v, (SELECT count(*) FROM mon m WHERE m.factor = ic.factor) AS n FROM ic GROUP BY 1)",
+        LONG_SQL, PRE_SQL, MONTH_SQL, NODES_SQL, BEST_SQL, IC_VOL_SQL,
         select="SELECT factor, nodes, round(top3 - 0.05e0 * v - 0.0005e0 * nodes, 9) + 0e0 AS score, round(best, 9) + 0e0 AS best_month_abs_ic, round(top3, 9) + 0e0 AS mean_top_abs_ic, round(v, 9) + 0e0 AS daily_ic_std, CAST(n AS INTEGER) AS valid_months, peak AS peak_month FROM sizes JOIN best USING (factor) JOIN vol USING (factor)",
     ),
 )
@@ -180,6 +189,31 @@ def validate_library(spark, folder):
     return rounded(_validated(spark, folder)[0], columns, 9)
 
 
+@register(
+    "library_reviewed",
+    with_sql(
+        LONG_SQL, PRE_SQL, MONTH_SQL, NODES_SQL, BEST_SQL, IC_VOL_SQL, f"review AS ({_REVIEW_SQL})",
+        "texts AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in LIBRARY.items()) + ") AS v(factor, expression))",
+        select="SELECT factor AS name, expression, round(top3 - 0.05e0 * v - 0.0005e0 * nodes, 9) + 0e0 AS score, round(best, 9) + 0e0 AS best_month_abs_ic, round(top3, 9) + 0e0 AS mean_top_abs_ic, CAST(n AS INTEGER) AS valid_months, peak AS peak_month, CAST(nodes AS INTEGER) AS nodes, review.* EXCLUDE (factor) FROM texts JOIN sizes USING (factor) JOIN best USING (factor) JOIN vol USING (factor) JOIN review USING (factor)",
+    ),
+)
+def library_reviewed(spark, folder):
+    """A scored library with its full-history review, written and read back."""
+    import uuid
+
+    from panelforge.session import work_folder
+    from panelforge.sources import store
+
+    texts = small_table(spark, name=list(NAMES), expression=list(LIBRARY.values()))
+    fit = ic_fitness(spark, folder).select(
+        F.col("factor").alias("name"), "score", "best_month_abs_ic", "mean_top_abs_ic", "valid_months", "peak_month", F.col("nodes").cast("int").alias("nodes")
+    )
+    library, path = store.with_review(texts.join(fit, "name"), validate_library(spark, folder)), f"{work_folder(spark)}/library-{uuid.uuid4().hex}"
+    store.write_library(library, path)
+    kept = ["name", "expression", "score", "best_month_abs_ic", "mean_top_abs_ic", "valid_months", "peak_month", "nodes", *store.REVIEW]
+    return store.read_library(spark, path).select(*kept)
+
+
 @register("validate_library_monthly", with_sql(LONG_SQL, PRE_SQL, MONTH_SQL, select="SELECT factor, month, round(mean_ic, 9) + 0e0 AS mean_rank_ic, days AS valid_days FROM mon"))
 def validate_library_monthly(spark, folder):
     return rounded(_validated(spark, folder)[1], ["mean_rank_ic"], 9)
@@ -219,6 +253,33 @@ def score_population_sampled(spark, folder):
     return _population(spark, folder, True)
 
 
+_FIRST_SQL = f"""mm AS (SELECT month FROM (SELECT DISTINCT substr(trade_date, 1, 6) AS month FROM labelled WHERE target_rank IS NOT NULL) ORDER BY md5('7:' || month), month LIMIT 40),
+masked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY md5('7:' || entity), entity) AS hr FROM labelled WHERE target_rank IS NOT NULL)
+ WHERE hr <= 20 AND substr(trade_date, 1, 6) IN (SELECT month FROM mm))"""
+FIRST_LONG_SQL = LABELLED_SQL + ",\n" + factors_sql("labelled", KEEP) + ",\n" + _FIRST_SQL + ",\n" + long_sql(
+    "(SELECT w.* FROM wide w JOIN masked m USING (entity, trade_date))", KEEP
+)
+
+
+@register(
+    "score_population_phase_ic",
+    with_sql(
+        FIRST_LONG_SQL, pre_sql(avg_rank_sql("target_rank", _G)), MONTH_SQL, NODES_SQL, BEST_SQL, IC_VOL_SQL,
+        select="SELECT factor, nodes, round(top3 - 0.05e0 * v - 0.0005e0 * nodes, 9) + 0e0 AS score, peak AS peak_month, 1 AS direction, round(best, 9) + 0e0 AS best_month_abs_ic, round(top3, 9) + 0e0 AS mean_top_abs_ic, CAST(n AS INTEGER) AS valid_months FROM sizes JOIN best USING (factor) JOIN vol USING (factor)",
+    ),
+)
+def score_population_phase_ic(spark, folder):
+    """First generation: only labelled rows are sampled and the label is ranked in the sample."""
+    from dataclasses import replace
+
+    from panelforge.operators.labels import search_mask
+
+    panel, options = search_mask(labelled_panel(spark, folder), 20, 7, months=40, label="target_rank"), replace(_OPTIONS, objective="phase_ic")
+    rows = sr.with_temporals(panel, ex.temporal_pairs(ex.parse(t) for t in LIBRARY.values()))
+    scored = sr.score_population(rows, LIBRARY, options, main_shape(spark, folder))
+    return rounded(scored, ["score", "best_month_abs_ic", "mean_top_abs_ic"], 9)
+
+
 @register("review_full", with_sql(LONG_SQL, sides_sql(), MONTHS_SQL, TOP3_SQL, VOL_SQL, NODES_SQL, select=_POP))
 def review_full(spark, folder):
     return _population(spark, folder, False)
@@ -240,18 +301,47 @@ def rank_correlation_matrix(spark, folder):
     return rounded(matrix, ["correlation"], 9)
 
 
-@register("select_library")
+# The library, near copies of its first factor and the bare features.
+_CANDIDATES = [*LIBRARY.values(), '["neg",["mul","qty","disc"]]', '["mul",["mul","qty","disc"],"tax"]', *(f'"{f}"' for f in FEATURES)]
+_CAND = {f"e{i}": t for i, t in enumerate(_CANDIDATES)}
+# Candidates by score; each is taken if its month has room, its values are not constant and no
+# chosen one correlates with it. The recursion carries the places and months of the chosen.
+GREEDY_SQL = f"""cand AS (SELECT factor, score, peak_month, direction, nodes, expression, row_number() OVER (ORDER BY score DESC, expression) AS place FROM ({_FIT}) JOIN (SELECT factor, expression FROM texts) USING (factor)),
+rl AS (SELECT place, entity, trade_date, {avg_rank_sql('value', 'factor, trade_date')} AS x FROM long JOIN cand USING (factor) WHERE target_rank IS NOT NULL),
+rn AS (SELECT * FROM rl WHERE x IS NOT NULL),
+corr AS (SELECT a.place AS later, b.place AS earlier, count(*) AS n, {pearson_sql('a.x', 'b.x')} AS c FROM rn a JOIN rn b ON a.entity = b.entity AND a.trade_date = b.trade_date AND b.place <= a.place GROUP BY 1, 2),
+walk(place, taken, months) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]) UNION ALL
+ SELECT c.place, CASE WHEN ok THEN list_append(taken, c.place) ELSE taken END, CASE WHEN ok THEN list_append(months, c.peak_month) ELSE months END
+ FROM (SELECT w.taken, w.months, cand.place, cand.peak_month,
+   len(w.taken) < {sr.LIBRARY_SIZE} AND len(list_filter(w.months, lambda m: m = cand.peak_month)) < {sr.MAX_PER_PEAK_MONTH}
+   AND coalesce((SELECT n >= {MIN_VALID} AND c IS NOT NULL FROM corr WHERE later = cand.place AND earlier = cand.place), false)
+   AND NOT EXISTS (SELECT 1 FROM corr WHERE later = cand.place AND earlier <> later AND list_contains(w.taken, earlier) AND abs(c) >= {sr.MAX_CORRELATION}) AS ok
+  FROM walk w JOIN cand ON cand.place = w.place + 1) c),
+final AS (SELECT unnest(taken) AS place, generate_subscripts(taken, 1) AS position FROM walk WHERE place = (SELECT max(place) FROM walk))"""
+_CAND_SIZES = "sizes AS (SELECT factor, nodes FROM texts)"
+_CAND_TEXTS = "texts AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', CAST({ex.node_count(ex.parse(t))} AS BIGINT))" for n, t in _CAND.items()) + ") AS v(factor, expression, nodes))"
+
+
+@register(
+    "select_library",
+    with_sql(
+        LABELLED_SQL, factors_sql("labelled", KEEP, _CAND), long_sql(keep=KEEP, names=list(_CAND)), sides_sql(), MONTHS_SQL, TOP3_SQL, VOL_SQL,
+        _CAND_TEXTS, _CAND_SIZES, GREEDY_SQL,
+        select="SELECT 'factor_' || lpad(CAST(position AS VARCHAR), 2, '0') AS name, expression, score, peak_month, CAST(direction AS INTEGER) AS direction, CAST(nodes AS INTEGER) AS nodes FROM final JOIN cand USING (place)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def select_library(spark, folder):
     """Greedy de-correlation of scored candidates (library plus near copies)."""
-    shape = main_shape(spark, folder)
-    texts = [*LIBRARY.values(), '["neg",["mul","qty","disc"]]', '["mul",["mul","qty","disc"],"tax"]', *(f'"{f}"' for f in FEATURES)]
+    shape, texts = main_shape(spark, folder), _CANDIDATES
     pairs = ex.temporal_pairs(ex.parse(t) for t in texts)
     laid_out = sr.materialize(sr.with_temporals(labelled_panel(spark, folder), pairs))
-    named = {f"e{i}": t for i, t in enumerate(texts)}
-    scored = {x.factor: x.asDict() for x in sr.score_population(laid_out, named, _OPTIONS, shape, masked=False).collect()}
-    candidates = [{"expression": named[n], **x, "sampled": x["score"]} for n, x in scored.items()]
+    found = rounded(sr.score_population(laid_out, _CAND, _OPTIONS, shape, masked=False), ["score"], 9)
+    scored = {x.factor: x.asDict() for x in found.collect()}
+    candidates = [{"expression": _CAND[n], **x, "sampled": x["score"]} for n, x in scored.items()]
     candidates.sort(key=lambda c: (-c["score"], c["expression"]))
-    return sr.library_table(spark, sr.select_library(laid_out, candidates, _OPTIONS, shape), _OPTIONS)
+    chosen = sr.select_library(laid_out.where("target_rank IS NOT NULL"), candidates, _OPTIONS, shape)
+    library = sr.library_table(spark, chosen, _OPTIONS)
+    return library.select("name", "expression", "score", "peak_month", "direction", "nodes")
 
 
 @register("search_factors")

@@ -73,6 +73,9 @@ def required_range(calendar: DataFrame, start: str, end: str, *, horizon: int, l
 
 def prune_dates(df: DataFrame, calendar: DataFrame, start: str, end: str, *, horizon: int, lookback: int) -> DataFrame:
     """Drop dates no window needs. The two bounds are read from the calendar and become
-    literals, so the filter reaches the Parquet scan."""
+    literals: on a panel read with ``trade_date`` as a column they reach the Parquet scan, and on
+    one laid out by ``month`` other months are not listed."""
     span = required_range(calendar, start, end, horizon=horizon, lookback=lookback).first()
+    if "month" in df.columns:
+        df = df.where(F.col("month").cast("string").between(span.first_date[:6], span.last_date[:6]))
     return df.where(F.col("trade_date").between(span.first_date, span.last_date))

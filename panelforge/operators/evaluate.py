@@ -191,7 +191,7 @@ def yearly_columns(daily: DataFrame, years: list[str]) -> DataFrame:
 
 def evaluate_predictions(pred: DataFrame, label: str = "future_ret", k: int = 50, *, widest: int | None = None) -> Evaluation:
     scored = scored_rows(pred, label)
-    daily = daily_table(scored, label, k, widest=widest)
+    daily = materialize(daily_table(scored, label, k, widest=widest))  # one row per date, read several times
     monthly = monthly_table(daily)
     return Evaluation(
         rank_predictions(pred, label, k, widest=widest), daily, monthly, summary_table(daily, monthly)

@@ -61,17 +61,18 @@ def add_labels(
     return df.withColumn("is_target_topk", F.when(F.col("target_position") <= k, 1).otherwise(0))
 
 
-def flag_entities(panel: DataFrame, n: int, seed: int, out: str = "in_sample") -> DataFrame:
+def flag_entities(panel: DataFrame, n: int, seed: int, out: str = "in_sample", *, label: str | None = None) -> DataFrame:
     """True for the ``n`` lowest-hash entities of each date; the hash does not depend on the
-    date, so an entity present on two dates is treated alike."""
+    date, so an entity present on two dates is treated alike. With ``label``, rows without one
+    are left out before the ``n`` are taken."""
     keyed = panel.withColumn("__hash", seeded_hash(F.col("entity"), seed))
+    known = F.col(label).isNotNull() if label else F.lit(True)
     lowest = top_rows(
-        keyed.select("trade_date", "__hash", "entity"), ["trade_date"], [F.asc("__hash"), F.asc("entity")], n
+        keyed.where(known).select("trade_date", "__hash", "entity"), ["trade_date"], [F.asc("__hash"), F.asc("entity")], n
     )
     cut = lowest.groupBy("trade_date").agg(F.max(F.struct("__hash", "entity")).alias("__cut"))
-    return keyed.join(F.broadcast(cut), "trade_date").select(
-        *panel.columns, (F.struct("__hash", "entity") <= F.col("__cut")).alias(out)
-    )
+    inside = known & F.coalesce(F.struct("__hash", "entity") <= F.col("__cut"), F.lit(False))
+    return keyed.join(F.broadcast(cut), "trade_date", "left").select(*panel.columns, inside.alias(out))
 
 
 def sample_entities(panel: DataFrame, n: int, seed: int) -> DataFrame:
@@ -84,13 +85,16 @@ def sample_months(panel: DataFrame, m: int, seed: int) -> DataFrame:
     return months.orderBy(seeded_hash(F.col("month"), seed), "month").limit(m)
 
 
-def search_mask(panel: DataFrame, n: int, seed: int, months: int | None = None, out: str = "in_search") -> DataFrame:
+def search_mask(
+    panel: DataFrame, n: int, seed: int, months: int | None = None, out: str = "in_search", *, label: str | None = None
+) -> DataFrame:
     """Boolean column entity-sample AND month-sample; all rows are kept so that backward
-    windows still see full histories."""
-    df = flag_entities(panel, n, seed, "__entity")
+    windows still see full histories. With ``label``, both samples are taken of labelled rows."""
+    df = flag_entities(panel, n, seed, "__entity", label=label)
     if months is None:
         return df.withColumnRenamed("__entity", out)
-    chosen = sample_months(panel, months, seed).withColumn("__month", F.lit(True))
+    known = panel.where(F.col(label).isNotNull()) if label else panel
+    chosen = sample_months(known, months, seed).withColumn("__month", F.lit(True))
     return (
         df.withColumn("month", F.substring("trade_date", 1, 6))
         .join(F.broadcast(chosen), "month", "left")

@@ -194,6 +194,23 @@ def test_library_round_trip(spark, tmp_path):
     assert "expression" not in spark.read.option("header", True).csv(f"{tmp_path}/out/csv").columns
 
 
+def test_first_generation_library(spark, tmp_path):
+    (tmp_path / "old.json").write_text(
+        '{"factors": [{"name": "factor_01", "expression": ["neg", "x"], "depth": 1, "search_score": 0.25, "best_month_abs_ic": 0.4,'
+        ' "mean_top_abs_ic": 0.3, "valid_months": 7, "peak_month": "202403", "full_months_abs_ic_ge_005": 12}]}'
+    )
+    library = store.read_library(spark, f"{tmp_path}/old.json")
+    row = library.first()
+    assert (row.score, row.best_month_abs_ic, row.valid_months, row.full_months_abs_ic_ge_005) == (0.25, 0.4, 7, 12)
+    review = spark.createDataFrame(
+        [("factor_01", "202405", 0.5, 0.45, 0.2, 15)],
+        "factor string, full_peak_month string, full_best_month_abs_ic double, full_top3_month_abs_ic double, full_mean_abs_month_ic double, full_months_abs_ic_ge_005 bigint",
+    )
+    store.write_library(store.with_review(library, review), f"{tmp_path}/new")
+    again = store.read_library(spark, f"{tmp_path}/new").first()
+    assert (again.score, again.full_peak_month, again.full_months_abs_ic_ge_005) == (0.25, "202405", 15)
+
+
 def test_refit_logs_keep_their_path(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / name).mkdir()

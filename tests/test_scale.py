@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import expressions as ex
-from panelforge.operators import daily as dl
+from panelforge.operators import daily as dl, labels
 from panelforge.operators import quality as q
 from panelforge.operators.calendar import PanelShape
 from panelforge.operators.ranks import average_rank, ordinal_rank
@@ -184,3 +184,12 @@ def test_varied_trees_stay_valid(crossover, mutation):
     for _ in range(4):
         trees = grammar.next_population([(float(i), ex.to_text(t)) for i, t in enumerate(trees)])
         assert len(trees) == 30 and all(ex.tree_depth(t) <= 3 and ex.is_valid(t) for t in trees)
+
+
+def test_labelled_rows_fill_the_sample(spark):
+    rows = [("20240102", f"n{i}", float(i) if i % 2 else None) for i in range(10)] + [("20240103", "n0", None)]
+    panel = spark.createDataFrame(rows, "trade_date string, entity string, y double")
+    free = {(r.trade_date, r.entity) for r in labels.flag_entities(panel, 5, 3).where("in_sample").collect()}
+    known = labels.flag_entities(panel, 5, 3, label="y")
+    assert len(free) == 6 and known.count() == 11
+    assert {(r.trade_date, r.entity) for r in known.where("in_sample").collect()} == {("20240102", f"n{i}") for i in (1, 3, 5, 7, 9)}
