@@ -9,6 +9,8 @@ the stack of the last rule before it, one row per partition.
 
 Only DataFrame operations are used. URLs are first reduced to distinct pairs of host and path, so
 a host with most pages is spread over partitions by its paths, and a repeated URL is judged once.
+A host has keys only for ends of as many labels as the longest rule host, so the keys of a very
+long host do not grow with the square of its length.
 
 Defined results: without ``://`` or when missing, host and path are empty; without a fitting rule
 the verdict is the default and the rule is missing; of rules equal in host and path, block wins;
@@ -28,9 +30,13 @@ from panelforge.session import broadcast_checked, materialize
 CUT = "\u0001"
 
 
+def lowered(host: Column) -> Column:
+    """A-Z in lower case, other letters as they are."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
-    raw = F.regexp_extract(F.coalesce(url, F.lit("")), "^(?s).*?://([^/?#]*)", 1)
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lowered(F.regexp_extract(F.coalesce(url, F.lit("")), "^(?s).*?://([^/?#]*)", 1))
 
 
 def path_of(url: Column) -> Column:
@@ -48,7 +54,7 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> Da
 
 def rule_stacks(rules: DataFrame) -> DataFrame:
     """Per rule its key and the rules open there: itself and those whose key is a proper prefix."""
-    own = rules.select("verdict", F.lower("host").alias("host"), "path").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    own = rules.select("verdict", lowered(F.col("host")).alias("host"), "path").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     own = own.select(
         _key(F.col("host"), F.col("path")).alias("key"),
         F.struct(
@@ -82,7 +88,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     spark = pages.sparkSession
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", "\\.")
-    under = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # A rule's host has at most so many labels; longer ends of a host cannot equal one.
+    most = rules.agg(F.max(F.size(labels))).first()[0] or 1
+    first = F.greatest(F.lit(1), F.size(labels) - (most - 1))
+    under = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pairs = rows.where("host != ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     probes = materialize(pairs.select("host", "path", F.explode(under).alias("above")).select("host", "path", _key(F.col("above"), F.col("path")).alias("key")))
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -129,6 +129,15 @@ def test_urls_match_brute_force(spark):
     assert sorted(map(repr, ((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got))) == sorted(map(repr, ((i, *judged(u, RULES)) for i, u in data)))
 
 
+def test_urls_of_many_labels_and_other_letters(spark):
+    hosts = ["a." * 20_000 + "example.net", "\u00c9.NET", "\u00e9.net", "net", "x.\u00c9.net"]
+    rules = [("block", "\u00c9.net", "/"), ("allow", "example.net", "/"), ("block", "x.y.example.net", "/")]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, urls.rule_table(spark, rules)).collect()}
+    block = ("\u00c9.net/", "block")
+    assert got == {0: ("example.net/", "allow"), 1: block, 2: (None, "allow"), 3: (None, "allow"), 4: block}
+
+
 def test_urls_without_pages_or_rules(spark):
     none = spark.createDataFrame([], "page_id bigint, url string")
     assert urls.judge(none, urls.rule_table(spark, RULES)).count() == 0
