@@ -34,8 +34,11 @@ _GAIN = "(pow(2e0, relevance) - 1e0)"
 
 
 def daily_sql(score="disc"):
-    return pred_sql(score) + f""",
-pos AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, entity) AS p,
+    return pred_sql(score) + ",\n" + daily_of_pred_sql()
+
+
+def daily_of_pred_sql():
+    return f"""pos AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, entity) AS p,
  row_number() OVER (PARTITION BY trade_date ORDER BY relevance DESC, entity) AS ip,
  {avg_rank_sql('score', 'trade_date', pct=False)} AS rx, {avg_rank_sql(LABEL, 'trade_date', pct=False)} AS ry FROM pred),
 seq AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM pred)),
@@ -72,6 +75,7 @@ SUMMARY_SQL = (
     "summary AS (SELECT * FROM (SELECT count(*) AS days, " + ", ".join(f"avg({m}) AS {m}" for m in _SUMMARY)
     + " FROM daily), (SELECT avg(CASE WHEN topk_excess > 0 THEN 1e0 ELSE 0e0 END) AS monthly_win_rate, median(topk_excess) AS monthly_median_excess, min(topk_excess) AS worst_month_excess FROM monthly))"
 )
+YEAR_SQL = lambda years: ", ".join(f"round(avg(CASE WHEN year = '{y}' THEN {m} END) + {HALFWAY!r}, 9) + 0e0 AS {m}_{y}" for y in years for m in ev.YEARLY_METRICS)
 _SUM_COLS = [*_SUMMARY, "monthly_win_rate", "monthly_median_excess", "worst_month_excess"]
 
 

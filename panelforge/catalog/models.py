@@ -10,8 +10,8 @@ from panelforge.catalog.base import (
     CALENDAR_SQL, END, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, NAMES, PANEL_SQL, START, UPDATE, hist_sql, labelled_panel,
     main_calendar, main_shape, register, rounded, with_sql,
 )
-from panelforge.catalog.evaluation import rounds
-from panelforge.catalog.walk import ranked_frame, windows
+from panelforge.catalog.evaluation import _SUM_COLS, MONTHLY_SQL, SUMMARY_SQL, YEAR_SQL, daily_of_pred_sql, rounded as nudged, rounds
+from panelforge.catalog.walk import BINNED_SQL, VOTES_SQL, bins_sql, ic_vote_sql, ranked_frame, ranked_sql, windows
 from panelforge.plans import grid as gr
 from panelforge.plans import models as md
 from panelforge.plans import walkforward as wf
@@ -168,7 +168,27 @@ def feature_importance(spark, folder):
     return md.importance_table(spark, result.models, NAMES, top=5)
 
 
-@register("model_grid")
+def _grid_sql(name, model="ic_vote", lookback=LOOKBACK, half_life=10.0, bins=10, names=NAMES):
+    """One configuration: its scores, their evaluation and the year's means."""
+    scores = [ic_vote_sql(half_life), f"sc AS ({VOTES_SQL})"] if model == "ic_vote" else [bins_sql(bins), f"sc AS ({BINNED_SQL.format(digits=9)})"]
+    whole = with_sql(
+        ranked_sql(lookback, names), *scores,
+        f"pred AS (SELECT entity, trade_date, score, {LABEL}, target_rank, relevance, is_target_topk FROM sc JOIN rf USING (entity, trade_date) WHERE {LABEL} IS NOT NULL)",
+        daily_of_pred_sql(), MONTHLY_SQL, SUMMARY_SQL,
+        select=f"SELECT CAST(days AS BIGINT) AS days, {rounds(_SUM_COLS)}, y.* FROM summary CROSS JOIN (SELECT {YEAR_SQL(['2000'])} FROM daily) y",
+    )
+    return f"SELECT '{name}' AS experiment_id, '{model}' AS model, CAST({len(names)} AS INTEGER) AS factor_count, * FROM ({whole})"
+
+
+GRID_SQL = " UNION ALL ".join(
+    [
+        _grid_sql("vote"), _grid_sql("bins10", model="binning"), _grid_sql("bins20", model="binning", bins=20), _grid_sql("window60", lookback=60),
+        _grid_sql("decay0", half_life=0.0), _grid_sql("without_terms", names=("f2", "f4", "f6")),
+    ]
+)
+
+
+@register("model_grid", GRID_SQL)
 def model_grid(spark, folder):
     """Relational models, windows, half-lives and an ablation on one shared frame."""
     common = dict(model="ic_vote", start=START, end=END, horizon=HORIZON, lookback=LOOKBACK, validation=5, update=5)
@@ -183,7 +203,8 @@ def model_grid(spark, folder):
         "decay0": dict(half_life=0.0),
         **gr.ablation_grid(library, {"without_terms": "terms"}),
     }
-    return gr.run_grid(
-        ranked_frame(spark, folder), NAMES, main_calendar(spark, folder), main_shape(spark, folder), grid, label=LABEL, k=K,
-        years=["2000"], common=common,
+    found = gr.run_grid(
+        ranked_frame(spark, folder, 60), NAMES, main_calendar(spark, folder), main_shape(spark, folder), grid, label=LABEL, k=K,
+        years=["2000"], common=common, digits=9,
     )
+    return nudged(found, [c for c, kind in found.dtypes if kind == "double"])

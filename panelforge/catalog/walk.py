@@ -27,9 +27,9 @@ def windows(spark, folder):
     return blocks, wf.history_windows(blocks, calendar, horizon=HORIZON, lookback=LOOKBACK)
 
 
-def within_windows(spark, folder, frame):
+def within_windows(spark, folder, frame, lookback=LOOKBACK):
     """Drop dates no window needs; temporals were computed on full histories before."""
-    return prune_dates(frame, main_calendar(spark, folder), START, END, horizon=HORIZON, lookback=LOOKBACK)
+    return prune_dates(frame, main_calendar(spark, folder), START, END, horizon=HORIZON, lookback=lookback)
 
 
 def factor_values(spark, folder):
@@ -40,15 +40,15 @@ def factor_values(spark, folder):
     )
 
 
-def ranked_frame(spark, folder):
+def ranked_frame(spark, folder, lookback=LOOKBACK):
     """Ranked, filled frame with labels over the dates the windows need, written once."""
     keep = [LABEL, "target_rank", "relevance", "is_target_topk"]
 
     def build():
         wide = ex.evaluate_expressions(labelled_panel(spark, folder), LIBRARY, keep=keep, directions=DIRECTIONS, digits=DIGITS)
-        return wf.ranked_factors(within_windows(spark, folder, wide), NAMES, widest=main_shape(spark, folder).widest)
+        return wf.ranked_factors(within_windows(spark, folder, wide, lookback), NAMES, widest=main_shape(spark, folder).widest)
 
-    return prepared(spark, folder, "ranked_frame", build)
+    return prepared(spark, folder, f"ranked_frame_{lookback}", build)
 
 
 def ic_history(spark, folder, min_ic_days=10):
@@ -154,19 +154,28 @@ def vote_score(spark, folder):
 
 # --- second-generation models ------------------------------------------------------------
 
-RANKED_SQL = ",\n".join(
-    [
-        LABELLED_SQL, CALENDAR_SQL, factors_sql("labelled", [LABEL, "target_rank", "relevance", "is_target_topk"], directions=DIRECTIONS), hist_sql(),
-        "rf AS (SELECT entity, trade_date, " + LABEL + ", target_rank, relevance, is_target_topk, "
-        + ", ".join(f"coalesce({avg_rank_sql(n, 'trade_date')}, 0.5e0) AS {n}" for n in NAMES) + " FROM wide)",
-        long_sql("rf", [LABEL, "target_rank"]),
-    ]
-)
-IC_VOTE_SQL = f"""dic AS (SELECT factor, trade_date, {pearson_sql('value', 'target_rank')} AS ic FROM long WHERE target_rank IS NOT NULL GROUP BY 1, 2),
-mi AS (SELECT h.rebalance_date, d.factor, coalesce(sum(ic * pow(0.5e0, age / 10e0)), 0e0) / sum(pow(0.5e0, age / 10e0)) AS mean_ic FROM hist h JOIN dic d USING (trade_date) GROUP BY 1, 2),
+
+def ranked_sql(lookback=LOOKBACK, names=NAMES):
+    return ",\n".join(
+        [
+            LABELLED_SQL, CALENDAR_SQL, factors_sql("labelled", [LABEL, "target_rank", "relevance", "is_target_topk"], directions=DIRECTIONS), hist_sql(lookback),
+            "rf AS (SELECT entity, trade_date, " + LABEL + ", target_rank, relevance, is_target_topk, "
+            + ", ".join(f"coalesce({avg_rank_sql(n, 'trade_date')}, 0.5e0) AS {n}" for n in names) + " FROM wide)",
+            long_sql("rf", [LABEL, "target_rank"], names),
+        ]
+    )
+
+
+def ic_vote_sql(half_life=10.0):
+    decay = f"pow(0.5e0, age / {half_life!r})" if half_life else "1e0"
+    return f"""dic AS (SELECT factor, trade_date, {pearson_sql('value', 'target_rank')} AS ic FROM long WHERE target_rank IS NOT NULL GROUP BY 1, 2),
+mi AS (SELECT h.rebalance_date, d.factor, coalesce(sum(ic * {decay}), 0e0) / sum({decay}) AS mean_ic FROM hist h JOIN dic d USING (trade_date) GROUP BY 1, 2),
 wt AS (SELECT *, mean_ic / sum(abs(mean_ic)) OVER (PARTITION BY rebalance_date) AS weight FROM mi)"""
 
 
+RANKED_SQL, IC_VOTE_SQL = ranked_sql(), ic_vote_sql()
+
+
 @register("ic_vote_weights", with_sql(RANKED_SQL, IC_VOTE_SQL, select="SELECT rebalance_date, factor, round(mean_ic, 9) + 0e0 AS mean_ic, round(weight, 9) + 0e0 AS weight FROM wt"))
 def ic_vote_weights(spark, folder):
     blocks, history = windows(spark, folder)
@@ -174,11 +183,14 @@ def ic_vote_weights(spark, folder):
     return rounded(weights, ["mean_ic", "weight"], 9)
 
 
+VOTES_SQL = "SELECT l.entity, l.trade_date, b.rebalance_date, round(sum((l.value - 0.5e0) * w.weight), 9) + 0e0 AS score FROM long l JOIN blocks b USING (trade_date) JOIN wt w ON w.rebalance_date = b.rebalance_date AND w.factor = l.factor GROUP BY 1, 2, 3"
+
+
 @register(
     "ic_vote_score",
     with_sql(
         RANKED_SQL, IC_VOTE_SQL,
-        select="SELECT l.entity, l.trade_date, b.rebalance_date, round(sum((l.value - 0.5e0) * w.weight), 9) + 0e0 AS score FROM long l JOIN blocks b USING (trade_date) JOIN wt w ON w.rebalance_date = b.rebalance_date AND w.factor = l.factor GROUP BY 1, 2, 3",
+        select=VOTES_SQL,
     ),
 )
 def ic_vote_score(spark, folder):
@@ -187,11 +199,16 @@ def ic_vote_score(spark, folder):
     return rounded(scored, ["score"], 9).select("entity", "trade_date", "rebalance_date", "score")
 
 
-BINS_SQL = f"""bn AS (SELECT *, CAST(least(floor(round(value * 10e0, 9)), 9) AS INTEGER) AS bin FROM long),
+def bins_sql(bins=10):
+    return f"""bn AS (SELECT *, CAST(least(floor(round(value * {bins}e0, 9)), {bins - 1}) AS INTEGER) AS bin FROM long),
 enc AS (SELECT h.rebalance_date, b.factor, b.bin, count(*) AS n, (sum(target_rank) + 250e0) / (count(*) + 500e0) AS encoded
  FROM hist h JOIN bn b USING (trade_date) WHERE target_rank IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
+BINS_SQL = bins_sql()
+BINNED_SQL = f"SELECT t.entity, t.trade_date, b.rebalance_date, round(sum(coalesce(e.encoded, 0.5e0) - 0.5e0) / {len(NAMES)}e0 + 0.5e0, {{digits}}) + 0e0 AS score FROM bn t JOIN (SELECT * FROM blocks WHERE rebalance_date IN (SELECT rebalance_date FROM hist)) b USING (trade_date) LEFT JOIN enc e ON e.rebalance_date = b.rebalance_date AND e.factor = t.factor AND e.bin = t.bin GROUP BY 1, 2, 3"
+
+
 @register("bin_encoding", with_sql(RANKED_SQL, BINS_SQL, select="SELECT rebalance_date, factor, bin, n, round(encoded, 10) + 0e0 AS encoded FROM enc"))
 def bin_encoding(spark, folder):
     _, history = windows(spark, folder)
@@ -203,7 +220,7 @@ def bin_encoding(spark, folder):
     "binning_score",
     with_sql(
         RANKED_SQL, BINS_SQL,
-        select=f"SELECT t.entity, t.trade_date, b.rebalance_date, round(sum(coalesce(e.encoded, 0.5e0) - 0.5e0) / {len(NAMES)}e0 + 0.5e0, 10) + 0e0 AS score FROM bn t JOIN blocks b USING (trade_date) LEFT JOIN enc e ON e.rebalance_date = b.rebalance_date AND e.factor = t.factor AND e.bin = t.bin GROUP BY 1, 2, 3",
+        select=BINNED_SQL.format(digits=10),
     ),
 )
 def binning_score(spark, folder):

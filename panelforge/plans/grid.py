@@ -86,11 +86,19 @@ def walk_forward(
     raise ValueError(f"unknown model: {model}")
 
 
-def evaluate_walk(result: md.WalkForward, *, label: str, k: int, shape: PanelShape, years: Sequence[str]) -> Evaluation:
-    """Evaluation whose summary also carries the yearly columns that winner selection reads."""
+def evaluate_walk(
+    result: md.WalkForward, *, label: str, k: int, shape: PanelShape, years: Sequence[str], digits: int | None = None
+) -> Evaluation:
+    """Evaluation whose summary also carries the yearly columns that winner selection reads.
+
+    Scores rounded to ``digits`` tie when they differ by the order of a sum only.
+    """
     from panelforge.operators.evaluate import yearly_columns
 
-    whole = evaluate_predictions(materialize(result.predictions), label, k, widest=shape.widest)
+    scored = result.predictions
+    if digits is not None:
+        scored = scored.withColumn("score", F.round("score", digits) + F.lit(0.0))
+    whole = evaluate_predictions(materialize(scored), label, k, widest=shape.widest)
     summary = whole.summary.crossJoin(F.broadcast(yearly_columns(whole.daily, list(years))))  # one row each
     return whole._replace(summary=summary)
 
@@ -106,6 +114,7 @@ def run_grid(
     k: int,
     years: Sequence[str],
     common: Mapping,
+    digits: int | None = None,
 ) -> DataFrame:
     """One summary row per configuration; the ranked frame is written once and shared."""
     shared = materialize(frame)
@@ -114,7 +123,7 @@ def run_grid(
         settings = {**common, **change}
         chosen = settings.pop("factors", factors)
         result = walk_forward(shared, chosen, calendar, shape, label=label, k=k, **settings)
-        summary = evaluate_walk(result, label=label, k=k, shape=shape, years=years).summary
+        summary = evaluate_walk(result, label=label, k=k, shape=shape, years=years, digits=digits).summary
         rows[name] = summary.withColumn("model", F.lit(settings["model"])).withColumn("factor_count", F.lit(len(chosen)))
     return union_results(rows)
 
