@@ -17,9 +17,15 @@ KEEP = [LABEL, "target_rank", "relevance"]
 MIN_VALID = 12
 
 
-def library_long(spark, folder, keep=KEEP):
+def library_values(spark, folder):
+    """One column per factor, written once."""
     build = lambda: ex.evaluate_expressions(labelled_panel(spark, folder), LIBRARY, keep=KEEP, digits=DIGITS)
-    return ex.to_long(prepared(spark, folder, "library_values", build), NAMES, keep)
+    return prepared(spark, folder, "library_values", build)
+
+
+def library_ics(spark, folder, complete=False):
+    widest = main_shape(spark, folder).widest
+    return q.factor_ics(library_values(spark, folder), NAMES, complete=complete, min_names=MIN_NAMES, widest=widest)
 
 
 LONG_SQL = LABELLED_SQL + ",\n" + factors_sql("labelled", KEEP) + ",\n" + long_sql(keep=KEEP)
@@ -47,13 +53,12 @@ BEST_SQL = """best AS (SELECT factor, max(abs(mean_ic)) AS best, avg(abs(mean_ic
 
 @register("daily_rank_ic", with_sql(LONG_SQL, IC_SQL, select="SELECT factor, trade_date, names, round(ic, 10) + 0e0 AS ic FROM ic"))
 def daily_rank_ic(spark, folder):
-    return rounded(q.daily_rank_ic(library_long(spark, folder), LABEL, min_names=MIN_NAMES, widest=main_shape(spark, folder).widest), ["ic"])
+    return rounded(library_ics(spark, folder, complete=True), ["ic"])
 
 
 @register("daily_rank_ic_preranked", with_sql(LONG_SQL, PRE_SQL, select="SELECT factor, trade_date, names, round(ic, 9) + 0e0 AS ic FROM ic"))
 def daily_rank_ic_preranked(spark, folder):
-    df = q.daily_rank_ic_preranked(library_long(spark, folder), min_names=MIN_NAMES, widest=main_shape(spark, folder).widest)
-    return rounded(df, ["ic"], 9)
+    return rounded(library_ics(spark, folder), ["ic"], 9)
 
 
 @register("monthly_ic", with_sql(LONG_SQL, IC_SQL, MONTH_SQL, select="SELECT factor, month, round(mean_ic, 10) + 0e0 AS mean_ic, days FROM mon WHERE factor = 'f1'"))
@@ -76,10 +81,9 @@ IC_VOL_SQL = "vol AS (SELECT factor, stddev_samp(ic) AS v, (SELECT count(*) FROM
     ),
 )
 def ic_fitness(spark, folder):
-    fit = q.ic_fitness(
-        library_long(spark, folder), q.expression_sizes(spark, LIBRARY), min_names=MIN_NAMES, min_days=MIN_DAYS,
-        widest=main_shape(spark, folder).widest,
-    )
+    values = library_values(spark, folder)
+    daily = sr.materialize(library_ics(spark, folder))
+    fit = q.ic_fitness_of(daily, q.column_spread(values, NAMES), q.expression_sizes(spark, LIBRARY), min_days=MIN_DAYS)
     return rounded(fit, ["score", "best_month_abs_ic", "mean_top_abs_ic", "daily_ic_std"], 9)
 
 
@@ -116,8 +120,8 @@ _REST = "coalesce(peak_month, '') AS peak_month, coalesce(direction, 1) AS direc
 _FIT = f"SELECT factor, nodes, {_SCORE}, coalesce(round(raw, 9) + 0e0, -1e9) AS raw, coalesce(round(volatility, 9) + 0e0, 0e0) AS volatility, {_REST}"
 
 
-def _sides(spark, folder):
-    return q.daily_ndcg_sides(library_long(spark, folder), k=K, min_valid=MIN_VALID, widest=main_shape(spark, folder).widest)
+def _sides(spark, folder, kind="ndcg"):
+    return q.factor_sides(library_values(spark, folder), NAMES, kind, k=K, min_valid=MIN_VALID, widest=main_shape(spark, folder).widest)
 
 
 @register("daily_ndcg_sides", with_sql(LONG_SQL, sides_sql(), select="SELECT factor, trade_date, round(pos, 10) + 0e0 AS pos, round(neg, 10) + 0e0 AS neg FROM sides"))
@@ -127,8 +131,7 @@ def daily_ndcg_sides(spark, folder):
 
 @register("daily_ic_sides", with_sql(LONG_SQL, IC_SIDES_SQL, select="SELECT factor, trade_date, round(pos, 10) + 0e0 AS pos, round(neg, 10) + 0e0 AS neg FROM sides"))
 def daily_ic_sides(spark, folder):
-    df = q.daily_ic_sides(library_long(spark, folder), k=K, min_valid=MIN_VALID, widest=main_shape(spark, folder).widest)
-    return rounded(df, ["pos", "neg"])
+    return rounded(_sides(spark, folder, "ic"), ["pos", "neg"])
 
 
 @register("directional_months", with_sql(LONG_SQL, sides_sql(), MONTHS_SQL, select="SELECT factor, month, round(pos, 10) + 0e0 AS pos, round(neg, 10) + 0e0 AS neg, days, round(score, 10) + 0e0 AS score, direction FROM months"))
@@ -152,10 +155,8 @@ def chosen_side_volatility(spark, folder):
 
 
 def _fitness(spark, folder, objective):
-    fit = q.directional_fitness(
-        library_long(spark, folder), q.expression_sizes(spark, LIBRARY), objective=objective, k=K, min_valid=MIN_VALID,
-        min_days=MIN_DAYS, widest=main_shape(spark, folder).widest,
-    )
+    daily = sr.materialize(_sides(spark, folder, "ic" if objective.endswith("_ic") else "ndcg"))
+    fit = q.directional_fitness_of(daily, q.expression_sizes(spark, LIBRARY), objective=objective, min_days=MIN_DAYS)
     return rounded(fit, ["score", "raw", "volatility"], 9)
 
 
@@ -180,7 +181,7 @@ _REVIEW_SQL = f"""SELECT factor, peak AS full_peak_month, round(best, 9) + 0e0 A
 
 
 def _validated(spark, folder):
-    return q.validate_library(library_long(spark, folder), min_names=MIN_NAMES, min_days=MIN_DAYS, widest=main_shape(spark, folder).widest)
+    return q.review_of(library_ics(spark, folder), min_days=MIN_DAYS)
 
 
 @register("validate_library", with_sql(LONG_SQL, PRE_SQL, MONTH_SQL, BEST_SQL, select=_REVIEW_SQL))

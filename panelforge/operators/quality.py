@@ -1,18 +1,20 @@
 """Factor quality: rank IC, NDCG of both tails, monthly scores and fitness.
 
-Every function takes the long form (factor, entity, trade_date, value, label columns) and
-scores all factors in one job.
+Functions take the long form (factor, entity, trade_date, value, label columns) and score all
+factors in one job. ``factor_ics`` and ``factor_sides`` take one column per factor and hold a date's
+columns in a task while dates fit, which ranks without a row per factor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelforge.functions.expressions import node_count, parse
+from panelforge.functions.expressions import node_count, parse, to_long
 from panelforge.functions.scalar import discount, gain
 from panelforge.operators.aggregates import pearson
+from panelforge.operators.daily import daily_statistics
 from panelforge.operators.ranks import average_rank, top_rows
 from panelforge.session import group_limit, materialize, small_table
 
@@ -67,6 +69,45 @@ def daily_rank_ic_preranked(
     )
 
 
+def _fits(rows: DataFrame, widest: int | None) -> bool:
+    return widest is not None and widest <= group_limit(rows.sparkSession)
+
+
+def factor_ics(
+    wide: DataFrame, names: Sequence[str], *, complete: bool = False, min_names: int = MIN_DAILY_NAMES, widest: int | None = None
+) -> DataFrame:
+    """(factor, trade_date, names, ic) of all factor columns, without one row per factor.
+
+    As :func:`daily_rank_ic_preranked`, or with ``complete`` as :func:`daily_rank_ic` (both sides
+    ranked over complete rows). Dates beyond the group limit take those long forms.
+    """
+    if not _fits(wide, widest):
+        long = to_long(wide, names, ["target_rank"])
+        if complete:
+            return daily_rank_ic(long, "target_rank", min_names=min_names, widest=widest)
+        return daily_rank_ic_preranked(long, min_names=min_names, widest=widest)
+    daily = daily_statistics(wide, names, "ic" if complete else "prerank", least=min_names, widest=widest)
+    daily = daily.where(F.col("names") >= min_names) if complete else daily
+    return daily.select("factor", "trade_date", F.col("names").cast("long").alias("names"), F.col("pos").alias("ic"))
+
+
+def factor_sides(
+    wide: DataFrame, names: Sequence[str], kind: str, *, k: int = 50, min_valid: int = 100, widest: int | None = None
+) -> DataFrame:
+    """:func:`daily_ndcg_sides` or :func:`daily_ic_sides` of all factor columns."""
+    if not _fits(wide, widest):
+        form = daily_ic_sides if kind == "ic" else daily_ndcg_sides
+        return form(to_long(wide, names, ["target_rank", "relevance"]), k=k, min_valid=min_valid, widest=widest)
+    daily = daily_statistics(wide, names, kind, k=k, least=max(min_valid, k), widest=widest)
+    return daily.where("names > 0").select(*GROUP, "pos", "neg")
+
+
+def column_spread(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(factor, value_std) of all factor columns from one aggregate."""
+    cells = F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("value_std")) for n in names])
+    return wide.agg(*[F.stddev_samp(n).alias(n) for n in names]).select(F.inline(cells))
+
+
 def monthly_ic(daily: DataFrame, *, min_days: int = MIN_MONTH_DAYS, keys: tuple[str, ...] = ("factor",)) -> DataFrame:
     return (
         daily.where(F.col("ic").isNotNull())
@@ -318,6 +359,11 @@ def validate_library(
 ) -> tuple[DataFrame, DataFrame]:
     """Full-history review of every factor: (one row per factor, long monthly table)."""
     daily = daily_rank_ic_preranked(long, label_rank, min_names=min_names, widest=widest)
+    return review_of(daily, min_days=min_days, strong=strong)
+
+
+def review_of(daily: DataFrame, *, min_days: int = MIN_MONTH_DAYS, strong: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """The review from daily ICs (factor, trade_date, ic)."""
     months = materialize(monthly_ic(daily, min_days=min_days).withColumn("abs_ic", F.abs("mean_ic")))
     best = top_months(months, "abs_ic").groupBy("factor").agg(
         F.min_by("month", "month_rank").alias("full_peak_month"),

@@ -193,3 +193,23 @@ def test_labelled_rows_fill_the_sample(spark):
     known = labels.flag_entities(panel, 5, 3, label="y")
     assert len(free) == 6 and known.count() == 11
     assert {(r.trade_date, r.entity) for r in known.where("in_sample").collect()} == {("20240102", f"n{i}") for i in (1, 3, 5, 7, 9)}
+
+
+@pytest.mark.parametrize("kind", ["prerank", "complete", "ic", "ndcg"])
+def test_factor_columns_agree_with_the_long_form(spark, kind):
+    rng = np.random.default_rng(11)
+    rows = [
+        (f"2024010{d}", f"n{i:03d}", float(i * 7919 % 40) / 40, i * 31 % 5, *(None if x > 0.9 else float(round(x, 1)) for x in rng.random(2)))
+        for d in (1, 2) for i in range(40)
+    ]
+    wide = spark.createDataFrame(rows, "trade_date string, entity string, target_rank double, relevance int, a double, b double")
+
+    def found(widest):
+        if kind in ("ic", "ndcg"):
+            return q.factor_sides(wide, ["a", "b"], kind, k=5, min_valid=5, widest=widest)
+        return q.factor_ics(wide, ["a", "b"], complete=kind == "complete", min_names=5, widest=widest)
+
+    near, far = (sorted(map(tuple, found(w).collect())) for w in (40, 5_000_000))
+    assert len(near) == len(far) == 4
+    for x, y in zip(near, far):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:])
