@@ -11,49 +11,63 @@ from panelforge.catalog.base import (
     main_calendar, main_shape, register, rounded, with_sql,
 )
 from panelforge.catalog.evaluation import _SUM_COLS, MONTHLY_SQL, SUMMARY_SQL, YEAR_SQL, daily_of_pred_sql, rounded as nudged, rounds
-from panelforge.catalog.walk import BINNED_SQL, VOTES_SQL, bins_sql, ic_vote_sql, ranked_frame, ranked_sql, windows
+from panelforge.catalog.walk import BINNED_SQL, VOTES_SQL, bins_sql, ic_vote_sql, ranked_frame, ranked_sql, whole_span, windows
 from panelforge.plans import grid as gr
 from panelforge.plans import models as md
 from panelforge.plans import walkforward as wf
 from panelforge.session import path_exists, small_table, work_folder
 from panelforge.sources import store
 
+# Leaves fit the tables' 8 to 1,000 names per date; rounds, rates, depths and patience are the operators' own.
+_BOOST = {**md.BOOST, "min_rows": 20}
+# The short walks of the statements below: one year, a refit every 20 dates, few rounds.
 _UPDATE = 20
-_BOOST = {**md.BOOST, "max_iter": 6, "min_rows": 20, "step": 0.1}
-_RUNS: dict[tuple[str, str, str], md.WalkForward] = {}
+_SHORT_BOOST = {**_BOOST, "max_iter": 6, "step": 0.1}
+_RUNS: dict[tuple[str, str, str, bool], md.WalkForward] = {}
 
 
-def run(spark, folder, model, options=None, **settings):
+def run(spark, folder, model, options=None, span=None, update=UPDATE, **settings):
+    """A walk over ``span``, by default from the first date with a full window to the last date."""
+    span = span or whole_span(spark, folder)
     return gr.walk_forward(
-        ranked_frame(spark, folder), NAMES, main_calendar(spark, folder), main_shape(spark, folder), model=model, start=START,
-        end=END, label=LABEL, horizon=HORIZON, lookback=LOOKBACK, validation=5, update=_UPDATE, k=K, options=options, **settings,
+        ranked_frame(spark, folder, span=span), NAMES, main_calendar(spark, folder), main_shape(spark, folder), model=model,
+        start=span[0], end=span[1], label=LABEL, horizon=HORIZON, lookback=LOOKBACK, validation=5, update=update, k=K,
+        options=options, **settings,
     )
 
 
-RUNS = {
-    "rolling_tree": dict(model="tree"),
-    # First generation: two depths compared on the validation dates.
-    "rolling_boost_candidates": dict(
-        model="regression", options=dict(settings=_BOOST, candidates=({"depth": 2}, {"depth": 3})), half_life=0.0
-    ),
-    "rolling_boost_decayed": dict(model="regression", options=dict(settings=_BOOST)),
-    "rolling_topk_classifier": dict(model="classifier", options=dict(settings=_BOOST)),
-    "rolling_lambdarank": dict(model="lambdarank", options=dict(rounds=3, step=0.3, depth=2, min_rows=20, l2=1.0)),
+def _runs(boost, ranking):
+    return {
+        "rolling_tree": dict(model="tree"),
+        # First generation: two depths compared on the validation dates.
+        "rolling_boost_candidates": dict(
+            model="regression", options=dict(settings=boost, candidates=({"depth": 2}, {"depth": 3})), half_life=0.0
+        ),
+        "rolling_boost_decayed": dict(model="regression", options=dict(settings=boost)),
+        "rolling_topk_classifier": dict(model="classifier", options=dict(settings=boost)),
+        "rolling_lambdarank": dict(model="lambdarank", options=dict(min_rows=20, **ranking)),
+    }
+
+
+RUNS = _runs(_BOOST, {})
+SHORT_RUNS = {
+    name: dict(span=(START, END), update=_UPDATE, **settings)
+    for name, settings in _runs(_SHORT_BOOST, dict(rounds=3, step=0.3, depth=2, l2=1.0)).items()
 }
 
 
-def walked(spark, folder, name):
+def walked(spark, folder, name, short=False):
     """A named run, made once per session; its predictions are a written table."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    key = (spark.sparkContext.applicationId, folder, name, short)
     found = _RUNS.get(key)
     if found is None or not path_exists(spark, found.predictions.inputFiles()[0]):
-        found = _RUNS[key] = run(spark, folder, **RUNS[name])
+        found = _RUNS[key] = run(spark, folder, **(SHORT_RUNS if short else RUNS)[name])
     return found
 
 
 def coverage(spark, folder, name):
-    """Per refit: its training dates, embargo gap and the number of rows it scored."""
-    result = walked(spark, folder, name)
+    """Per refit of the short walk: its training dates, embargo gap and the number of rows it scored."""
+    result = walked(spark, folder, name, short=True)
     position = main_calendar(spark, folder).select("trade_date", "position")
     fields = ("rebalance_date", "train_start", "train_end")
     spans = small_table(spark, **{f: [x[f] for x in result.records] for f in fields})
@@ -98,7 +112,7 @@ for _name in RUNS:
 def records_stored(spark, folder):
     """Model records written as JSON and read back."""
     path = f"{work_folder(spark)}/records-{uuid.uuid4().hex}"
-    store.write_records(md.records_table(spark, walked(spark, folder, "rolling_tree").records), path)
+    store.write_records(md.records_table(spark, walked(spark, folder, "rolling_tree", short=True).records), path)
     return spark.read.json(path).select("rebalance_date", "train_start", "train_end")
 
 
@@ -113,7 +127,7 @@ def models_reloaded(spark, folder):
     """Tree models saved, loaded and scored again: rows whose score changed."""
     from pyspark.ml.regression import DecisionTreeRegressionModel
 
-    path, result = f"{work_folder(spark)}/models-{uuid.uuid4().hex}", walked(spark, folder, "rolling_tree")
+    path, result = f"{work_folder(spark)}/models-{uuid.uuid4().hex}", walked(spark, folder, "rolling_tree", short=True)
     md.save_models(result.models, path)
     frame = md.VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(ranked_frame(spark, folder)).select("entity", "trade_date", "features")
     out = None
@@ -134,7 +148,7 @@ def models_reloaded(spark, folder):
 )
 def importance_shares(spark, folder):
     """Importances of each refit: one row per factor, adding up to one, numbered in order."""
-    table = md.importance_table(spark, walked(spark, folder, "rolling_tree").models, NAMES)
+    table = md.importance_table(spark, walked(spark, folder, "rolling_tree", short=True).models, NAMES)
     return table.groupBy("rebalance_date").agg(
         F.countDistinct("factor").alias("factors"), F.round(F.sum("importance"), 9).alias("total"), F.max("position").alias("last_position")
     )
@@ -164,7 +178,7 @@ def refit_logs_read(spark, folder):
 
 @register("feature_importance")
 def feature_importance(spark, folder):
-    result = run(spark, folder, "tree", dict(depths=(3,), leaf_shares=(0.05,)))
+    result = walked(spark, folder, "rolling_tree")
     return md.importance_table(spark, result.models, NAMES, top=5)
 
 

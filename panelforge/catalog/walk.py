@@ -27,9 +27,15 @@ def windows(spark, folder):
     return blocks, wf.history_windows(blocks, calendar, horizon=HORIZON, lookback=LOOKBACK)
 
 
-def within_windows(spark, folder, frame, lookback=LOOKBACK):
+def within_windows(spark, folder, frame, lookback=LOOKBACK, span=(START, END)):
     """Drop dates no window needs; temporals were computed on full histories before."""
-    return prune_dates(frame, main_calendar(spark, folder), START, END, horizon=HORIZON, lookback=lookback)
+    return prune_dates(frame, main_calendar(spark, folder), *span, horizon=HORIZON, lookback=lookback)
+
+
+def whole_span(spark, folder, lookback=LOOKBACK):
+    """First date with a full window behind it, and the last date."""
+    full = F.col("position") >= HORIZON + lookback
+    return tuple(main_calendar(spark, folder).agg(F.min(F.when(full, F.col("trade_date"))), F.max("trade_date")).first())
 
 
 def factor_values(spark, folder):
@@ -40,15 +46,15 @@ def factor_values(spark, folder):
     )
 
 
-def ranked_frame(spark, folder, lookback=LOOKBACK):
+def ranked_frame(spark, folder, lookback=LOOKBACK, span=(START, END)):
     """Ranked, filled frame with labels over the dates the windows need, written once."""
     keep = [LABEL, "target_rank", "relevance", "is_target_topk"]
 
     def build():
         wide = ex.evaluate_expressions(labelled_panel(spark, folder), LIBRARY, keep=keep, directions=DIRECTIONS, digits=DIGITS)
-        return wf.ranked_factors(within_windows(spark, folder, wide, lookback), NAMES, widest=main_shape(spark, folder).widest)
+        return wf.ranked_factors(within_windows(spark, folder, wide, lookback, span), NAMES, widest=main_shape(spark, folder).widest)
 
-    return prepared(spark, folder, f"ranked_frame_{lookback}", build)
+    return prepared(spark, folder, f"ranked_frame_{lookback}_{span[0]}_{span[1]}", build)
 
 
 def ic_history(spark, folder, min_ic_days=10):
