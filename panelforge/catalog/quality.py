@@ -347,14 +347,14 @@ def select_library(spark, folder):
 
 @register("search_factors")
 def search_factors(spark, folder):
-    """A short search: 3 generations of 12 expressions over the whole panel."""
+    """The whole search: 20 generations of 80 expressions on up to 700 names of each date, a review of
+    the best 600 on all rows, and a library of up to 20 factors."""
     from dataclasses import replace
 
     from panelforge.catalog.base import CATEGORIES
 
     options = replace(
-        _OPTIONS, population=12, generations=3, elite=4, library_size=5, temporal=("delta_5", "mean_5"), keep=20,
-        selection="tournament", crossover="symmetric_subtree", mutation="mixed", start="category_balanced",
-        categories=dict(CATEGORIES),
+        _OPTIONS, names_per_date=sr.SearchOptions.names_per_date, selection="tournament", crossover="symmetric_subtree",
+        mutation="mixed", start="category_balanced", categories=dict(CATEGORIES),
     )
     return sr.search_factors(labelled_panel(spark, folder), FEATURES, options)

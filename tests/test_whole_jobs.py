@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.catalog import base, models
+from panelforge.catalog import base, models, quality
 from panelforge.catalog.base import HORIZON, LOOKBACK, main_calendar
 from panelforge.plans import models as md
+from panelforge.plans import search as sr
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -36,3 +37,13 @@ def test_registered_walks_are_not_shortened(spark, monkeypatch, name):
     for key, value in options.get("settings", {}).items():
         assert key == "min_rows" or value == md.BOOST[key]
     assert len(options.get("candidates", md.BOOST_CANDIDATES)) == len(md.BOOST_CANDIDATES)
+
+
+def test_registered_search_uses_the_default_effort(spark, monkeypatch):
+    monkeypatch.setattr(quality.sr, "search_factors", lambda panel, features, options: (features, options))
+    features, options = base.QUERIES["search_factors"](spark, FOLDER)
+    own = sr.SearchOptions()
+    for name in ("population", "generations", "elite", "keep", "library_size", "names_per_date", "months", "max_depth", "review"):
+        assert getattr(options, name) == getattr(own, name), name
+    assert set(options.temporal) == {"delta_5", "slope_5", "mean_5", "std_20", "zscore_20", "ts_rank_20"}
+    assert features == base.FEATURES
