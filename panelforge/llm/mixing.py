@@ -4,12 +4,15 @@ Every source gets a target in words. A document's expected number of copies grow
 appeal (by default the square root of its size) and is held below a bound. The whole copies are
 certain; the remaining fraction ``p`` is an inclusion probability. Documents are ranked by
 ``(u / (1 - u)) / (p / (1 - p))`` with ``u`` drawn from a hash. The sample's fixed size is counted
-in words: the smallest ranks are taken while they fit the source's target, and the next ranks fill
-what is left, so no target is exceeded and little is missing.
+in words: by rank, every document is taken that fits what is left of its source's target. So no
+target is exceeded, and what is missing is less than any fraction left out.
 
 Only DataFrame operations are used. Per-source figures come from pre-aggregated tables, so a
 source that holds most rows is never gathered: sizes are counted per (source, size), ranks per
-(source, cell) with 65,536 cells, and only the one cell a source's target falls into is sorted.
+(source, cell) with 65,536 cells, and only the one cell a source's target falls into is sorted. The
+document that overshoots there is left out, and the same pass goes on behind it with the documents
+that still fit, for all sources at once, until none is left. A pass is kept as its bounds, however
+many documents it takes.
 
 Defined results: a missing text has size 0 and takes 0 words; a missing source is a source of its
 own, last in order; rows equal in id, text and source share one draw and are taken or left
@@ -27,8 +30,8 @@ from panelforge.session import broadcast_within, materialize
 
 CELLS = 65_536
 SLICE_ROWS = 100_000
-# So many ranks behind the last one taken are tried to fill what a source still lacks.
-FILL = 256
+LOT = "struct<rank:double,draw:bigint>"
+PASSES = f"array<struct<past:{LOT},stop:{LOT},most:double>>"
 # Whole copies within this distance of the expectation count as reached.
 SMALL = 1e-9
 
@@ -117,8 +120,8 @@ def plan_mix(
     rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0,
     appeal: Callable[[Column], Column] = F.sqrt,
 ) -> tuple[DataFrame, int]:
-    """Per source its words, target, rate and what is taken of the fractions: all ranks up to
-    ``last`` and those in ``fill``. Also returns the number of sources.
+    """Per source its words, target, rate and what is taken of the fractions: ``passes``, each the
+    ranks between two bounds whose size is at most ``most``. Also returns the number of sources.
 
     ``rows`` is what :func:`measured` returns, written to a table.
     """
@@ -130,54 +133,61 @@ def plan_mix(
     wanted = materialize(_with_sources(wanted.drop("bound"), factor, n))
 
     ranked = _ranked(_with_sources(rows, wanted, n), appeal, most)
-    cells = materialize(ranked.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.sum(F.col("sure") * F.col("size")).alias("certain")))
-    certain = cells.groupBy("source").agg(F.sum("certain").alias("certain"))
-    open_ = _with_sources(wanted.select("source", "target"), certain, n).select("source", (F.col("target") - F.col("certain")).alias("open"))
+    certain = ranked.groupBy("source").agg(F.sum(F.col("sure") * F.col("size")).alias("certain"))
+    state = _with_sources(wanted.select("source", "target"), certain, n).select(
+        "source", (F.col("target") - F.col("certain")).alias("gap"), F.lit(None).cast(LOT).alias("past"), F.array().cast(PASSES).alias("passes"),
+        F.lit(True).alias("going"),
+    )
+    state = materialize(state)
+    lots = ranked.where("rank IS NOT NULL").select("source", "size", "cell", "rank", "draw")
+    while state.where("going AND gap > 0").limit(1).count():
+        state = _next_pass(lots, state, n)
+    return materialize(_with_sources(wanted, state.select("source", "passes"), n)), n
+
+
+def _beyond(past: Column) -> Column:
+    return past.isNull() | (F.col("rank") > past["rank"]) | ((F.col("rank") == past["rank"]) & (F.col("draw") > past["draw"]))
+
+
+def _next_pass(lots: DataFrame, state: DataFrame, n: int) -> DataFrame:
+    """Takes all ranks behind ``past`` that fit, up to the first lot that overshoots, which is left out."""
+    open_ = state.where("going AND gap > 0").select("source", "gap", "past")
+    left = _with_sources(lots, open_, n).where((F.col("size") <= F.col("gap")) & _beyond(F.col("past")))
+    cells = left.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    running = _with_sources(cells.where("cell IS NOT NULL").withColumn("upto", F.sum("words").over(upto)), open_, n)
+    running = cells.withColumn("upto", F.sum("words").over(upto))
     # The cell in which the source's words pass what is open, and the words of the cells before it.
-    edge = running.where("upto > open").groupBy("source").agg(
-        F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("e")
-    ).select("source", F.col("e.cell").alias("edge"), F.col("e.before").alias("before"))
-    edge = materialize(_with_sources(open_, edge, n))
-
-    beyond = _with_sources(ranked.drop("target", "source_size", "rate"), edge, n)
-    lot = ["source", "rank", "draw"]
-    here = beyond.where("cell = edge").groupBy(*lot, "open", "before").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy("rank", "draw")
-    within = here.withColumn("_upto", F.col("before") + F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    last = within.where("_upto <= open").groupBy("source").agg(
-        F.max(F.struct("rank", "draw")).alias("last"), F.max("_upto").alias("reached")
+    edge = materialize(
+        running.where("upto > gap").groupBy("source").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("e"))
+        .select("source", F.col("e.cell").alias("edge"), F.col("e.before").alias("before"))
     )
-    edge = materialize(_with_sources(edge, last, n))
-    # The next ranks fill what is still open, each taken if it fits.
-    after = _with_sources(beyond.drop("open", "before", "edge"), edge, n).where(
-        "cell >= edge AND size > 0 AND (last IS NULL OR cell > edge OR rank > last.rank OR (rank = last.rank AND draw > last.draw))"
+    here = _with_sources(left, edge, n).where("cell = edge").groupBy("source", "rank", "draw", "gap", "before").agg(F.sum("size").alias("words"))
+    order = Window.partitionBy("source").orderBy("rank", "draw").rowsBetween(Window.unboundedPreceding, 0)
+    within = here.withColumn("reached", F.col("before") + F.sum("words").over(order)).where("reached > gap")
+    stop = within.groupBy("source").agg(
+        F.min_by(F.struct(F.struct("rank", "draw").alias("stop"), (F.col("reached") - F.col("words")).alias("taken")), F.struct("rank", "draw")).alias("s")
+    ).select("source", F.col("s.stop").alias("stop"), F.col("s.taken").alias("taken"))
+    now = F.col("going") & (F.col("gap") > 0)
+    done = F.struct("past", F.col("stop"), F.col("gap").alias("most"))
+    return materialize(
+        _with_sources(state, stop, n).select(
+            "source", F.when(now & F.col("stop").isNotNull(), F.col("gap") - F.col("taken")).otherwise(F.col("gap")).alias("gap"),
+            F.coalesce("stop", "past").alias("past"), F.when(now, F.concat("passes", F.array(done).cast(PASSES))).otherwise(F.col("passes")).alias("passes"),
+            (now & F.col("stop").isNotNull()).alias("going"),
+        )
     )
-    nearest = after.withColumn("_nr", F.row_number().over(order)).where(F.col("_nr") <= FILL)
-    gap = F.max(F.col("open") - F.coalesce("reached", "before"))
-    listed = nearest.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("rank", "draw", "size"))).alias("next"), gap.alias("gap"))
-    start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<struct<rank:double,draw:bigint>>").alias("taken"))
-
-    def fits(acc, lot):
-        more = F.struct((acc["gap"] - lot["size"]).alias("gap"), F.concat(acc["taken"], F.array(F.struct(lot["rank"].alias("rank"), lot["draw"].alias("draw")))).alias("taken"))
-        return F.when(lot["size"] <= acc["gap"], more).otherwise(acc)
-
-    fill = listed.select("source", F.aggregate("next", start, fits, lambda acc: acc["taken"]).alias("fill"))
-    return materialize(_with_sources(_with_sources(wanted, edge.drop("before", "reached"), n), fill, n)), n
 
 
 def with_copies(rows: DataFrame, plan: DataFrame, n: int, most: float = 3.0, appeal: Callable[[Column], Column] = F.sqrt) -> DataFrame:
     """Adds the number of copies the mix takes of each row. No row is shuffled when sources are few."""
     ranked = _ranked(_with_sources(rows, plan, n), appeal, most)
-    within = (F.col("rank") < F.col("last.rank")) | ((F.col("rank") == F.col("last.rank")) & (F.col("draw") <= F.col("last.draw")))
-    filling = F.coalesce(F.array_contains("fill", F.struct("rank", "draw")), F.lit(False))
-    fraction = (
-        F.when(F.col("rank").isNull() | (F.col("open") <= 0), False)
-        .when(F.col("edge").isNull() | (F.col("cell") < F.col("edge")), True)
-        .otherwise(((F.col("cell") == F.col("edge")) & F.coalesce(within, F.lit(False))) | filling)
-    )
-    return ranked.withColumn("copies", (F.col("sure") + fraction.cast("int")).cast("int")).drop("sure", "rank", "cell", "edge", "open", "last", "fill", "rate")
+
+    def takes(p):
+        before_stop = p["stop"].isNull() | (F.col("rank") < p["stop"]["rank"]) | ((F.col("rank") == p["stop"]["rank"]) & (F.col("draw") < p["stop"]["draw"]))
+        return (F.col("size") <= p["most"]) & before_stop & _beyond(p["past"])
+
+    fraction = F.col("rank").isNotNull() & F.coalesce(F.exists("passes", takes), F.lit(False))
+    return ranked.withColumn("copies", (F.col("sure") + fraction.cast("int")).cast("int")).drop("sure", "rank", "cell", "passes", "rate")
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share=1.0, most=3.0, appeal=F.sqrt, seed=1) -> DataFrame:
