@@ -35,14 +35,18 @@ LEAST_VALUE = 8
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 DIGITS = "0123456789"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SAMPLE = ("example", "sample", "dummy", "placeholder", "changeme")
+_ANY, _BEHIND = "|".join(SAMPLE), "|".join(f"(?<={x})" for x in SAMPLE)
+_WORD = "(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
 # Candidates that are known to be harmless: identifiers in their usual notation, dates and times,
-# words joined by hyphens, underscores or slashes, one repeated character, and sample values.
+# words joined by hyphens, underscores or slashes, one repeated character, and sample values. A date
+# or sample word excuses a candidate only if no 20 characters, the least candidate, are left beside it.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]",
-    "^[/_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/_=+-]*$",
+    f"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:T[0-9-]+Z?)?(?:[/_=+-]+{_WORD}(?=[/_=+-]|$))*[/_=+-]*.{{0,19}}$",
+    f"^[/_=+-]*{_WORD}(?:[/_=+-]+{_WORD})*[/_=+-]*$",
     "^(.)\\1+$",
-    "(?i)example|sample|dummy|placeholder|changeme",
+    f"(?i)^(?=.*(?:{_ANY}))(?!.*(?:^|{_BEHIND})(?:(?!{_ANY}).){{20}})",
 )
 
 

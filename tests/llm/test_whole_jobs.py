@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from panelforge.llm import mixing
+from panelforge.llm import mixing, secrets
 from tests.llm.data import frame
 
 
@@ -36,3 +36,15 @@ def test_mix_takes_by_rank_whatever_fits(spark):
     for r in mixing.with_copies(rows, plan, n).collect():
         got[r.source] += r.copies * r["size"]
     assert got == want
+
+
+def test_keys_beside_harmless_words_are_found(spark):
+    key = "q7Zx9LmK2vTb8RwY4nHd6JcP1sGf3UaE5oXiWkQz"
+    bad = [f"example/{key}", f"sample_key={key}", f"2024-01-01_{key}", f"{key}-dummy", f"2024-01-01T10-20-30Z-{key}", "example" * 200 + "/" + key]
+    good = ["example-" * 60 + "Ab3", "my-Sample1-value2x-placeholder3y", "2024-01-01T10-20-30-123Z", "2024-01-01_backup-of-the-database-v2b"]
+    docs = spark.createDataFrame(list(enumerate(bad + good)), "doc_id bigint, text string")
+    got = {r.doc_id: [s for s in r.spans if s.kind == "entropy_key"] for r in secrets.scan(docs).collect()}
+    for i, text in enumerate(bad):
+        at = text.index(key)
+        assert any(s.start <= at + 1 and s.end >= at + len(key) - 1 for s in got[i]), text
+    assert not any(got[i] for i in range(len(bad), len(bad + good)))
