@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import exact, masked, mixing, packing, prefixes, rules, secrets, simhash, urls, warc
+from panelforge.llm import exact, masked, mixing, packing, prefixes, rules, secrets, simhash, suffixes, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,6 +118,27 @@ def prefix_fingerprints(spark, folder):
     return prefixes.fingerprinted(table(spark, folder, "documents"))
 
 
+@register(
+    "op12_suffix_dedup",
+    r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row_id, s, hash(substr(h, 2 * s + 1, 800)) AS a, hash(substr(h, 2 * s + 1, 799)) AS b
+  FROM (SELECT row_id, h, unnest(range(length(h) // 2 - 399)) AS s FROM d WHERE length(h) >= 800)),
+c AS (SELECT a, b FROM w GROUP BY a, b HAVING count(*) > 1),
+m AS (SELECT row_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY row_id ORDER BY s) <= 400 THEN 0 ELSE 1 END AS opens FROM w JOIN c USING (a, b)),
+r AS (SELECT row_id, min(s) AS start, max(s) + 400 AS stop FROM (SELECT row_id, s, sum(opens) OVER (PARTITION BY row_id ORDER BY s) AS run FROM m) GROUP BY row_id, run),
+p AS (SELECT row_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY row_id ORDER BY start), 0) AS before FROM r),
+k AS (SELECT row_id, h, count(*) AS n_spans, sum(stop - start) AS n_removed, max(stop) AS last, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (start - before))::BIGINT), '' ORDER BY start) AS head
+  FROM p JOIN d USING (row_id) GROUP BY row_id, h)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(from_hex(coalesce(head || substr(d.h, (2 * last + 1)::BIGINT), d.h))) AS kept_sha256
+FROM d LEFT JOIN k USING (row_id)
+""",
+)
+def suffix_dedup(spark, folder):
+    return suffixes.without_repeats(table(spark, folder, "documents"), kept=False).drop("kept")
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
