@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import exact, masked, mixing, packing, prefixes, rules, secrets, simhash, suffixes, urls, warc
+from panelforge.llm import conversations, exact, masked, mixing, packing, prefixes, rules, secrets, simhash, suffixes, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,6 +139,72 @@ def suffix_dedup(spark, folder):
     return suffixes.without_repeats(table(spark, folder, "documents"), kept=False).drop("kept")
 
 
+def _repair_sql() -> str:
+    """Dynamic programme over the rows of each conversation: one state per kind of the last turn."""
+    kinds = {"n": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    move = lambda state, cost, letter: f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'e': {state}.e || '{letter}'}} END"
+    least = lambda options: f"list_min(list_filter([{', '.join(options)}], lambda v: v IS NOT NULL))"
+    # One insertion per gap: two in a row never pay (deleting costs less, or the kind is the same again).
+    wide = lambda q: ", ".join(
+        least([f"{q}.{k}", *[move(f"{q}.{b}", 5, "I") for b, f in kinds.items() for r, to in f.items() if to == k and r != "s"]]) + f" AS {k}" for k in kinds
+    )
+
+    def after(k):
+        options = [move(f"q.{k}", 2, "D")]
+        for b, f in kinds.items():
+            for role, to in f.items():
+                if to == k:
+                    options.append(f"CASE WHEN NOT gone AND initial = '{role}' THEN {move(f'q.{b}', 'stay', 'K')} END")
+                    if role != "s":
+                        options.append(f"CASE WHEN NOT gone AND initial <> '{role}' THEN {move(f'q.{b}', 'stay + 1', 'R')} END")
+        return f"{least(options)} AS {k}"
+
+    return rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+bits AS (SELECT DISTINCT k, encode(k) AS b FROM src),
+crc(k, b, i, v) AS (SELECT k, b, 0, 4294967295::BIGINT FROM bits UNION ALL
+  SELECT k, b, i + 1, list_reduce([xor(v, ('0x' || substr(hex(b), 2 * i + 1, 2))::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) FROM crc WHERE i < octet_length(b)),
+fates AS (SELECT k, xor(v, 4294967295) % 20 AS fate FROM crc WHERE i = octet_length(b)),
+damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM src JOIN fates USING (k) WHERE fate <> 0),
+signed AS (SELECT *, unhex(sha256(length(role)::VARCHAR || ':' || role || text)) AS sign, left(role, 1) AS initial,
+  regexp_replace(text, '[ 	-]+$', '') AS seen FROM damaged),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sign, copy) AS i,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sign, copy) || initial AS pair FROM signed),
+judged AS (SELECT *, seen = '' AS blank, seen <> '' AND i > min(i) OVER (PARTITION BY conv_id, role, text) AS duplicate,
+  right(seen, 1) NOT IN ('.', '!', '?') AND seen <> '' AS unended FROM ordered),
+turns AS (SELECT *, blank OR duplicate AS gone, CASE WHEN unended THEN 5 ELSE 0 END AS stay FROM judged),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+  count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE unended AND NOT duplicate) AS truncated,
+  count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+walk(conv_id, i, n, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0, 'e': ''}}, NULL::STRUCT(c INTEGER, e VARCHAR), NULL::STRUCT(c INTEGER, e VARCHAR), NULL::STRUCT(c INTEGER, e VARCHAR) FROM counts
+  UNION ALL SELECT q.conv_id, q.i + 1, {", ".join(after(k) for k in kinds)}
+  FROM (SELECT conv_id, i, {wide("w")} FROM walk w) q JOIN turns t ON t.conv_id IS NOT DISTINCT FROM q.conv_id AND t.i = q.i + 1),
+ends AS (SELECT w.conv_id, {wide("w")} FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i),
+best AS (SELECT conv_id, {least(["n", "a"])} AS v FROM ends),
+edits AS (SELECT conv_id, v.e AS audit, unnest(range(1, length(v.e) + 1)) AS j FROM best),
+steps AS (SELECT conv_id, j, substr(audit, j, 1) AS edit, j - length(replace(left(audit, j), 'I', '')) AS inserted,
+  length(replace(left(audit, j), 'D', '')) AS place FROM edits),
+lines AS (SELECT st.conv_id, st.place, CASE WHEN edit = 'K' THEN t.role END AS kept,
+  CASE WHEN edit = 'I' THEN '' ELSE t.text END AS text, max(CASE WHEN edit = 'K' AND place = 1 AND t.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY st.conv_id) AS system
+  FROM steps st LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM st.conv_id AND t.i = st.j - st.inserted AND edit <> 'I' WHERE edit <> 'D'),
+texts AS (SELECT conv_id, string_agg(coalesce(kept, CASE WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY place) AS whole FROM lines GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v.c, 0)::BIGINT AS cost, coalesce(v.e, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@register("op13_conversation_repair", _repair_sql())
+def conversation_repair(spark, folder):
+    return conversations.repaired_after_damage(table(spark, folder, "conversations"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
