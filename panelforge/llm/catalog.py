@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import conversations, exact, masked, mixing, packing, prefixes, rules, secrets, simhash, suffixes, urls, warc
+from panelforge.llm import conversations, exact, masked, mixing, negatives, packing, prefixes, rules, secrets, simhash, suffixes, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,6 +118,26 @@ def prefix_fingerprints(spark, folder):
     return prefixes.fingerprinted(table(spark, folder, "documents"))
 
 
+@register(
+    "op11_hard_negatives",
+    r"""
+WITH q AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.uid, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+  coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0)::BIGINT AS score
+  FROM q a JOIN q b ON a.uid <> b.uid WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.uid, p.other_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank,
+  s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.uid = s.uid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+""",
+)
+def hard_negatives(spark, folder):
+    return negatives.mined(table(spark, folder, "embeddings"))
+
+
 @register(
     "op12_suffix_dedup",
     r"""
@@ -171,7 +191,8 @@ damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END A
   CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
   unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM src JOIN fates USING (k) WHERE fate <> 0),
 signed AS (SELECT *, unhex(sha256(length(role)::VARCHAR || ':' || role || text)) AS sign, left(role, 1) AS initial,
-  regexp_replace(text, '[ 	-]+$', '') AS seen FROM damaged),
+  regexp_replace(text, '[ 	-
+]+$', '') AS seen FROM damaged),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sign, copy) AS i,
   lag(initial) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sign, copy) || initial AS pair FROM signed),
 judged AS (SELECT *, seen = '' AS blank, seen <> '' AND i > min(i) OVER (PARTITION BY conv_id, role, text) AS duplicate,
