@@ -14,6 +14,7 @@ from panelforge.catalog.evaluation import _SUM_COLS, MONTHLY_SQL, SUMMARY_SQL, Y
 from panelforge.catalog.walk import BINNED_SQL, VOTES_SQL, bins_sql, ic_vote_sql, ranked_frame, ranked_sql, whole_span, windows
 from panelforge.plans import grid as gr
 from panelforge.plans import models as md
+from panelforge.plans.lockstep import TreeModels
 from panelforge.plans import walkforward as wf
 from panelforge.session import path_exists, small_table, work_folder
 from panelforge.sources import store
@@ -125,18 +126,12 @@ def records_stored(spark, folder):
 )
 def models_reloaded(spark, folder):
     """Tree models saved, loaded and scored again: rows whose score changed."""
-    from pyspark.ml.regression import DecisionTreeRegressionModel
-
     path, result = f"{work_folder(spark)}/models-{uuid.uuid4().hex}", walked(spark, folder, "rolling_tree", short=True)
     md.save_models(result.models, path)
-    frame = md.VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(ranked_frame(spark, folder)).select("entity", "trade_date", "features")
-    out = None
-    for date in result.models:  # one model per refit
-        rows = result.predictions.where(F.col("rebalance_date") == date).join(frame, ["entity", "trade_date"])
-        again = DecisionTreeRegressionModel.load(f"{path}/{date}").transform(rows)
-        again = again.select("rebalance_date", (F.col("prediction") != F.col("score")).cast("int").alias("differs"))
-        out = again if out is None else out.unionByName(again)
-    return out.groupBy("rebalance_date").agg(F.count("*").alias("compared"), F.sum("differs").alias("different"))
+    frame = ranked_frame(spark, folder).select("entity", "trade_date", *NAMES)
+    again = TreeModels.load(spark, path).score(frame).withColumnRenamed("score", "again")
+    both = result.predictions.join(again, ["entity", "trade_date", "rebalance_date"])
+    return both.groupBy("rebalance_date").agg(F.count("*").alias("compared"), F.sum((F.col("again") != F.col("score")).cast("int")).alias("different"))
 
 
 @register(
@@ -148,7 +143,7 @@ def models_reloaded(spark, folder):
 )
 def importance_shares(spark, folder):
     """Importances of each refit: one row per factor, adding up to one, numbered in order."""
-    table = md.importance_table(spark, walked(spark, folder, "rolling_tree", short=True).models, NAMES)
+    table = md.importance_table(walked(spark, folder, "rolling_tree", short=True).models)
     return table.groupBy("rebalance_date").agg(
         F.countDistinct("factor").alias("factors"), F.round(F.sum("importance"), 9).alias("total"), F.max("position").alias("last_position")
     )
@@ -179,7 +174,7 @@ def refit_logs_read(spark, folder):
 @register("feature_importance")
 def feature_importance(spark, folder):
     result = walked(spark, folder, "rolling_tree")
-    return md.importance_table(spark, result.models, NAMES, top=5)
+    return md.importance_table(result.models, top=5)
 
 
 def _grid_sql(name, model="ic_vote", lookback=LOOKBACK, half_life=10.0, bins=10, names=NAMES):

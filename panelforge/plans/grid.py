@@ -50,16 +50,18 @@ def walk_forward(
     half_life: float = 10.0,
     bins: int = 10,
     k: int = 50,
+    require_full: bool = True,
     options: Mapping | None = None,
 ) -> md.WalkForward:
     """Score [start, end] with one of ic_vote, binning, tree, regression, classifier, lambdarank.
 
-    ``frame`` is the ranked factor frame with target_rank, relevance and is_target_topk.
+    ``frame`` is the ranked factor frame with target_rank, relevance and is_target_topk. Refits
+    without a full window are left out, or with ``require_full`` off learn from what there is.
     """
     options = dict(options or {})
     frame = prune_dates(frame, calendar, start, end, horizon=horizon, lookback=lookback)
     blocks = wf.rebalance_calendar(calendar, start, end, update)
-    windows = wf.history_windows(blocks, calendar, horizon=horizon, lookback=lookback)
+    windows = wf.history_windows(blocks, calendar, horizon=horizon, lookback=lookback, require_full=require_full)
     if model in ("ic_vote", "binning"):
         if model == "ic_vote":
             _, scored = wf.ic_vote(frame, factors, windows, blocks, shape, half_life=half_life)
@@ -70,7 +72,7 @@ def walk_forward(
             {"rebalance_date": b.rebalance_date, "train_start": b.train_start, "train_end": b.train_end, "best_iteration": 0}
             for b in spans
         ]
-        return md.WalkForward(scored, records, {})
+        return md.WalkForward(scored, records, None)
     ready = md.assemble(frame, factors, calendar, shape)
     spans = md.plan_blocks(windows, blocks, validation)
     if model == "tree":

@@ -1,28 +1,39 @@
-"""LambdaRank boosting: date-wise ranking gradients, Spark ML trees, Newton leaf values.
+"""LambdaRank boosting on date-wise ranking gradients with Newton leaf values.
 
-Gradients never gather a date. The k best-scored rows of every date (found by a group
-limit) travel as one small array; each row compares itself with that array, and the two
-sides of a pair are added up separately. Rows of one date may sit in any number of tasks.
+All refits grow together (:mod:`panelforge.plans.lockstep`) while a date fits a task. Wider dates
+take the sliced form below, refit by refit with Spark ML trees: its gradients never gather a date.
+The k best-scored rows of every date (found by a group limit) travel as one small array; each row
+compares itself with that array, and the two sides of a pair are added up separately. Rows of one
+date may sit in any number of tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.functions.scalar import discount, gain, half_life_weight
+from panelforge.functions.scalar import discount, gain, half_life_weight, relevance_deciles
 from panelforge.operators.evaluate import daily_ideal, ndcg
 from panelforge.operators.ranks import ordinal_rank
-from panelforge.plans.models import Block, WalkForward, history, run_blocks, split
-from panelforge.session import broadcast_within, drop_table, small_table, table_at, write_table
+from panelforge.plans import lockstep as ls
+from panelforge.plans.models import BOOST, Block, WalkForward, rolling_boost
+from panelforge.session import broadcast_within, drop_table, materialize, small_table, table_at, work_folder, write_table
 
 DATE = ["trade_date"]
-# Regularisation of leaf values and default rounds.
+# Regularisation of leaf values, default rounds, gain per relevance.
+LEAF_L1 = 0.1
 LEAF_L2 = 10.0
 ROUNDS = 200
 PATIENCE = 15
+GAINS = (0, 1, 2, 4, 8)
+DECILE_GAINS = (0, 1, 2, 4, 8, 16, 32, 64, 128, 256)
+# Rows of a date that a task ranks, and scores such a row may carry.
+DATE_ROWS = 200_000
+DATE_SLOTS = 32
 
 
 def _pair(score_a, score_b, gain_a, gain_b, disc_a, disc_b, ideal):
@@ -123,6 +134,63 @@ class LambdaRankModel:
         return Vectors.dense(total / (total.sum() or 1.0))
 
 
+def _between(frame: DataFrame, first: str, last: str) -> DataFrame:
+    return frame.where(F.col("trade_date").between(first, last))
+
+
+def history(frame: DataFrame, block: Block) -> DataFrame:
+    return _between(frame, block.train_start, block.train_end).where(F.col("target_rank").isNotNull())
+
+
+def split(rows: DataFrame, block: Block) -> tuple[DataFrame, DataFrame]:
+    fresh = F.col("trade_date") >= block.validation_start
+    return rows.where(~fresh), rows.where(fresh)
+
+
+
+
+def run_blocks(
+    frame: DataFrame,
+    blocks: Sequence[Block],
+    fit: Callable[[DataFrame, Block], tuple[object, dict]],
+    score: Callable[[object, DataFrame], DataFrame],
+    *,
+    label: str,
+    threads: int = 4,
+    columns: Sequence[str] = ("target_rank", "relevance", "is_target_topk"),
+) -> WalkForward:
+    """Fit every block (a few at a time) and score its test dates.
+
+    A block's scores are written when its model is ready, so the result is one table with a
+    short plan however many refits there are.
+    """
+    folder = f"{work_folder(frame.sparkSession)}/predictions-{uuid.uuid4().hex}"
+
+    def one(block: Block):
+        rows = history(frame, block).persist()
+        try:
+            model, record = fit(rows, block)
+            record = {
+                "rebalance_date": block.rebalance_date,
+                "train_start": block.train_start,
+                "train_end": block.train_end,
+                **record,
+            }
+        finally:
+            rows.unpersist()
+        test = _between(frame, block.rebalance_date, block.test_end)
+        scored = score(model, test).select(
+            "entity", "trade_date", F.lit(block.rebalance_date).alias("rebalance_date"), label, *columns, "score"
+        )
+        scored.write.parquet(f"{folder}/block={block.rebalance_date}")
+        return model, record
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        done = list(pool.map(one, blocks))
+    predictions = frame.sparkSession.read.parquet(folder).drop("block")
+    return WalkForward(predictions, [r for _, r in done], {r["rebalance_date"]: m for m, r in done})
+
+
 def _fit(rows: DataFrame, *, rounds, step, depth, bins, min_rows, k, l2, weight, widest, dates, seed, on_round=None) -> LambdaRankModel:
     """Boosts ``rows``; each round's table is deleted when the next one is written."""
     spark, model, before = rows.sparkSession, LambdaRankModel([], step), None
@@ -181,6 +249,58 @@ class RunningScore:
 
 
 def rolling_lambdarank(
+    frame: DataFrame,
+    factors: Sequence[str],
+    blocks: Sequence[Block],
+    *,
+    label: str,
+    k: int = 50,
+    eval_at: int | None = None,
+    relevance: str = "relevance",
+    gains: Sequence[float] = GAINS,
+    candidates: Sequence[dict] = ({},),
+    rounds: int = ROUNDS,
+    step: float = BOOST["step"],
+    depth: int = BOOST["depth"],
+    leaves: int = BOOST["leaves"],
+    bins: int = BOOST["bins"],
+    min_rows: int = BOOST["min_rows"],
+    min_gain: float = BOOST["min_gain"],
+    row_share: float = BOOST["row_share"],
+    feature_share: float = BOOST["feature_share"],
+    l1: float = LEAF_L1,
+    l2: float = LEAF_L2,
+    half_life: float = 10.0,
+    patience: int = PATIENCE,
+    seed: int = BOOST["seed"],
+    widest: int,
+    dates: int,
+) -> WalkForward:
+    """Ranker per refit; candidate and rounds chosen by NDCG on the newest dates.
+
+    Pairs with a row among the first ``k`` count; quality is measured at ``eval_at`` (as ``k`` unless
+    given). The first generation ranks ``relevance="decile"`` with ``DECILE_GAINS``, two candidates
+    and no half-life, both at 500.
+    """
+    if widest > DATE_ROWS:
+        return sliced_lambdarank(
+            frame, factors, blocks, label=label, k=k, rounds=rounds, step=step, depth=depth, bins=bins, min_rows=min_rows, l2=l2,
+            half_life=half_life, patience=patience, seed=seed, widest=widest, dates=dates,
+        )
+    if relevance == "decile":
+        frame = frame.withColumn("decile", relevance_deciles(F.col("target_rank")))
+    settings = dict(
+        max_iter=rounds, step=step, depth=depth, leaves=leaves, bins=bins, min_rows=min_rows, min_gain=min_gain, row_share=row_share,
+        feature_share=feature_share, l1=l1, l2=l2, seed=seed,
+    )
+    objective = ls.Objective("ranker", relevance, half_life, k=k, eval_at=eval_at or k, gains=tuple(float(g) for g in gains))
+    return rolling_boost(
+        frame, factors, blocks, objective, label=label, candidates=candidates, settings=settings, patience=patience,
+        metric=f"ndcg@{eval_at or k}", slots=DATE_SLOTS,
+    )
+
+
+def sliced_lambdarank(
     frame: DataFrame,
     factors: Sequence[str],
     blocks: Sequence[Block],
@@ -200,7 +320,12 @@ def rolling_lambdarank(
     dates: int,
     threads: int = 4,
 ) -> WalkForward:
-    """Ranker per block: rounds chosen by validation NDCG@k, then refitted on all history."""
+    """Ranker per block for dates of any width: rounds chosen by validation NDCG@k, then refitted on all history."""
+    from pyspark.ml.functions import array_to_vector
+
+    size = len(factors)
+    bytes_of = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (F.conv(F.hex(F.substring("bins", i, F.lit(1))), 16, 10).cast("double") + 0.5) / bins)
+    frame = materialize(frame.withColumn("features", array_to_vector(bytes_of)).drop("bins"))
 
     def quality(model, rows, upto):
         return ndcg(model.score(rows, upto), k).agg(F.avg("ndcg")).first()[0]

@@ -1,47 +1,41 @@
-"""Tree models refitted on every walk-forward window with Spark ML.
+"""Tree models refitted on every walk-forward window.
 
-The ranked factor frame is written once; each refit reads a date range of it. Independent
-blocks are fitted by a few driver threads, so the cluster always has jobs to run.
+All refits grow together (:mod:`panelforge.plans.lockstep`): the number of jobs depends on rounds
+and depth, not on the number of refits. Trees are written as tables.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
-from panelforge.functions.scalar import half_life_weight
 from panelforge.operators.calendar import PanelShape
-from panelforge.session import broadcast_within, materialize, small_table, work_folder
+from panelforge.plans import lockstep as ls
+from panelforge.session import broadcast_within, drop_table, materialize, table_at
 
 # Default model settings.
 TREE_DEPTHS = (1, 2, 3)
 TREE_LEAF_SHARES = (0.03, 0.05, 0.10)
 TREE_MIN_GAIN = 1e-5
 BOOST = dict(
-    max_iter=200, step=0.03, depth=3, bins=63, min_rows=3000, min_gain=0.0, row_share=0.8, feature_share=0.8, seed=42,
+    max_iter=200, step=0.03, depth=3, bins=63, min_rows=3000, leaves=7, min_gain=0.0, row_share=0.8, feature_share=0.8, l1=0.1, l2=10.0, seed=42,
 )
-BOOST_CANDIDATES = (dict(depth=2, min_rows=5000), dict(depth=3, min_rows=3000))
+BOOST_CANDIDATES = (dict(depth=2, leaves=4, min_rows=5000), dict(depth=3, leaves=7, min_rows=3000))
 POSITIVE_WEIGHT = 50.0
 # Boosting stops after so many trees without a better validation loss.
 PATIENCE = 15
 
 
 class WalkForward(NamedTuple):
-    """Scored test rows and one record per refit."""
+    """Scored test rows, one record per refit and the models (none for votes and bins)."""
 
     predictions: DataFrame
     records: list[dict]
-    models: dict
+    models: ls.TreeModels | None
 
 
 @dataclass(frozen=True)
@@ -67,28 +61,10 @@ def plan_blocks(windows: DataFrame, blocks: DataFrame, validation: int) -> list[
     return [Block(x.rebalance_date, x.train_start, x.train_end, x.validation_start, x.test_end) for x in rows]
 
 
-def assemble(frame: DataFrame, factors: Sequence[str], calendar: DataFrame, shape: PanelShape) -> DataFrame:
-    """Frame with a feature vector and calendar positions, written once for all refits."""
+def assemble(frame: DataFrame, factors: Sequence[str], calendar: DataFrame, shape: PanelShape, bins: int = BOOST["bins"]) -> DataFrame:
+    """Frame with calendar positions and the factors' bins, written once for all refits."""
     placed = frame.join(broadcast_within(calendar, shape.dates), "trade_date")
-    assembled = VectorAssembler(inputCols=list(factors), outputCol="features").transform(placed)
-    return materialize(assembled.drop(*factors))
-
-
-def _between(frame: DataFrame, first: str, last: str) -> DataFrame:
-    return frame.where(F.col("trade_date").between(first, last))
-
-
-def history(frame: DataFrame, block: Block) -> DataFrame:
-    return _between(frame, block.train_start, block.train_end).where(F.col("target_rank").isNotNull())
-
-
-def split(rows: DataFrame, block: Block) -> tuple[DataFrame, DataFrame]:
-    fresh = F.col("trade_date") >= block.validation_start
-    return rows.where(~fresh), rows.where(fresh)
-
-
-def mean_abs_error(rows: DataFrame, prediction: Column, target: str) -> float:
-    return rows.agg(F.avg(F.abs(F.col(target) - prediction))).first()[0]
+    return materialize(ls.packed_bins(placed, factors, bins))
 
 
 def validation_baseline(frame: DataFrame, windows: DataFrame, validation: int, target: str = "target_rank") -> DataFrame:
@@ -104,52 +80,18 @@ def validation_baseline(frame: DataFrame, windows: DataFrame, validation: int, t
     )
 
 
-def importance_rows(model, factors: Sequence[str]) -> list[tuple[str, float]]:
-    """(factor, normalised gain), largest first."""
-    values = model.featureImportances.toArray()
-    return sorted(((f, float(v)) for f, v in zip(factors, values)), key=lambda x: (-x[1], x[0]))
-
-
-def run_blocks(
-    frame: DataFrame,
-    blocks: Sequence[Block],
-    fit: Callable[[DataFrame, Block], tuple[object, dict]],
-    score: Callable[[object, DataFrame], DataFrame],
-    *,
-    label: str,
-    threads: int = 4,
-    columns: Sequence[str] = ("target_rank", "relevance", "is_target_topk"),
-) -> WalkForward:
-    """Fit every block (a few at a time) and score its test dates.
-
-    A block's scores are written when its model is ready, so the result is one table with a
-    short plan however many refits there are.
-    """
-    folder = f"{work_folder(frame.sparkSession)}/predictions-{uuid.uuid4().hex}"
-
-    def one(block: Block):
-        rows = history(frame, block).persist()
-        try:
-            model, record = fit(rows, block)
-            record = {
-                "rebalance_date": block.rebalance_date,
-                "train_start": block.train_start,
-                "train_end": block.train_end,
-                **record,
-            }
-        finally:
-            rows.unpersist()
-        test = _between(frame, block.rebalance_date, block.test_end)
-        scored = score(model, test).select(
-            "entity", "trade_date", F.lit(block.rebalance_date).alias("rebalance_date"), label, *columns, "score"
-        )
-        scored.write.parquet(f"{folder}/block={block.rebalance_date}")
-        return model, record
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        done = list(pool.map(one, blocks))
-    predictions = frame.sparkSession.read.parquet(folder).drop("block")
-    return WalkForward(predictions, [r for _, r in done], {r["rebalance_date"]: m for m, r in done})
+def baselines(frame: DataFrame, blocks: Sequence[Block]) -> dict[str, float]:
+    """Error of the constant 0.5 on the validation dates of every refit, from daily sums."""
+    daily = frame.where(F.col("target_rank").isNotNull()).groupBy("trade_date").agg(
+        F.sum(F.abs(F.col("target_rank") - F.lit(0.5))).alias("error"), F.count("*").alias("n")
+    )
+    rows = sorted((r.trade_date, r.error, r.n) for r in daily.collect())  # one row per date
+    out = {}
+    for b in blocks:
+        some = [(e, n) for d, e, n in rows if b.validation_start <= d <= b.train_end]
+        total = sum(n for _, n in some)
+        out[b.rebalance_date] = sum(e for e, _ in some) / total if total else None
+    return out
 
 
 def records_table(spark, records: Sequence[dict]) -> DataFrame:
@@ -159,9 +101,48 @@ def records_table(spark, records: Sequence[dict]) -> DataFrame:
     return spark.createDataFrame([Row(**r) for r in records])
 
 
+def _scored(models: ls.TreeModels, frame: DataFrame, label: str) -> DataFrame:
+    columns = ["entity", "trade_date", label, "target_rank", "relevance", "is_target_topk"]
+    return models.score(frame.select(*columns, "bins")).select("entity", "trade_date", "rebalance_date", *columns[2:], "score")
+
+
+def _tops(models: ls.TreeModels, top: int) -> dict[str, list[tuple[str, float]]]:
+    """Strongest factors of every refit: ``top`` rows each."""
+    found: dict[str, list[tuple[str, float]]] = {}
+    for r in models.importance(top).orderBy("rebalance_date", "position").collect():
+        found.setdefault(r.rebalance_date, []).append((r.factor, r.importance))
+    return found
+
+
 # --- single trees ------------------------------------------------------------------------
 
 
+def tree_text(trees: ls.Trees, model: int, factors: Sequence[str], bins: int) -> str:
+    """The rules of one tree, one line per leaf."""
+    lines = []
+
+    def walk(node, rules):
+        inner = node < trees.feature.shape[1] and trees.feature[model, node] >= 0
+        if not inner:
+            lines.append(f"{' and '.join(rules) or 'all'}: {trees.value[model, node]:.6f} ({trees.rows[model, node]} rows)")
+            return
+        edge = f"{factors[trees.feature[model, node]]} {{}} {(int(trees.cut[model, node]) + 1) / bins:.4f}"
+        walk(2 * node + 1, [*rules, edge.format("<")])
+        walk(2 * node + 2, [*rules, edge.format(">=")])
+
+    walk(0, [])
+    return "\n".join(lines)
+
+
+def _cut_to(trees: ls.Trees, depth: int | np.ndarray) -> ls.Trees:
+    """Trees ended at a depth (one for all models, or one per model)."""
+    out = ls.Trees(len(trees.feature), trees.depth)
+    level = np.floor(np.log2(np.arange(trees.feature.shape[1]) + 1)).astype("i8")
+    out.feature = np.where(level[None, :] < np.asarray(depth).reshape(-1, 1), trees.feature, -1).astype("i2")
+    out.cut, out.value, out.gain, out.rows = trees.cut, trees.value, trees.gain, trees.rows
+    return out
+
+
 def rolling_tree(
     frame: DataFrame,
     factors: Sequence[str],
@@ -171,112 +152,102 @@ def rolling_tree(
     depths: Sequence[int] = TREE_DEPTHS,
     leaf_shares: Sequence[float] = TREE_LEAF_SHARES,
     min_gain: float = TREE_MIN_GAIN,
-    bins: int = 63,
+    bins: int = BOOST["bins"],
     seed: int = 42,
-    threads: int = 4,
 ) -> WalkForward:
-    """One small tree per block; depth and leaf size chosen on the window's newest dates."""
+    """One small tree per refit; depth and leaf size chosen on the window's newest dates.
 
-    def tree(depth, share, n):
-        return DecisionTreeRegressor(
-            featuresCol="features", labelCol="target_rank", maxDepth=depth, maxBins=bins, minInfoGain=min_gain, seed=seed,
-            minInstancesPerNode=max(1, math.ceil(n * share)),
+    A tree of the largest depth holds the smaller ones, so every leaf share is grown once.
+    """
+    spark, deepest, shares = frame.sparkSession, max(depths), tuple(sorted(leaf_shares, reverse=True))
+    growth = ls.Growth(bins=bins, min_gain=min_gain, gain_per_row=True, seed=seed)
+    objective, error = ls.Objective("mean", "target_rank"), ls.Objective("regression", "target_rank")
+    candidates = tuple(ls.Candidate(deepest, min_share=s) for s in shares)
+    base, chosen, parts, records = baselines(frame, blocks), [], [], []
+    for some, wave in ls.plan_waves(blocks, ls.date_positions(frame), candidates):
+        rows = ls.row_table(frame, wave, objective)
+        path = ls.write_rows(rows)
+        grower = ls.Grower(table_at(rows, path), wave, objective, growth, len(factors))
+        trees, _ = grower.tree(0)
+        options: dict[int, list[tuple]] = {i: [] for i in range(len(some))}
+        for depth in sorted(depths):
+            grower.recent = [_cut_to(trees, depth)]
+            for model, loss in grower.losses(grower.collect(None, 0, 0, objective=error)).items():
+                options[model // wave.variants].append((loss, depth, -shares[model // 2 % len(shares)], model))
+        drop_table(spark, path)
+        end = np.zeros(wave.models, "i8")
+        for i, block in enumerate(some):
+            loss, depth, share, model = min(options[i]) if options[i] else (None, min(depths), -shares[0], i * wave.variants)
+            whole = model + ls.ALL
+            end[whole] = depth
+            cut = _cut_to(trees, end)
+            split = cut.feature[whole] >= 0
+            level = np.floor(np.log2(np.flatnonzero(split) + 1)).astype("i8") + 1
+            baseline = base[block.rebalance_date]
+            chosen.append(ls.Chosen(block, model // 2 % len(shares), 1, loss, 0.0, int(trees.rows[whole, 0])))
+            records.append({
+                "rebalance_date": block.rebalance_date, "train_start": block.train_start, "train_end": block.train_end, "max_depth": int(depth),
+                "min_leaf_fraction": -share, "validation_mae": loss, "validation_baseline_mae": baseline,
+                "validation_mae_improvement": None if loss is None or baseline is None else baseline - loss,
+                "actual_depth": int(level.max()) if len(level) else 0, "leaf_count": _leaves(cut.feature[whole]),
+                "tree_text": tree_text(cut, whole, factors, bins), "train_rows": int(trees.rows[whole, 0]),
+            })
+        table = ls.tree_rows(_cut_to(trees, end), some, wave, 0)
+        kept = np.isin(
+            np.array([f"{d}:{c}" for d, c in zip(table["rebalance_date"], table["candidate"])]),
+            [f"{c.block.rebalance_date}:{c.candidate}" for c in chosen],
         )
-
-    def fit(rows, block):
-        older, newer = split(rows, block)
-        n_fit, n_all = older.count(), rows.count()
-        baseline = mean_abs_error(newer, F.lit(0.5), "target_rank")
-        options = [(d, s) for d in depths for s in leaf_shares]
-        # All candidates are compared in one pass over the validation rows.
-        scored = newer.select("features", "target_rank")
-        for i, (d, s) in enumerate(options):
-            model = tree(d, s, n_fit).setPredictionCol(f"p{i}").fit(older)
-            scored = model.transform(scored)
-        errors = scored.agg(*[F.avg(F.abs(F.col("target_rank") - F.col(f"p{i}"))) for i in range(len(options))]).first()
-        error, depth, share = min((e, d, -s) for e, (d, s) in zip(errors, options))
-        model = tree(depth, -share, n_all).fit(rows)
-        top = importance_rows(model, factors)[0]
-        return model, {
-            "max_depth": depth,
-            "min_leaf_fraction": -share,
-            "validation_mae": error,
-            "validation_baseline_mae": baseline,
-            "validation_mae_improvement": baseline - error,
-            "actual_depth": model.depth,
-            "leaf_count": (model.numNodes + 1) // 2,
-            "tree_text": model.toDebugString,
-            "train_rows": n_all,
-            "top_feature": top[0],
-            "top_feature_importance": top[1],
-        }
-
-    return run_blocks(
-        frame, blocks, fit, lambda m, test: m.transform(test).withColumnRenamed("prediction", "score"), label=label, threads=threads
-    )
+        parts.append({c: v[kept] for c, v in table.items() if c != "candidate"})
+    folder = f"{ls.work_folder(spark)}/trees-{ls.uuid.uuid4().hex}"
+    ls.write_trees(spark, parts, folder)
+    chosen.sort(key=lambda c: c.block.rebalance_date)
+    models = ls.models_of(chosen, spark.read.parquet(folder), factors, growth)
+    tops = _tops(models, 1)
+    records = [{**r, "top_feature": tops[r["rebalance_date"]][0][0], "top_feature_importance": tops[r["rebalance_date"]][0][1]} for r in sorted(records, key=lambda r: r["rebalance_date"])]
+    return WalkForward(_scored(models, frame, label), records, models)
+
+
+def _leaves(feature: np.ndarray) -> int:
+    count, open_ = 0, [0]
+    while open_:
+        node = open_.pop()
+        if node < len(feature) and feature[node] >= 0:
+            open_ += [2 * node + 1, 2 * node + 2]
+        else:
+            count += 1
+    return count
 
 
 # --- boosting ----------------------------------------------------------------------------
 
 
-def _booster(kind, target, settings, weight, max_iter=None):
-    options = dict(
-        featuresCol="features", labelCol=target, maxIter=max_iter or settings["max_iter"], stepSize=settings["step"],
-        maxDepth=settings["depth"], maxBins=settings["bins"], minInstancesPerNode=settings["min_rows"],
-        minInfoGain=settings["min_gain"], subsamplingRate=settings["row_share"],
-        featureSubsetStrategy=str(settings["feature_share"]), seed=settings["seed"],
+def growth_of(settings: dict) -> ls.Growth:
+    names = ("bins", "step", "l1", "l2", "min_gain", "row_share", "feature_share", "seed")
+    return ls.Growth(**{n: settings[n] for n in names})
+
+
+def rolling_boost(
+    frame: DataFrame, factors: Sequence[str], blocks: Sequence[Block], objective: ls.Objective, *, label: str, candidates: Sequence[dict],
+    settings: dict, patience: int, link: str = "identity", metric: str, slots: int = ls.SLOTS,
+) -> WalkForward:
+    """Boosted trees per refit: candidates and rounds chosen on the newest dates, scored on the test dates."""
+    options = [{**settings, **change} for change in candidates]
+    limits = [ls.Candidate(o["depth"], o["min_rows"], leaves=o["leaves"]) for o in options]
+    growth = growth_of(settings)
+    chosen, table = ls.boost(
+        frame, blocks, limits, objective, growth, features=len(factors), rounds=settings["max_iter"], patience=patience, slots=slots
     )
-    if weight:
-        options["weightCol"] = weight
-    return kind(**options)
-
-
-def stopping_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
-    """Number of trees with the smallest loss before ``patience`` trees brought no better one."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def _rolling_boost(frame, factors, blocks, *, kind, target, label, candidates, settings, weight, losses, score, threads, patience):
-    def fit(rows, block):
-        if weight is not None:
-            last = rows.agg(F.max("position")).first()[0]
-            rows = rows.withColumn("__weight", weight(F.lit(last) - F.col("position")))
-        weighted = "__weight" if weight is not None else None
-        older, newer = split(rows, block)
-        # Validation rows count equally, whatever weight they have in the fit.
-        newer = newer.withColumn("__weight", F.lit(1.0)).persist()
-        try:
-            best = None
-            for change in candidates:
-                chosen = {**settings, **change}
-                found = losses(_booster(kind, target, chosen, weighted).fit(older), newer)
-                trees = stopping_round(found, patience)
-                rank = (found[trees - 1], chosen["depth"], trees)
-                if best is None or rank < best[0]:
-                    best = (rank, chosen)
-            (value, _, iterations), chosen = best
-            model = _booster(kind, target, chosen, weighted, max_iter=iterations).fit(rows)
-            baseline = mean_abs_error(newer, F.lit(0.5), "target_rank")
-            top = importance_rows(model, factors)[:5]
-            return model, {
-                "max_depth": chosen["depth"],
-                "min_child_samples": chosen["min_rows"],
-                "best_iteration": int(iterations),
-                "validation_metric": float(value),
-                "validation_baseline_mae": float(baseline),
-                "train_rows": rows.count(),
-                "top_features": dict(top),
-            }
-        finally:
-            newer.unpersist()
-
-    return run_blocks(frame, blocks, fit, score, label=label, threads=threads)
+    models = ls.models_of(chosen, table, factors, growth, link)
+    base, tops, records = baselines(frame, blocks), _tops(models, 5), []
+    for c in chosen:
+        sign = -1.0 if objective.kind == "ranker" else 1.0
+        records.append({
+            "rebalance_date": c.block.rebalance_date, "train_start": c.block.train_start, "train_end": c.block.train_end,
+            "max_depth": options[c.candidate]["depth"], "min_child_samples": options[c.candidate]["min_rows"], "best_iteration": c.trees,
+            "validation_metric": None if c.loss is None else sign * c.loss, "validation_metric_name": metric,
+            "validation_baseline_mae": base[c.block.rebalance_date], "train_rows": c.train_rows, "top_features": dict(tops.get(c.block.rebalance_date, [])),
+        })
+    return WalkForward(_scored(models, frame, label), records, models)
 
 
 def rolling_boost_regression(
@@ -288,7 +259,6 @@ def rolling_boost_regression(
     candidates: Sequence[dict] = ({},),
     settings: dict = BOOST,
     half_life: float = 0.0,
-    threads: int = 4,
     patience: int = PATIENCE,
 ) -> WalkForward:
     """Boosted regression on target_rank, stopped by the absolute error on the newest dates.
@@ -296,12 +266,8 @@ def rolling_boost_regression(
     Several ``candidates`` with no ``half_life`` give the first-generation search over
     depths; one candidate with a half-life gives the second-generation decay weights.
     """
-    return _rolling_boost(
-        frame, factors, blocks, kind=GBTRegressor, target="target_rank", label=label, candidates=candidates,
-        settings=settings, weight=(lambda age: half_life_weight(age, half_life)) if half_life else None,
-        losses=lambda m, rows: list(m.evaluateEachIteration(rows, "absolute")), patience=patience,
-        score=lambda m, test: m.transform(test).withColumnRenamed("prediction", "score"), threads=threads,
-    )
+    objective = ls.Objective("regression", "target_rank", half_life)
+    return rolling_boost(frame, factors, blocks, objective, label=label, candidates=candidates, settings=settings, patience=patience, metric="mae")
 
 
 def rolling_topk_classifier(
@@ -313,39 +279,21 @@ def rolling_topk_classifier(
     settings: dict = BOOST,
     half_life: float = 10.0,
     positive_weight: float = POSITIVE_WEIGHT,
-    threads: int = 4,
     patience: int = PATIENCE,
 ) -> WalkForward:
     """Probability of ending in the top k; positives weigh ``positive_weight`` times more in the
     fit. It stops by the logistic loss of the newest dates, whose rows weigh alike."""
-
-    def weight(age):
-        return half_life_weight(age, half_life) * F.when(F.col("is_target_topk") == 1, positive_weight).otherwise(1.0)
-
-    chance = vector_to_array(F.col("probability"))[1]
-
-    return _rolling_boost(
-        frame, factors, blocks, kind=GBTClassifier, target="is_target_topk", label=label, candidates=({},), settings=settings,
-        weight=weight, losses=lambda m, rows: list(m.evaluateEachIteration(rows)), patience=patience,
-        score=lambda m, test: m.transform(test).withColumn("score", chance), threads=threads,
+    objective = ls.Objective("classifier", "is_target_topk", half_life, positive_weight)
+    return rolling_boost(
+        frame, factors, blocks, objective, label=label, candidates=({},), settings=settings, patience=patience, link="logistic", metric="logloss"
     )
 
 
-def save_models(models: dict, path: str) -> None:
-    """Every refit's model below ``path/<rebalance_date>``."""
-    for date, model in models.items():
-        if hasattr(model, "write"):
-            model.write().overwrite().save(f"{path}/{date}")
-        else:
-            model.save(f"{path}/{date}")
+def save_models(models: ls.TreeModels, path: str) -> None:
+    """Every refit's trees as one table below ``path``."""
+    models.save(path)
 
 
-def importance_table(spark, models: dict, factors: Sequence[str], top: int | None = None) -> DataFrame:
+def importance_table(models: ls.TreeModels, top: int | None = None) -> DataFrame:
     """(rebalance_date, factor, importance, position) for every refit."""
-    rows = [
-        (date, name, value, i)
-        for date, model in models.items()
-        for i, (name, value) in enumerate(importance_rows(model, factors)[:top], 1)
-    ]
-    date, name, value, position = (list(x) for x in zip(*rows))
-    return small_table(spark, rebalance_date=date, factor=name, importance=value, position=position)
+    return models.importance(top)

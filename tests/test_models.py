@@ -10,6 +10,7 @@ from panelforge.operators import evaluate as ev
 from panelforge.operators.calendar import measure, trading_calendar
 from panelforge.operators.labels import add_labels
 from panelforge.plans import grid as gr
+from panelforge.plans import lockstep as ls
 from panelforge.plans import models as md
 from panelforge.plans.lambdarank import lambda_gradients
 from panelforge.sources import store
@@ -131,20 +132,25 @@ def test_grids_cover_every_stage():
 
 
 def test_patience_counts_trees_without_a_better_loss():
-    assert md.stopping_round([5.0, 4.0, 3.0, 3.5, 3.4, 3.3, 2.0], patience=3) == 3
-    assert md.stopping_round([5.0, 4.0, 3.0, 3.5, 3.4, 2.9, 2.0], patience=4) == 7
-    assert md.stopping_round([1.0], patience=15) == 1 and md.stopping_round([1.0, 1.0, 1.0], patience=15) == 1
+    def stop(losses, patience):
+        watch = ls.Watch(1, patience)
+        for number, loss in enumerate(losses, 1):
+            if watch.ended(0, number, loss):
+                break
+        return int(watch.round[0])
 
+    assert stop([5.0, 4.0, 3.0, 3.5, 3.4, 3.3, 2.0], patience=3) == 3
+    assert stop([5.0, 4.0, 3.0, 3.5, 3.4, 2.9, 2.0], patience=4) == 7
+    assert stop([1.0], patience=15) == 1 and stop([1.0, 1.0, 1.0], patience=15) == 1
 
-def test_ranker_survives_saving(spark, frame, tmp_path):
-    from panelforge.plans.lambdarank import LambdaRankModel
 
-    result = run(frame, "lambdarank", CASES["lambdarank"])
-    md.save_models(result.models, f"{tmp_path}/ranker")
-    date, model = next(iter(result.models.items()))
-    again = LambdaRankModel.load(spark, f"{tmp_path}/ranker/{date}")
-    rows = md.VectorAssembler(inputCols=FACTORS, outputCol="features").transform(frame)
-    assert again.score(rows).select("entity", "trade_date", "score").exceptAll(model.score(rows).select("entity", "trade_date", "score")).count() == 0
+@pytest.mark.parametrize("model", ["tree", "regression", "classifier", "lambdarank"])
+def test_models_survive_saving(spark, frame, tmp_path, model):
+    result = run(frame, model, CASES[model])
+    md.save_models(result.models, f"{tmp_path}/models")
+    again = ls.TreeModels.load(spark, f"{tmp_path}/models").score(frame).select("entity", "trade_date", "rebalance_date", "score")
+    assert again.count() == 300
+    assert again.exceptAll(result.predictions.select("entity", "trade_date", "rebalance_date", "score")).count() == 0
 
 
 def test_rounds_leave_no_tables(spark, frame):
@@ -163,10 +169,8 @@ def test_rounds_leave_no_tables(spark, frame):
 def test_sinks(spark, frame, tmp_path):
     result = run(frame, "tree", dict(depths=(1,), leaf_shares=(0.1,)))
     md.save_models(result.models, f"{tmp_path}/models")
-    from pyspark.ml.regression import DecisionTreeRegressionModel
-
-    date = result.records[0]["rebalance_date"]
-    assert DecisionTreeRegressionModel.load(f"{tmp_path}/models/{date}").depth == 1
+    loaded = ls.TreeModels.load(spark, f"{tmp_path}/models").table
+    assert loaded.agg(F.max("node")).first()[0] == 2 and loaded.where("feature >= 0").count() == 2
     whole = ev.evaluate_predictions(result.predictions, k=5)
     store.write_predictions(whole.ranked, f"{tmp_path}/pred")
     assert spark.read.parquet(f"{tmp_path}/pred/topk_predictions").count() == 50
