@@ -22,6 +22,8 @@ import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +49,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Stands between texts as a word of its own: a private character that ordinary text does not hold.
+MARK, MARKED = "\U0010fffd", 1
 # A word of letters and the marks that may end it; an apostrophe could belong to a contraction.
 SIMPLE = re.compile(r"([^\W\d_]+)([!#$%&)*,.:;?|]*)")
+# All words of a line of words: letters and marks, or anything else.
+SIMPLE_OR_NOT = re.compile(r"(?:^| )(?:([^\W\d_]+)([!#$%&)*,.:;?|]*)(?= |$)|([^ ]+))")
 
 
 class WordIds:
@@ -72,10 +78,10 @@ class WordIds:
         self.forget()
 
     def forget(self):
-        """Starts anew with the empty word, which has no ids."""
-        self.place: dict[str, int] = {"": 0}
+        """Starts anew with the empty word and the mark between texts, which have no ids."""
+        self.place: dict[str, int] = {"": 0, MARK: MARKED}
         self.ids, self.begin, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i8")
-        self.words, self.used = 1, 0
+        self.words, self.used = 2, 0
 
     def _add(self, words: list[str], flat: np.ndarray, size: np.ndarray):
         words_now, used_now = self.words + len(words), self.used + len(flat)
@@ -109,49 +115,80 @@ class WordIds:
 
     def _learn(self, words: list[str]):
         """Adds new words, letters first, as the others are put together from them."""
-        letters, others, joined = {}, {}, []
-        for word in words:
-            if m := SIMPLE.fullmatch(word):
-                core, marks = m[1].lower(), m[2]
-                # Lower case is taken letter by letter, which differs for a final sigma only.
-                if core.isalpha() and unicodedata.is_normalized("NFC", core) and "\u03a3" not in word:
-                    if core not in self.place:
-                        letters[core] = None
-                    if marks and marks not in self.place:
-                        others[marks] = None
-                    if core != word:
-                        joined.append((word, core, marks))
-                    continue
-            others[word] = None
-        self._learn_letters(list(letters))
-        self._learn_others(list(others))
+        low = " ".join(words).lower()
+        # Lower case is taken letter by letter, which differs for a final sigma only; the dotted capital
+        # I is the one letter whose lower case is not a letter. Such lots are looked at word by word.
+        if "\u03c3" not in low and "\u03c2" not in low and "i\u0307" not in low and unicodedata.is_normalized("NFC", low):
+            parts = SIMPLE_OR_NOT.findall(low)
+        else:
+            parts = [self._parts_of(word) for word in words]
+        cores, marks, rest = zip(*parts)
+        self._learn_letters([c for c in dict.fromkeys(cores) if c and c not in self.place])
+        others = [w for w, r in zip(words, rest) if r]
+        self._learn_others(list(dict.fromkeys(others + [m for m in dict.fromkeys(marks) if m and m not in self.place])))
+        joined = [i for i, (w, c) in enumerate(zip(words, cores)) if c and c != w]
         if joined:
-            pairs = np.array([(self.place[c], self.place[m]) for _, c, m in joined])
-            flat, size = self._gather(pairs.ravel())
-            self._add([w for w, _, _ in joined], flat, size.reshape(-1, 2).sum(1))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the texts together are of bounded size."""
-        out, listed = [None] * len(texts), []
-        for i, text in enumerate(texts):
-            if any(t in text for t in self.special):
-                out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-            else:
-                listed.append((i, text.replace("\n", " ").split(" ")))
-        words = list(itertools.chain.from_iterable(w for _, w in listed))
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
-        if new:
-            if len(self.place) + 2 * len(new) > REMEMBERED and len(self.place) > 1:
+            take = itemgetter(*joined) if len(joined) > 1 else lambda x: (x[joined[0]],)
+            pairs = np.array([list(map(self.place.__getitem__, take(x))) for x in (cores, marks)])
+            flat, size = self._gather(pairs.T.ravel())
+            self._add(take(words), flat, size.reshape(-1, 2).sum(1))
+
+    @staticmethod
+    def _parts_of(word: str) -> tuple[str, str, str]:
+        """(letters, closing marks, "") of a simple word, ("", "", word) of any other."""
+        if m := SIMPLE.fullmatch(word):
+            core = m[1].lower()
+            if core.isalpha() and unicodedata.is_normalized("NFC", core) and "\u03a3" not in word:
+                return core, m[2], ""
+        return "", "", word
+
+    def joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of each; the texts are of bounded size.
+
+        Texts are joined around a mark, so that one split and one look-up serve them all.
+        """
+        if not texts:
+            return np.zeros(0, "<u4"), np.zeros(0, "i8")
+        whole = f" {MARK} ".join(texts)
+        if whole.count(MARK) >= len(texts) or any(t in whole for t in self.special):
+            return self._apart(texts)
+        words = whole.replace("\n", " ").split(" ")
+        at = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), "i8", len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
+            if len(self.place) + 2 * len(new) > REMEMBERED and len(self.place) > 2:
                 self.forget()
-                new = [w for w in dict.fromkeys(words) if w]
+                new, missing = list(dict.fromkeys(w for w in words if w and w != MARK)), np.arange(len(words))
             self._learn(new)
-        ids, size = self._gather(np.fromiter(map(self.place.__getitem__, words), "i8", len(words)))
-        ends = np.concatenate(([0], np.cumsum(size)))
-        at = 0
-        for i, w in listed:
-            out[i] = ids[ends[at] : ends[at + len(w)]]
-            at += len(w)
-        return out
+            at[missing] = np.fromiter(map(self.place.__getitem__, map(words.__getitem__, missing.tolist())), "i8", len(missing))
+        ids, size = self._gather(at)
+        ends = np.cumsum(size)[np.append(np.flatnonzero(at == MARKED), len(words) - 1)]
+        return ids, np.diff(ends, prepend=0)
+
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`joined` when a text holds the mark or a special token: such texts go whole."""
+        out = []
+        for whole, some in itertools.groupby(texts, lambda t: MARK in t or any(x in t for x in self.special)):
+            if whole:
+                found = [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") for t in some]
+                out.append((np.concatenate(found), np.array([len(x) for x in found])))
+            else:
+                out.append(self.joined(list(some)))
+        return np.concatenate([i for i, _ in out]), np.concatenate([n for _, n in out])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids, size = self.joined(texts)
+        return np.split(ids, np.cumsum(size)[:-1]) if texts else []
+
+
+def remembered(path: str) -> WordIds:
+    """The words that this Python worker has learned so far; its later tasks go on with them."""
+    kept = sys.modules.setdefault("_panelforge_words", ModuleType("_panelforge_words")).__dict__
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -178,14 +215,23 @@ def _cut(texts: pa.Array, encode: WordIds, length: int) -> Iterator[tuple[list[i
             parts = list(_parts(texts[at + len(some)].as_py() or ""))
             some.append(parts)
             size += sum(map(len, parts))
-        found = iter(encode([t for parts in some for t in parts]) if size < 2 * CHARACTERS else (encode([t])[0] for parts in some for t in parts))
-        taken, rows = [], []
-        for i, parts in enumerate(some, at):
-            ids = np.concatenate([*(next(found) for _ in parts), np.array([END], "<u4")])
-            for piece, start in enumerate(range(0, len(ids), length)):
-                part = ids[start : start + length]
+        flat = [t for parts in some for t in parts]
+        if size < 2 * CHARACTERS:
+            ids, sizes = encode.joined(flat)
+        else:
+            found = [encode.joined([t]) for t in flat]
+            ids, sizes = np.concatenate([i for i, _ in found]), np.concatenate([n for _, n in found])
+        ends = np.cumsum(sizes)[np.cumsum([len(parts) for parts in some]) - 1]
+        # An end id closes every document.
+        stream = np.insert(ids, ends, END).astype("<u4")
+        ends = (ends + np.arange(1, len(some) + 1)).tolist()
+        view, taken, rows, begin = memoryview(stream).cast("B"), [], [], 0
+        for i, end in enumerate(ends, at):
+            for piece, start in enumerate(range(begin, end, length)):
+                stop = min(start + length, end)
                 taken.append(i)
-                rows.append((piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
+                rows.append((piece, start - begin, stop - start, zlib.crc32(view[4 * start : 4 * stop])))
+            begin = end
         yield taken, rows
         at += len(some)
 
@@ -194,7 +240,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode = remembered(path)
         for batch in batches:
             for taken, rows in _cut(batch.column("text"), encode, length):
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())

@@ -10,7 +10,8 @@ Only DataFrame operations are used. One pass per kind splits a text into the gap
 and the match itself, so positions are sums of lengths; texts without a trace of a kind are left
 out by a cheaper test. Nothing is shuffled, rows stay where they are read.
 
-Defined results: a missing or empty text has no spans; positions count code points, the end is
+Defined results: a missing or empty text has no spans; candidates of any length are scanned in time
+that grows with their length; positions count code points, the end is
 exclusive; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -41,10 +42,12 @@ _WORD = "(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
 # Candidates that are known to be harmless: identifiers in their usual notation, dates and times,
 # words joined by hyphens, underscores or slashes, one repeated character, and sample values. A date
 # or sample word excuses a candidate only if no 20 characters, the least candidate, are left beside it.
+# Repeated groups are possessive: the engine takes them in a loop, however many words there are, and
+# giving words back could only leave more characters over.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    f"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:T[0-9-]+Z?)?(?:[/_=+-]+{_WORD}(?=[/_=+-]|$))*[/_=+-]*.{{0,19}}$",
-    f"^[/_=+-]*{_WORD}(?:[/_=+-]+{_WORD})*[/_=+-]*$",
+    f"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:T[0-9-]+Z?)?(?:[/_=+-]++{_WORD}(?=[/_=+-]|$))*+[/_=+-]*.{{0,19}}$",
+    f"^[/_=+-]*{_WORD}(?:[/_=+-]++{_WORD})*+[/_=+-]*$",
     "^(.)\\1+$",
     f"(?i)^(?=.*(?:{_ANY}))(?!.*(?:^|{_BEHIND})(?:(?!{_ANY}).){{20}})",
 )
@@ -96,40 +99,53 @@ def _x_log_x(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def entropy_spans(value: Column, kind: CharacterClass) -> Column:
     """array<struct<start, end>> within ``value`` covered by windows of at least ``kind.bits``.
 
     With counts c over a window of w characters the entropy is log2(w) - sum(c log2 c) / w. The
-    sum changes only by the entering and the leaving character.
+    sum changes only by the entering and the leaving character. The value is turned into places in
+    the alphabet once and meets itself ``w`` later, so the work grows with its length.
     """
     w, symbols = kind.window, len(kind.alphabet)
     spans = "array<struct<start:int,end:int>>"
+    none = F.array().cast(spans)
     zero = F.struct(
-        F.array_repeat(F.lit(0), symbols).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(spans).alias("hot"),
+        F.array_repeat(F.lit(0), symbols).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(-1).alias("end"), none.alias("closed"),
     )
-    place = lambda i: F.call_function("instr", F.lit(kind.alphabet), value.substr(i + 1, F.lit(1)))
+    enough = F.lit(float(w)) * (F.log2(F.lit(float(w))) - F.lit(kind.bits)) + 1e-9
+    span = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
-    def step(acc, i):
-        enters, leaves = place(i), F.when(i >= w, place(i - w)).otherwise(0)
+    def step(acc, x):
+        enters, leaves, i = x["enters"], x["leaves"], x["i"]
         moved = (enters != leaves).cast("int")
         gain = F.element_at(acc["counts"], enters)
         loss = F.when(leaves > 0, F.element_at(acc["counts"], F.greatest(leaves, F.lit(1)))).otherwise(1)
         change = _x_log_x(gain + 1) - _x_log_x(gain) + F.when(leaves > 0, _x_log_x(loss - 1) - _x_log_x(loss)).otherwise(0.0)
         counts = F.transform(acc["counts"], lambda c, j: c + moved * ((j + 1 == enters).cast("int") - (j + 1 == leaves).cast("int")))
         total = acc["sum"] + moved * change
-        hot = (i >= w - 1) & (F.lit(w).cast("double") * (F.log2(F.lit(float(w))) - F.lit(kind.bits)) >= total - 1e-9)
-        start, end = (i - (w - 1)).cast("int"), (i + 1).cast("int")
-        before = F.element_at(acc["hot"], -1)
-        joins = (F.size(acc["hot"]) > 0) & (start <= F.when(F.size(acc["hot"]) > 0, before["end"]).otherwise(-1))
-        longer = F.concat(
-            F.slice(acc["hot"], 1, F.greatest(F.size(acc["hot"]) - 1, F.lit(0))),
-            F.array(F.struct(before["start"].alias("start"), end.alias("end"))),
+        hot = (i >= w - 1) & (total <= enough)
+        opens = hot & (i - (w - 1) > acc["end"])
+        return F.struct(
+            counts.alias("counts"), total.alias("sum"), F.when(opens, i - (w - 1)).otherwise(acc["start"]).alias("start"),
+            F.when(hot, i + 1).otherwise(acc["end"]).alias("end"),
+            # Spans are copied only when one of them is closed.
+            F.when(opens & (acc["end"] > 0), F.concat(acc["closed"], F.array(span(acc["start"], acc["end"])))).otherwise(acc["closed"]).alias("closed"),
         )
-        new = F.concat(acc["hot"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(hot, F.when(joins, longer).otherwise(new)).otherwise(acc["hot"]).alias("hot"))
 
-    positions = F.sequence(F.lit(0), F.length(value) - 1)
-    return F.when(F.length(value) >= w, F.aggregate(positions, zero, step, lambda acc: acc["hot"])).otherwise(F.array().cast(spans))
+    def walk(places):
+        n = F.size(places)
+        earlier = F.slice(F.concat(F.array_repeat(F.lit(0), w), places), F.lit(1), n)
+        steps = F.arrays_zip(places.alias("enters"), earlier.alias("leaves"), F.sequence(F.lit(0), n - 1).alias("i"))
+        close = lambda acc: F.when(acc["end"] > 0, F.concat(acc["closed"], F.array(span(acc["start"], acc["end"])))).otherwise(acc["closed"])
+        return F.aggregate(steps, zero, step, close)
+
+    places = F.transform(F.split(value, ""), lambda c: F.call_function("instr", F.lit(kind.alphabet), c))
+    return F.when(F.length(value) >= w, _let(places, walk)).otherwise(none)
 
 
 def _named(found: Column, place: int, name: str) -> Column:

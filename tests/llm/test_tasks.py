@@ -329,11 +329,15 @@ def test_very_long_texts_are_tokenised_in_parts(monkeypatch):
 def test_ids_equal_those_of_whole_texts():
     words = packing.WordIds(packing.tokenizer_path())
     rng = random.Random(7)
-    bits = ["a", "Ab", "É", "é", "e\u0301", "\u03a3", "\u03c2", "\u0130", "\u00df", "\u01c5", "1", "12", "'s", "'", "\u2019", "don't", ".", "..", ",", "!?", "***", "$", "_", "-", "\u201c", "\u2026", "\u00a0", "\t", "\r", "\n", " ", "  ", "\U0001f600", "\u200d", "\u6f22\u5b57", "\u0e01\u0e33", "\u1100\u1161", "\ufb01", "\u00aa", "\u02b0", "<|endoftext|>", "<|", "|>", "\x0b", "\u2028", "\u0345", "x."]
+    bits = ["a", "Ab", "É", "é", "e\u0301", "\u03a3", "\u03c2", "\u0130", "\u00df", "\u01c5", "1", "12", "'s", "'", "\u2019", "don't", ".", "..", ",", "!?", "***", "$", "_", "-", "\u201c", "\u2026", "\u00a0", "\t", "\r", "\n", " ", "  ", "\U0001f600", "\u200d", "\u6f22\u5b57", "\u0e01\u0e33", "\u1100\u1161", "\ufb01", "\u00aa", "\u02b0", "<|endoftext|>", "<|", "|>", packing.MARK, "\x0b", "\u2028", "\u0345", "x."]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     want = [e.ids for e in words.whole.encode_batch(texts, add_special_tokens=False)]
     for text, a, b in zip(texts, words(texts), want):
         assert a.tolist() == b, ascii(text)
+    # In lots, with and without words that need a look each.
+    for lot in (["Plain words, twice.", "", "plain  Words\nand more!"], ["<|endof", "text|>"], ["\u03a3\u03a3 a", packing.MARK, "b"], []):
+        again = packing.WordIds(packing.tokenizer_path())
+        assert [x.tolist() for x in again(lot)] == [words.whole.encode(t, add_special_tokens=False).ids for t in lot]
 
 
 # --- prefix hashes --------------------------------------------------------------------------

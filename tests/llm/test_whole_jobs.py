@@ -48,3 +48,29 @@ def test_keys_beside_harmless_words_are_found(spark):
         at = text.index(key)
         assert any(s.start <= at + 1 and s.end >= at + len(key) - 1 for s in got[i]), text
     assert not any(got[i] for i in range(len(bad), len(bad + good)))
+
+
+LONG_CANDIDATES = """
+import random, sys, tempfile
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate()
+from panelforge.llm import secrets
+rng = random.Random(1)
+key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+texts = ["a-" * n for n in (1_000, 100_000, 1_000_000)] + ["2024-01-01" + "_ab" * 300_000, "/usr/" * 200_000, "x" * 1_000_000, key]
+rows = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+assert not any(rows[i] for i in range(6)), [rows[i][:2] for i in range(6)]
+covered = sum(s.end - s.start for s in rows[6])
+assert covered > 195_000 and rows[6][-1].end <= 200_000, covered
+print("whole")
+"""
+
+
+def test_long_candidates_in_a_fresh_session():
+    """Words joined a million times, and one key of 200,000 characters, before anything is compiled."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    found = subprocess.run([sys.executable, "-c", LONG_CANDIDATES], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parents[2])
+    assert found.stdout.strip().endswith("whole"), found.stderr[-2000:]
