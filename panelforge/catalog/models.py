@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from panelforge.catalog.base import (
-    CALENDAR_SQL, END, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, NAMES, PANEL_SQL, START, UPDATE, hist_sql, labelled_panel,
-    main_calendar, main_shape, register, rounded, with_sql,
+    CALENDAR_SQL, DIRECTIONS, END, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, NAMES, PANEL_SQL, START, UPDATE, avg_rank_sql, factors_sql,
+    hist_sql, labelled_panel, main_calendar, main_shape, register, rounded, with_sql,
 )
 from panelforge.catalog.evaluation import _SUM_COLS, MONTHLY_SQL, SUMMARY_SQL, YEAR_SQL, daily_of_pred_sql, rounded as nudged, rounds
 from panelforge.catalog.walk import BINNED_SQL, VOTES_SQL, bins_sql, ic_vote_sql, ranked_frame, ranked_sql, whole_span, windows
@@ -149,6 +149,83 @@ def importance_shares(spark, folder):
     )
 
 
+# --- one round, written out as a statement -------------------------------------------------
+
+_WALK_HIST_SQL = f"""test AS (SELECT trade_date, position, position - min(position) OVER () AS i FROM cal WHERE position >= {HORIZON + LOOKBACK}),
+blocks AS (SELECT trade_date, position, min(trade_date) OVER (PARTITION BY i // {UPDATE}) AS rebalance_date, min(position) OVER (PARTITION BY i // {UPDATE}) AS rebalance_position FROM test),
+heads AS (SELECT DISTINCT rebalance_date, rebalance_position FROM blocks),
+hist AS (SELECT h.rebalance_date, c.trade_date, h.rebalance_position - {HORIZON + 1} - c.position AS age FROM heads h
+  JOIN cal c ON c.position BETWEEN h.rebalance_position - {HORIZON} - {LOOKBACK} AND h.rebalance_position - {HORIZON + 1})"""
+
+
+def first_tree_sql(target, half_life, least, l1, l2, start, positive_weight=1.0):
+    """Root split of the first tree of every refit: gradients, histogram, best split, leaf values.
+
+    Gradients and weights are whole multiples of 2**-24, as in the walk, so sums are exact.
+    """
+    whole, scale = "16777216e0", "/ 16777216e0"
+    weight = f"pow(0.5e0, age / {half_life!r})" if half_life else "1e0"
+    weight = f"({weight} * CASE WHEN y > 0 THEN {positive_weight!r} ELSE 1e0 END)"
+    value = lambda g, h: f"(sign({g}) * greatest(abs({g}) - {l1!r}, 0e0) / ({h} + {l2!r}))"
+    quality = lambda g, h: f"(greatest(abs({g}) - {l1!r}, 0e0) * greatest(abs({g}) - {l1!r}, 0e0) / ({h} + {l2!r}))"
+    share = "least(greatest(g / h, 1e-9), 1e0 - 1e-9)"
+    first = {"mean": "g / h", "log_odds": f"ln({share} / (1e0 - {share}))", "zero": "0e0"}[start]
+    chance = "(1e0 / (1e0 + exp(-s)))"
+    slope, bend = (f"y - {chance}", f"{chance} * (1e0 - {chance})") if start == "log_odds" else ("y - s", "1e0")
+    bins = md.BOOST["bins"]
+    cells = ", ".join(
+        f"least(greatest(CAST(floor(round({n} * {bins}e0, 9)) AS INTEGER), 0), {bins - 1}) AS b{i}" for i, n in enumerate(NAMES)
+    )
+    tall = " UNION ALL ".join(f"SELECT rebalance_date, {i} AS feature, b{i} AS cut, g, h FROM graded" for i in range(len(NAMES)))
+    return with_sql(
+        LABELLED_SQL, CALENDAR_SQL, factors_sql("labelled", ["target_rank", "is_target_topk"], directions=DIRECTIONS), _WALK_HIST_SQL,
+        f"rf AS (SELECT trade_date, CAST({target} AS DOUBLE) AS y, target_rank, " + ", ".join(f"coalesce({avg_rank_sql(n, 'trade_date')}, 0.5e0) AS {n}" for n in NAMES) + " FROM wide)",
+        f"binned AS (SELECT trade_date, y, {cells} FROM rf WHERE target_rank IS NOT NULL)",
+        f"rows AS (SELECT rebalance_date, {weight} AS w, binned.* FROM hist JOIN binned USING (trade_date))",
+        f"starts AS (SELECT rebalance_date, {first} AS s FROM (SELECT rebalance_date, sum(round_even(y * w * {whole}, 0)) {scale} AS g, sum(round_even(w * {whole}, 0)) {scale} AS h FROM rows GROUP BY 1))",
+        f"graded AS (SELECT rows.*, round_even(({slope}) * w * {whole}, 0) AS g, round_even(({bend}) * w * {whole}, 0) AS h FROM rows JOIN starts USING (rebalance_date))",
+        f"cells AS (SELECT rebalance_date, feature, cut, sum(g) AS g, sum(h) AS h, count(*) AS n FROM ({tall}) GROUP BY 1, 2, 3)",
+        "below AS (SELECT rebalance_date, feature, cut, sum(g) OVER p AS lg, sum(h) OVER p AS lh, sum(n) OVER p AS ln, sum(g) OVER t AS tg, sum(h) OVER t AS th, sum(n) OVER t AS n"
+        " FROM cells WINDOW p AS (PARTITION BY rebalance_date, feature ORDER BY cut), t AS (PARTITION BY rebalance_date, feature))",
+        f"splits AS (SELECT rebalance_date, feature, cut, ln, n, lg {scale} AS lg, lh {scale} AS lh, (tg - lg) {scale} AS rg, (th - lh) {scale} AS rh, tg {scale} AS tg, th {scale} AS th FROM below)",
+        f"gains AS (SELECT *, {quality('lg', 'lh')} + {quality('rg', 'rh')} - {quality('tg', 'th')} AS gain FROM splits WHERE ln >= {least} AND n - ln >= {least})",
+        "best AS (SELECT * FROM gains WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY rebalance_date ORDER BY gain DESC, feature, cut) = 1)",
+        select=f"SELECT rebalance_date, CAST(feature AS INTEGER) AS feature, CAST(cut AS INTEGER) AS cut, round(gain, 9) + 0e0 AS gain, CAST(n AS BIGINT) AS train_rows, CAST(ln AS BIGINT) AS left_rows,"
+        f" round({value('lg', 'lh')}, 9) + 0e0 AS left_value, round({value('rg', 'rh')}, 9) + 0e0 AS right_value FROM best",
+    )
+
+
+def first_trees(result):
+    """Root split and both leaves of the first tree of every refit."""
+    table = result.models.table.where("tree = 0")
+    side = lambda node, **names: table.where(F.col("node") == node).select("rebalance_date", *[F.col(c).alias(a) for c, a in names.items()])
+    root = table.where("node = 0 AND feature >= 0").select("rebalance_date", "feature", "cut", "gain", F.col("rows").alias("train_rows"))
+    found = root.join(side(1, rows="left_rows", value="left_value"), "rebalance_date").join(side(2, value="right_value"), "rebalance_date")
+    return rounded(found, ["gain", "left_value", "right_value"], 9)
+
+
+_ONE_ROUND = {**_BOOST, "max_iter": 1, "depth": 1, "leaves": 2, "row_share": 1.0, "feature_share": 1.0}
+
+
+@register("boost_first_round", first_tree_sql("target_rank", 10.0, 20, _BOOST["l1"], _BOOST["l2"], "mean"))
+def boost_first_round(spark, folder):
+    """Regression with decayed weights: first split of every refit of the whole calendar."""
+    return first_trees(run(spark, folder, "regression", dict(settings=_ONE_ROUND)))
+
+
+@register(
+    "classifier_first_round", first_tree_sql("is_target_topk", 10.0, 20, _BOOST["l1"], _BOOST["l2"], "log_odds", md.POSITIVE_WEIGHT)
+)
+def classifier_first_round(spark, folder):
+    return first_trees(run(spark, folder, "classifier", dict(settings=_ONE_ROUND)))
+
+
+@register("tree_root_split", first_tree_sql("target_rank", 0.0, "ceil(n * 0.05e0)", 0.0, 0.0, "zero"))
+def tree_root_split(spark, folder):
+    """A single split per refit with leaves of a twentieth of the rows at least."""
+    return first_trees(run(spark, folder, "tree", dict(depths=(1,), leaf_shares=(0.05,), min_gain=0.0)))
+
+
 def _log_sql(name, lookback):
     return f"SELECT '{name}' AS run, * FROM (" + with_sql(
         PANEL_SQL, CALENDAR_SQL, hist_sql(lookback=lookback),

@@ -73,7 +73,7 @@ def walk_forward(
             for b in spans
         ]
         return md.WalkForward(scored, records, None)
-    ready = md.assemble(frame, factors, calendar, shape)
+    ready = md.assemble(frame, factors, calendar, shape, options.get("settings", options).get("bins", md.BOOST["bins"]))
     spans = md.plan_blocks(windows, blocks, validation)
     if model == "tree":
         return md.rolling_tree(ready, factors, spans, label=label, **options)

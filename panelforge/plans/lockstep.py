@@ -441,7 +441,7 @@ class Grower:
         self.depth = max(c.depth for c in wave.candidates)
         self.least: np.ndarray | None = None
         spark = state.sparkSession
-        self.tasks = max(1, min(spark.sparkContext.defaultParallelism, wave.models // 8))
+        self.tasks = max(1, min(spark.sparkContext.defaultParallelism, wave.models // 32))
 
     def _task(self, current, number, level, **changes):
         wave, objective, growth, features, recent = self.wave, changes.get("objective", self.objective), self.growth, self.features, list(self.recent)
