@@ -32,6 +32,13 @@ def _products(x: np.ndarray) -> np.ndarray:
     return np.stack([m.T @ m, x.T @ m, m.T @ x, xx.T @ m, m.T @ xx, x.T @ x])
 
 
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """n, Σx, Σy, Σx², Σy², Σxy of every column of x with every column of y."""
+    here, there = ~np.isnan(x), ~np.isnan(y)
+    x, y, m, o = np.where(here, x, 0.0), np.where(there, y, 0.0), here.astype("float64"), there.astype("float64")
+    return np.stack([m.T @ o, x.T @ o, m.T @ y, (x * x).T @ o, m.T @ (y * y), x.T @ y])
+
+
 def _upper(sums: np.ndarray):
     import pandas as pd
 
@@ -39,7 +46,7 @@ def _upper(sums: np.ndarray):
     return pd.DataFrame({"i": left, "j": right, **{s: sums[q, left, right] for q, s in enumerate(_SUMS)}})
 
 
-def _correlations(partial: DataFrame, names: Sequence[str]) -> DataFrame:
+def correlations(partial: DataFrame, names: Sequence[str]) -> DataFrame:
     total = partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
     n = F.nullif(F.col("n"), F.lit(0.0))
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
@@ -64,7 +71,7 @@ def gram_correlation(ranks: DataFrame, names: Sequence[str]) -> DataFrame:
             sums += _products(batch[names].to_numpy(dtype="float64"))
         yield _upper(sums)
 
-    return _correlations(ranks.select(*names).mapInPandas(add_up, _SCHEMA), names)
+    return correlations(ranks.select(*names).mapInPandas(add_up, _SCHEMA), names)
 
 
 def rank_correlation(wide: DataFrame, names: Sequence[str], *, widest: int) -> DataFrame:
@@ -81,4 +88,4 @@ def rank_correlation(wide: DataFrame, names: Sequence[str], *, widest: int) -> D
     def one_date(frame):
         return _upper(_products(frame[names].rank(pct=True).to_numpy(dtype="float64")))
 
-    return _correlations(wide.select("trade_date", *names).groupBy("trade_date").applyInPandas(one_date, _SCHEMA), names)
+    return correlations(wide.select("trade_date", *names).groupBy("trade_date").applyInPandas(one_date, _SCHEMA), names)

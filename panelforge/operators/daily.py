@@ -21,6 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TINY = 1e-12
 # 4.2 million doubles are 34 MB per date and chunk.
 CELLS = 4_200_000
+STATISTICS = ["factor", "trade_date", "names", "n", "total", "scatter", "pos", "neg"]
 SCHEMA = "factor int, trade_date string, names bigint, n bigint, total double, scatter double, pos double"
 
 
@@ -53,6 +54,31 @@ def _ndcg(values: np.ndarray, gains: np.ndarray, k: int) -> tuple[np.ndarray, np
     return high, pick(np.argsort(values, axis=0, kind="stable")) / ideal
 
 
+def column_statistics(values: np.ndarray, target: np.ndarray, relevance: np.ndarray, kind: str, k: int, least: int) -> tuple:
+    """(names, n, total, scatter, pos, neg) of every column of one date, whose rows are in order of entity."""
+    complete = ~np.isnan(values) & ~np.isnan(target)[:, None]
+    size = (~np.isnan(values)).sum(0)
+    total = np.nansum(values, axis=0)
+    middle = total / np.maximum(size, 1)
+    scatter = np.nansum((values - middle) ** 2, axis=0)
+    usable = complete.sum(0) >= least
+    if kind == "prerank":
+        pos = _correlate(_ranks(values), np.broadcast_to(target[:, None], values.shape))
+        neg = -pos
+    else:
+        masked = np.where(complete, values, np.nan)
+        with np.errstate(invalid="ignore"):
+            count = np.maximum(complete.sum(0), 1)
+            center = np.nansum(masked, axis=0) / count
+            usable &= np.sqrt(np.nansum((masked - center) ** 2, axis=0) / count) >= TINY
+        if kind == "ic":
+            pos = _correlate(_ranks(masked), _ranks(np.where(complete, target[:, None], np.nan)))
+            neg = -pos
+        else:
+            pos, neg = _ndcg(masked, np.exp2(relevance) - 1.0, k)
+    return complete.sum(0), size, total, scatter, np.where(usable, pos, np.nan), np.where(usable, neg, np.nan)
+
+
 def daily_statistics(
     wide: DataFrame, names: Sequence[str], kind: str, *, k: int = 50, least: int = 1, widest: int | None = None
 ) -> DataFrame:
@@ -73,40 +99,9 @@ def daily_statistics(
         frame = frame.sort_values("entity", kind="stable")
         values = np.stack(frame["cells"].to_numpy()).astype("float64") if width < len(names) else frame[names].to_numpy(dtype="float64")
         first = int(frame["chunk"].iloc[0]) * width if width < len(names) else 0
-        target = frame["target_rank"].to_numpy(dtype="float64")
-        complete = ~np.isnan(values) & ~np.isnan(target)[:, None]
-        size = (~np.isnan(values)).sum(0)
-        total = np.nansum(values, axis=0)
-        middle = total / np.maximum(size, 1)
-        scatter = np.nansum((values - middle) ** 2, axis=0)
-        usable = complete.sum(0) >= least
-        if kind == "prerank":
-            pos = _correlate(_ranks(values), np.broadcast_to(target[:, None], values.shape))
-            neg = -pos
-        else:
-            masked = np.where(complete, values, np.nan)
-            with np.errstate(invalid="ignore"):
-                count = np.maximum(complete.sum(0), 1)
-                center = np.nansum(masked, axis=0) / count
-                usable &= np.sqrt(np.nansum((masked - center) ** 2, axis=0) / count) >= TINY
-            if kind == "ic":
-                pos = _correlate(_ranks(masked), _ranks(np.where(complete, target[:, None], np.nan)))
-                neg = -pos
-            else:
-                gains = np.exp2(frame["relevance"].to_numpy(dtype="float64")) - 1.0
-                pos, neg = _ndcg(masked, gains, k)
-        return pd.DataFrame(
-            {
-                "factor": np.arange(first, first + values.shape[1]),
-                "trade_date": key[0],
-                "names": complete.sum(0),
-                "n": size,
-                "total": total,
-                "scatter": scatter,
-                "pos": np.where(usable, pos, np.nan),
-                "neg": np.where(usable, neg, np.nan),
-            }
-        )
+        target, relevance = (frame[c].to_numpy(dtype="float64") for c in ("target_rank", "relevance"))
+        found = column_statistics(values, target, relevance, kind, k, least)
+        return pd.DataFrame({"factor": np.arange(first, first + values.shape[1]), "trade_date": key[0], **dict(zip(STATISTICS[2:], found))})
 
     keys = ["entity", "trade_date", "target_rank", "relevance"]
     if width < len(names):
@@ -119,6 +114,11 @@ def daily_statistics(
         found = rows.groupBy("trade_date", "chunk").applyInPandas(one_date, schema)
     else:
         found = wide.select(*keys, *names).groupBy("trade_date").applyInPandas(one_date, schema)
+    return named_statistics(found, names)
+
+
+def named_statistics(found: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Statistics with the names of the columns that their numbers stand for."""
     present = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     labels = F.array(*[F.lit(n) for n in names])
     return found.select(

@@ -37,6 +37,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelforge.session import drop_table, materialize, small_table, table_at, work_folder
+from panelforge.sources.bydate import whole_dates, write_whole
 
 # Executors receive these helpers by value, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -449,7 +450,7 @@ class Grower:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             task = Task(wave, objective, growth, features, recent, current, number, level)
-            for part in dates(batches) if by_date else batches:
+            for part in whole_dates(batches, "position") if by_date else batches:
                 if part.num_rows:
                     task.add(part)
             yield from task.result()
@@ -558,7 +559,7 @@ class Grower:
 
         order = [c for c in self.state.columns if c != "scores"] + ["scores"]
         renewed = self.state.select(*order).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in self.state.select(*order).dtypes))
-        path = write_rows(renewed)
+        path = write_whole(renewed)
         self.state = table_at(renewed, path)
         drop_table(self.state.sparkSession, self.path)
         self.path, self.recent = path, []
@@ -570,26 +571,6 @@ class Grower:
 SPLIT_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4, *[pa.int64()] * 4]
 
 
-def dates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches joined and cut so that no date is in two of them; rows of a date follow each other."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        at = batch.column("position").to_numpy()
-        other = np.flatnonzero(at != at[-1])
-        cut = int(other[-1]) + 1 if len(other) else 0
-        if held and at[0] != held[-1].column("position")[-1].as_py():
-            yield pa.Table.from_batches(held)
-            held = []
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def keep_best_splits(trees: Trees, models: np.ndarray, leaves: int) -> None:
     """Leaf-wise growth to ``leaves`` leaves: splits in order of gain, each after its parent's."""
     inner = trees.feature.shape[1]
@@ -609,13 +590,6 @@ def keep_best_splits(trees: Trees, models: np.ndarray, leaves: int) -> None:
     trees.feature[models] = np.where(kept, trees.feature[models], -1)
 
 
-def write_rows(rows: DataFrame) -> str:
-    """Writes a row table with one row group per file, so that no reader cuts a date in two."""
-    path = f"{work_folder(rows.sparkSession)}/panelforge-{uuid.uuid4().hex}"
-    rows.write.option("parquet.block.size", 2**30).parquet(path)
-    return path
-
-
 def plan_waves(blocks: Sequence, position: dict[str, int], candidates: Sequence[Candidate], slots: int = SLOTS) -> list[tuple[list, Wave]]:
     """Refits dealt to waves in which a row carries at most ``slots`` scores."""
     first, last, valid = (np.array([position[getattr(b, a)] for b in blocks]) for a in ("train_start", "train_end", "validation_start"))
@@ -825,7 +799,7 @@ def boost(
     spark, folder, chosen = frame.sparkSession, f"{work_folder(frame.sparkSession)}/trees-{uuid.uuid4().hex}", []
     for some, wave in plan_waves(blocks, date_positions(frame), candidates, slots):
         rows = row_table(frame, wave, objective)
-        path = write_rows(rows)
+        path = write_whole(rows)
         grower = Grower(table_at(rows, path), wave, objective, growth, features)
         grower.prepare()
         watch, train, parts = Watch(wave.models, patience), np.zeros(wave.models, "i8"), []

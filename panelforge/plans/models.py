@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelforge.operators.calendar import PanelShape
 from panelforge.plans import lockstep as ls
 from panelforge.session import broadcast_within, drop_table, materialize, table_at
+from panelforge.sources.bydate import write_whole
 
 # Default model settings.
 TREE_DEPTHS = (1, 2, 3)
@@ -166,7 +167,7 @@ def rolling_tree(
     base, chosen, parts, records = baselines(frame, blocks), [], [], []
     for some, wave in ls.plan_waves(blocks, ls.date_positions(frame), candidates):
         rows = ls.row_table(frame, wave, objective)
-        path = ls.write_rows(rows)
+        path = write_whole(rows)
         grower = ls.Grower(table_at(rows, path), wave, objective, growth, len(factors))
         trees, _ = grower.tree(0)
         options: dict[int, list[tuple]] = {i: [] for i in range(len(some))}

@@ -12,7 +12,8 @@ from panelforge.operators.labels import add_labels
 from panelforge.plans import grid as gr
 from panelforge.plans import lockstep as ls
 from panelforge.plans import models as md
-from panelforge.plans.lambdarank import GAINS, rolling_lambdarank
+from panelforge.plans.lambdarank import GAINS
+from panelforge.sources.bydate import whole_dates
 
 FACTORS = ["f1", "f2", "f3"]
 HORIZON, LOOKBACK, VALIDATION, UPDATE = 2, 12, 4, 3
@@ -241,7 +242,7 @@ def test_first_generation_ranker(spark, frame):
     from panelforge.plans.lambdarank import DECILE_GAINS
 
     options = dict(
-        relevance="decile", gains=DECILE_GAINS, eval_at=500, candidates=md.BOOST_CANDIDATES[:0] + ({"depth": 2, "leaves": 4, "min_rows": 9}, {"depth": 3, "leaves": 7, "min_rows": 6}),
+        relevance="decile", gains=DECILE_GAINS, eval_at=500, candidates=({"depth": 2, "leaves": 4, "min_rows": 9}, {"depth": 3, "leaves": 7, "min_rows": 6}),
         rounds=4, step=0.3, l2=1.0,
     )
     result = walk(frame, "lambdarank", options)
@@ -274,7 +275,7 @@ def test_dates_are_never_cut():
     import pyarrow as pa
 
     parts = [pa.RecordBatch.from_pydict({"position": p}) for p in ([3, 3], [3, 1, 1], [1], [], [2, 2, 5], [7])]
-    found = [t.column("position").to_pylist() for t in ls.dates(iter(parts))]
+    found = [t.column("position").to_pylist() for t in whole_dates(iter(parts), "position")]
     assert [x for t in found for x in t] == [3, 3, 3, 1, 1, 1, 2, 2, 5, 7]
     for position in (1, 2, 3, 5, 7):
         assert sum(position in t for t in found) == 1
