@@ -1,12 +1,14 @@
 """Exact deduplication with an extendible-hash index on shared files.
 
 Texts are compared after replacing each run of white space by one space. Keys (64-bit hash and
-SHA-256 of that text) are written once to shared files. Copies collapse before they enter the
-index, so a text with any number of copies is one entry. The directory addresses entries by the
-leading bits of their hash: it starts at the depth the number of entries calls for, and buckets
-above their capacity are split by one more bit until none is overfull. Each bucket is one key
-range, written and read by its owner task. Entries of one hash form a chain and are told apart by
-their digests; the texts behind repeated hashes are then compared byte by byte.
+SHA-256 of that text) are written once to shared files. The directory addresses buckets by the
+leading bits of the hash: it starts at the depth the number of hashes calls for, and buckets above
+their capacity are split by one more bit until none is overfull. Every key is routed to its bucket;
+an owner task holds a range of buckets, and there keys of one hash form a chain whose entries are
+told apart by their digests: the smallest id and the number of copies of an entry are decided
+inside its bucket. Copies of a task collapse before they are sent, so a text with any number of
+copies sends a few rows to its owner. The texts behind repeated hashes are then compared byte by
+byte.
 
 Only DataFrame operations are used. Texts are not shuffled, except those whose hash occurs more
 than once, and copies of these collapse before the shuffle.
@@ -42,40 +44,56 @@ def _prefix(depth: Column) -> Column:
     return F.when(depth > 0, F.expr("shiftrightunsigned(hash, 64 - depth)")).otherwise(F.lit(0).cast("long"))
 
 
-def directory(entries: DataFrame, capacity: int) -> DataFrame:
-    """Adds ``depth`` and ``bucket`` (leading bits) such that no bucket exceeds the capacity.
+def directory(hashes: DataFrame, capacity: int) -> DataFrame:
+    """The buckets (depth, bucket): leading bits under which no more than ``capacity`` hashes stand.
 
-    A bucket at the full 64 bits holds one hash and cannot be split; it is a chain of colliding
-    texts.
+    ``hashes`` are distinct. A bucket at the full 64 bits holds one hash and cannot be split.
     """
-    n = entries.count()
+    n = hashes.count()
     depth = max(0, math.ceil(math.log2(n / capacity))) if n > capacity else 0
-    laid = entries.withColumn("depth", F.lit(depth)).withColumn("bucket", _prefix(F.col("depth")))
-    while depth < 64:
-        full = laid.where(F.col("depth") == depth).groupBy("bucket").count().where(F.col("count") > capacity)
-        full = materialize(full.select(F.lit(depth).alias("depth"), "bucket", F.lit(1).alias("_full")))
+    whole, open_ = None, hashes
+    while True:
+        sizes = materialize(
+            open_.withColumn("depth", F.lit(depth)).withColumn("bucket", _prefix(F.col("depth"))).groupBy("depth", "bucket").agg(F.count(F.lit(1)).alias("size"))
+        )
+        fits = sizes.where((F.col("size") <= capacity) | (F.col("depth") == 64)).select("depth", "bucket")
+        whole = fits if whole is None else whole.unionByName(fits)
+        full = sizes.where((F.col("size") > capacity) & (F.col("depth") < 64)).select("bucket")
         if full.isEmpty():
-            break
-        laid = laid.join(broadcast_checked(full), ["depth", "bucket"], "left")
-        laid = laid.withColumn("depth", F.col("depth") + F.coalesce("_full", F.lit(0))).drop("_full")
-        laid = laid.withColumn("bucket", _prefix(F.col("depth")))
+            return whole
+        # Only hashes of overfull buckets are looked at again, one bit deeper.
+        open_ = open_.withColumn("depth", F.lit(depth)).withColumn("bucket", _prefix(F.col("depth"))).join(broadcast_checked(full), "bucket", "left_semi").select("hash")
         depth += 1
-    return laid
+
+
+def routed(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Keys with the depth and number of their bucket, found in the directory."""
+    buckets = materialize(directory(materialize(keys.select("hash").distinct()), capacity))
+    depths = [r.depth for r in buckets.select("depth").distinct().collect()]  # 64 at most
+    out = None
+    for depth in depths:
+        at = keys.withColumn("depth", F.lit(depth)).withColumn("bucket", _prefix(F.col("depth")))
+        part = at.join(broadcast_checked(buckets.where(F.col("depth") == depth)), ["depth", "bucket"])
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else keys.withColumn("depth", F.lit(0)).withColumn("bucket", F.lit(0).cast("long"))
 
 
 def index(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index: one entry per distinct text, written by the owner of its bucket's key range."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "uid"))
-    entries = materialize(
-        keys.groupBy("hash", "sha").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-        .select("hash", "sha", F.col("first.doc_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"), "n")
-    )
-    laid = directory(entries, capacity)
+    """The index: one entry per distinct text of a bucket, decided by the bucket's owner.
+
+    ``keys`` are routed. Copies within a task collapse first; the rest goes to owners by ranges of
+    buckets, which group the chain of every hash by digest where it arrives.
+    """
+    first = lambda c: F.min(c).alias("first")
+    mine = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "uid")
+    partial = keys.groupBy(F.spark_partition_id().alias("task"), "depth", "bucket", "hash", "sha").agg(first(mine), F.count(F.lit(1)).alias("n"))
+    partial = materialize(partial.drop("task"))
     # Position of the bucket's first key among all keys: owners hold contiguous ranges.
     start = F.when(F.col("depth") > 0, F.expr("shiftleft(bucket, 64 - depth)")).otherwise(F.lit(0).cast("long"))
-    unsigned = start.bitwiseXOR(F.lit(-(2**63)))
-    owners = max(1, math.ceil(entries.count() / capacity) * 2)
-    return materialize(laid.repartitionByRange(owners, unsigned, "hash").sortWithinPartitions("bucket", "hash", "sha"))
+    owners = max(1, math.ceil(partial.count() / capacity) * 2)
+    sent = partial.withColumn("start", start.bitwiseXOR(F.lit(-(2**63)))).repartitionByRange(owners, "start", "hash", "sha")
+    entries = sent.groupBy("start", "depth", "bucket", "hash", "sha").agg(first("first"), F.sum("n").alias("n"))
+    return materialize(entries.select("depth", "bucket", "hash", "sha", F.col("first.doc_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"), "n"))
 
 
 def _repeated(entries: DataFrame) -> DataFrame:
@@ -91,14 +109,14 @@ def compare_bytes(docs: DataFrame, entries: DataFrame) -> DataFrame:
     joined = found.join(entries, ["hash", "sha"])
     wrong = F.raise_error(F.lit("different texts share a digest"))
     n = F.when(F.col("n") == F.col("_same"), F.col("n")).otherwise(wrong)
-    return joined.where("n > 1").select("hash", "sha", "keep_id", "keep_uid", n.alias("n"))
+    return joined.where("n > 1").select("bucket", "hash", "sha", "keep_id", "keep_uid", n.alias("n"))
 
 
 def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
-    keys = keys_of(docs)
+    keys = routed(keys_of(docs), capacity)
     copies = compare_bytes(docs, index(keys, capacity))
-    out = keys.join(copies, ["hash", "sha"], "left")
+    out = keys.join(copies, ["bucket", "hash", "sha"], "left")
     alone = F.col("n").isNull()
     return out.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -113,8 +131,7 @@ def deduplicated(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Rows whose hash is unique pass where they are. The others meet their entry by a join, and
     one of the rows tied on the entry's id is kept.
     """
-    keys = keys_of(docs)
-    entries = index(keys, capacity)
+    entries = index(routed(keys_of(docs), capacity), capacity)
     copies = materialize(compare_bytes(docs, entries))
     hashes = _repeated(entries)
     wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), single_spaced(docs["text"]).alias("_t"))

@@ -1,16 +1,16 @@
 """SimHash near-duplicates through an inverted index on byte positions.
 
 A fingerprint has eight bytes. Two fingerprints that differ in at most four bits share at least
-four bytes at equal positions. A posting list of a single positional byte would hold a 256th of
-the corpus, so pairs are met through four positional bytes at once: each fingerprint is posted
-under all 70 choices of four positions, and every pair that reaches the guaranteed four matches
-meets in at least one list. Within a list, shared positional bytes are tallied per pair, pairs
-below four matches are dropped and the rest is verified by counting differing bits.
+four bytes at equal positions, the guaranteed minimum. A posting list of a single positional byte
+would hold a 256th of the corpus, so lists are kept for 20 choices of three positions, made so that
+any four positions hold one of them: every pair with four shared bytes meets, and so do pairs with
+three. Within a list the positional bytes that a pair shares are tallied, pairs below the minimum
+are dropped, and the rest is verified by counting differing bits.
 
 Copies share a fingerprint and are one entry. A list passes its links on as a spanning forest, not
 as all pairs. Lists above ``DENSE`` entries (many variants of one text) are never held by a task:
 two of their fingerprints are linked exactly if some value lies within two bits of each, so every
-entry is posted under the 529 such values of its 32 free bits and points to the smallest entry of
+entry is posted under the 821 such values of its 40 free bits and points to the smallest entry of
 each; this is exact and grows with the entries, not with their pairs.
 
 Python runs inside tasks only: hashing of shingles, and NumPy on postings sorted by key.
@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.llm.components import components
-from panelforge.session import materialize
+from panelforge.session import broadcast_checked, materialize
 
 # Executors receive these helpers by value, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,7 +41,14 @@ BITS = 4
 WORDS = 4
 SEED = 42
 DENSE = 1024
-CHOICES = tuple(itertools.combinations(range(8), 4))
+# Positions in three groups: three of a group, or two of a group and one of the next.
+GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+CHOICES = tuple(
+    [c for g in GROUPS for c in itertools.combinations(g, 3)]
+    + [(*two, one) for g, after in zip(GROUPS, GROUPS[1:] + GROUPS[:1]) for two in itertools.combinations(g, 2) for one in after]
+)
+# Values within two bits of an entry in the 40 bits that a list leaves free.
+NEAR = 1 + 40 + 40 * 39 // 2
 # Hashes tallied at a time, which bounds the memory of a very long text.
 TALLIED = 1 << 16
 
@@ -79,19 +86,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _posting(choice: int) -> Column:
-    """Number of the choice of positions, then the four bytes at them."""
+    """Number of the choice of positions, then the three bytes at them."""
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(0xFF)) for p in CHOICES[choice]]
-    key = F.lit(choice << 32).cast("long")
+    key = F.lit(choice << 24).cast("long")
     for i, b in enumerate(byte):
         key = key.bitwiseOR(F.shiftleft(b, 8 * i))
     return key
 
 
+def tallied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positional bytes that fingerprints share."""
+    return ((a ^ b)[..., None].view("u1") == 0).sum(-1)
+
+
 def _linked(fp: np.ndarray) -> np.ndarray:
-    """Boolean matrix: pairs with enough shared positional bytes and few enough differing bits."""
-    x = fp[:, None] ^ fp[None, :]
-    shared = (x[..., None].view("u1") == 0).sum(-1)
-    return (shared >= 8 - BITS) & (np.bitwise_count(x) <= BITS)
+    """Boolean matrix of links: pairs that reach the guaranteed shared bytes, then verified by bits."""
+    out = np.zeros((len(fp), len(fp)), bool)
+    i, j = np.nonzero(tallied(fp[:, None], fp[None, :]) >= 8 - BITS)
+    out[i, j] = np.bitwise_count(fp[i] ^ fp[j]) <= BITS
+    return out
 
 
 def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
@@ -119,8 +132,8 @@ def _read_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         cuts = np.flatnonzero(np.diff(key)) + 1
         begin, size = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(key)])))
         two = begin[size == 2]
-        x = fp[two] ^ fp[two + 1]
-        near = two[np.bitwise_count(x) <= BITS]
+        two = two[tallied(fp[two], fp[two + 1]) >= 8 - BITS]
+        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= BITS]
         yield rows(0, fp[near].view("<i8"), fp[near + 1].view("<i8"))
         for s, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
             if n > DENSE:
@@ -160,15 +173,17 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp, key = batch.column("fp").to_numpy(), batch.column("key").to_numpy()
         for s in range(0, len(fp), 256):
             part, keys = fp[s : s + 256], key[s : s + 256]
-            mids = np.concatenate([p.view("<u8") ^ masks[k >> 32] for p, k in zip(part.reshape(-1, 1), keys.tolist())])
+            mids = np.concatenate([p.view("<u8") ^ masks[k >> 24] for p, k in zip(part.reshape(-1, 1), keys.tolist())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(keys, 529)), pa.array(mids.view("<i8")), pa.array(np.repeat(part, 529))], names=["key", "mid", "fp"]
+                [pa.array(np.repeat(keys, NEAR)), pa.array(mids.view("<i8")), pa.array(np.repeat(part, NEAR))], names=["key", "mid", "fp"]
             )
 
 
 def links(entries: DataFrame) -> DataFrame:
     """Links (a, b) that connect all fingerprints within ``BITS`` bits; ``entries`` has distinct fp."""
-    postings = entries.select("fp", F.explode(F.array(*[_posting(i) for i in range(len(CHOICES))])).alias("key"))
+    # Entries may stand in a few small files; their postings are made by as many tasks as read them.
+    spread = entries.select("fp").repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    postings = spread.select("fp", F.explode(F.array(*[_posting(i) for i in range(len(CHOICES))])).alias("key"))
     sorted_ = postings.repartition("key").sortWithinPartitions("key").select("key", "fp")
     found = materialize(sorted_.mapInArrow(_read_postings, "kind int, a bigint, b bigint"))
     out = found.where("kind = 0").select("a", "b")
@@ -185,9 +200,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(fingerprints(docs))
     entries = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(entries.select("fp")))
-    placed = entries.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(placed.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp")
+    placed = materialize(entries.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    # Components of several fingerprints, counted before they are sent to every task.
+    ids = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    named = placed.join(broadcast_checked(materialize(ids.drop("members"))), "root", "left")
+    return rows.join(named.select("fp", F.coalesce("component_id", "first").alias("component_id")), "fp")
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm import exact, mixing, secrets, urls
 from tests.llm.data import SCHEMA, frame, rows
@@ -242,9 +243,24 @@ def test_exact_keeps_one_row_of_each_text(spark):
 
 def test_buckets_split_until_they_fit(spark):
     df = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id bigint, text string")
-    index = exact.index(exact.keys_of(df), capacity=16)
+    index = exact.index(exact.routed(exact.keys_of(df), 16), capacity=16)
     counts = index.groupBy("depth", "bucket").count().collect()
     assert max(r["count"] for r in counts) <= 16 and len({r.depth for r in counts}) > 1
     # Every hash lies in its bucket, and the buckets cover the key space without overlap.
     assert sum(1 / 2**r.depth for r in counts) <= 1
     assert all((h.hash % 2**64) >> (64 - h.depth) == h.bucket for h in index.collect() if h.depth)
+
+
+def test_copies_are_decided_in_the_buckets_of_the_directory(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i % 40}") for i in range(200)], "doc_id bigint, text string").repartition(4)
+    whole = {tuple(r) for r in exact.groups(df, capacity=8).collect()}
+    assert len(whole) == 200 and sum(r[3] for r in whole) == 40
+    keys = exact.routed(exact.keys_of(df), 8)
+    entries = exact.index(keys, 8)
+    assert entries.count() == 40 and {r.n for r in entries.collect()} == {5}
+    by_bucket = keys.groupBy("depth", "bucket").agg(F.countDistinct("hash").alias("hashes")).collect()
+    assert max(r.hashes for r in by_bucket) <= 8 and len(by_bucket) > 4
+    # A directory that lacks buckets loses their entries.
+    lost = exact.directory
+    monkeypatch.setattr(exact, "directory", lambda hashes, capacity: lost(hashes, capacity).where("bucket % 2 = 0"))
+    assert {tuple(r) for r in exact.groups(df, capacity=8).collect()} != whole

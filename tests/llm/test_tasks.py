@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from panelforge.llm import components, masked, packing, prefixes, rules, simhash, warc
@@ -123,6 +124,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert ids == sorted(r[0] for r, c in zip(data, root) if r[0] is not None and r[0] == low.get(c))
 
 
+def test_pairs_with_three_shared_bytes_meet_and_are_dropped_by_the_tally(spark):
+    assert len(simhash.CHOICES) == 20
+    for four in itertools.combinations(range(8), 4):
+        assert any(set(c) <= set(four) for c in simhash.CHOICES)
+    # Equal at the bytes 0, 1 and 2 only: in one list, below the minimum of the tally.
+    a, b = 0x0101010101_000000 | 0xABCDEF, 0x0202020202_000000 | 0xABCDEF
+    assert simhash.tallied(np.array([a], "u8"), np.array([b], "u8")).tolist() == [3]
+    df = spark.createDataFrame([(a,), (b,)], "fp bigint")
+    keys = df.select("fp", F.explode(F.array(*[simhash._posting(i) for i in range(20)])).alias("key"))
+    assert keys.groupBy("key").count().where("count = 2").count() == 1
+    near, apart = np.array([a, a ^ 0xF0_0000_0000_0000], "u8"), np.array([a, b], "u8")
+    assert simhash._linked(near)[0, 1] and not simhash._linked(apart)[0, 1]
+    assert simhash.tallied(near[:1], near[1:]).tolist() == [7] and simhash.links(df).count() == 0
+
+
 @pytest.mark.parametrize("dense", [simhash.DENSE, 16, 2])
 def test_links_in_lists_of_any_size(spark, monkeypatch, dense):
     """Random fingerprints, and clusters around centres so that posting lists get long."""
