@@ -105,7 +105,7 @@ def sql_text(tree, max_abs: float = scalar.MAX_ABS, known: Mapping[str, str] | N
     name, *operands = tree
     if name in TEMPORAL:
         return f"`{temporal_column(name, operands[0])}`"
-    template = (UNARY if len(operands) == 1 else BINARY).get(name)
+    template = {1: UNARY, 2: BINARY}.get(len(operands), {}).get(name)
     if template is None:
         raise ValueError(f"unknown operator {name!r} with {len(operands)} operands")
     return _clipped(template.format(*[f"({sql_text(o, max_abs, known)})" for o in operands]), max_abs)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from panelforge.functions.expressions import parse
+from panelforge.functions.expressions import BINARY, UNARY, parse
 from panelforge.functions.scalar import DIVISOR_FLOOR, MAX_ABS
 from panelforge.operators.correlation import _SCHEMA, _SUMS, correlations, products
 from panelforge.operators.daily import SCHEMA, STATISTICS, _ranks, column_statistics, named_statistics
@@ -108,10 +108,10 @@ def graph_of(expressions: Sequence[str]) -> Graph:
             node = ("", tree)
         elif tree[0] in TEMPORAL:
             node = ("", temporal_column(tree[0], tree[1]))
-        elif tree[0] in COLUMNWISE:
+        elif tree[0] in {2: UNARY, 3: BINARY}.get(len(tree), ()):
             node = (tree[0], tuple(number(t) for t in tree[1:]))
         else:
-            raise ValueError(f"unknown operator {tree[0]!r}")
+            raise ValueError(f"unknown operator {tree[0]!r} with {len(tree) - 1} operands")
         return known.setdefault(node, len(known))
 
     roots = [number(parse(text)) for text in expressions]

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from panelforge.functions.scalar import fixed, missing_if_nan
@@ -79,10 +79,15 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def require_unique(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    clash = duplicate_keys(df, keys).first()
-    if clash is not None:
-        raise ValueError(f"duplicate key {[clash[k] for k in keys]} ({clash['copies']} rows)")
-    return df
+    """``df`` with a guard in its plan: the job that reads it fails at the first repeated key.
+
+    Rows are counted per key behind an exchange and a sort by the keys, which a join or window on
+    the same keys takes over, so the guard costs neither a job nor a shuffle of its own.
+    """
+    copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    named = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys])
+    clash = F.raise_error(F.concat(F.lit("duplicate key "), named, F.lit(" ("), F.col("__copies").cast("string"), F.lit(" rows)")))
+    return df.withColumn("__copies", copies).where(F.when(F.col("__copies") > 1, clash).otherwise(F.lit(True))).drop("__copies")
 
 
 def with_forward_return(prices: DataFrame, price: str, horizon: int, out: str = "future_ret") -> DataFrame:
@@ -92,14 +97,9 @@ def with_forward_return(prices: DataFrame, price: str, horizon: int, out: str =
 
 
 def join_panel(features: DataFrame, prices: DataFrame, *, check: bool = True) -> DataFrame:
-    """Inner join on the panel key; repeated keys on either side are an error.
-
-    Both guards group by the join key, so the key is hash-partitioned the same way for
-    the guard and the join.
-    """
+    """Inner join on the panel key; repeated keys on either side fail the job that reads it."""
     if check:
-        require_unique(features)
-        require_unique(prices)
+        features, prices = require_unique(features), require_unique(prices)
     return features.join(prices, list(KEYS), "inner")
 
 

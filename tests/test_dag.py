@@ -65,8 +65,9 @@ def test_equal_parts_are_one_node():
     graph = dag.graph_of(['["add",["mul","a","b"],["neg",["mul","a","b"]]]', '["mul","a","b"]', '["mul","b","a"]', '["mean_5","a"]'])
     assert len(graph.nodes) == 7 and graph.columns() == ["a", "b", "mean_5__a"]
     assert all(all(o < n for o in node[1]) for n, node in enumerate(graph.nodes) if node[0])
-    with pytest.raises(ValueError):
-        dag.graph_of(['["pow","a","b"]'])
+    for wrong in ('["pow","a","b"]', '["min","a","b","c"]', '["neg","a","b"]'):
+        with pytest.raises(ValueError, match="unknown operator"):
+            dag.graph_of([wrong])
 
 
 def test_lots_cover_every_expression_once(monkeypatch):
