@@ -27,7 +27,9 @@ EDGES = (0.90, 0.95, 0.98, 0.99)
 DIGITS = 9
 LOOKBACK = 30
 UPDATE = 5
+# One year, where bounds are the feature; windows and walks take every date the tables have.
 START, END = "20000101", "20001231"
+WALK_START, WALK_END = "19000101", "20991231"
 FEATURES = ("px", "qty", "rev", "disc", "tax", "n_lines", "ret_share")
 CATEGORIES = (
     ("px", "price"), ("qty", "size"), ("rev", "size"), ("disc", "terms"),
@@ -261,7 +263,7 @@ def long_sql(source: str = "wide", keep: Sequence[str] = (), names: Sequence[str
     return "long AS (" + " UNION ALL ".join(parts) + ")"
 
 
-def hist_sql(lookback: int = LOOKBACK, update: int = UPDATE, start: str = START, end: str = END) -> str:
+def hist_sql(lookback: int = LOOKBACK, update: int = UPDATE, start: str = WALK_START, end: str = WALK_END) -> str:
     """CTEs ``blocks`` and ``hist`` (needs panel and cal)."""
     return f"""test AS (SELECT trade_date, position, position - min(position) OVER () AS i FROM cal
   WHERE trade_date BETWEEN '{start}' AND '{end}'),

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from panelforge.catalog.base import (
-    CALENDAR_SQL, DIRECTIONS, END, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, NAMES, PANEL_SQL, START, UPDATE, avg_rank_sql, factors_sql,
+    CALENDAR_SQL, DIRECTIONS, WALK_END, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, NAMES, PANEL_SQL, WALK_START, UPDATE, avg_rank_sql, factors_sql,
     hist_sql, labelled_panel, main_calendar, main_shape, register, rounded, with_sql,
 )
 from panelforge.catalog.evaluation import _SUM_COLS, MONTHLY_SQL, SUMMARY_SQL, YEAR_SQL, daily_of_pred_sql, rounded as nudged, rounds
@@ -21,7 +21,7 @@ from panelforge.sources import store
 
 # Leaves fit the tables' 8 to 1,000 names per date; rounds, rates, depths and patience are the operators' own.
 _BOOST = {**md.BOOST, "min_rows": 20}
-# The short walks of the statements below: one year, a refit every 20 dates, few rounds.
+# The short walks of the statements below: a refit every 20 dates, few rounds.
 _UPDATE = 20
 _SHORT_BOOST = {**_BOOST, "max_iter": 6, "step": 0.1}
 _RUNS: dict[tuple[str, str, str, bool], md.WalkForward] = {}
@@ -52,7 +52,7 @@ def _runs(boost, ranking):
 
 RUNS = _runs(_BOOST, {})
 SHORT_RUNS = {
-    name: dict(span=(START, END), update=_UPDATE, **settings)
+    name: dict(span=(WALK_START, WALK_END), update=_UPDATE, **settings)
     for name, settings in _runs(_SHORT_BOOST, dict(rounds=3, step=0.3, depth=2, l2=1.0)).items()
 }
 
@@ -237,7 +237,7 @@ def _log_sql(name, lookback):
 def refit_logs_read(spark, folder):
     """Refit logs of two walks written below one folder and found again with their paths."""
     calendar, path = main_calendar(spark, folder), f"{work_folder(spark)}/logs-{uuid.uuid4().hex}"
-    blocks = wf.rebalance_calendar(calendar, START, END, UPDATE)
+    blocks = wf.rebalance_calendar(calendar, WALK_START, WALK_END, UPDATE)
     for name, lookback in (("w30", 30), ("w60", 60)):
         spans = wf.history_windows(blocks, calendar, horizon=HORIZON, lookback=lookback).groupBy(F.col("rebalance_date").alias("date"))
         log = spans.agg(
@@ -277,7 +277,7 @@ GRID_SQL = " UNION ALL ".join(
 @register("model_grid", GRID_SQL)
 def model_grid(spark, folder):
     """Relational models, windows, half-lives and an ablation on one shared frame."""
-    common = dict(model="ic_vote", start=START, end=END, horizon=HORIZON, lookback=LOOKBACK, validation=5, update=5)
+    common = dict(model="ic_vote", start=WALK_START, end=WALK_END, horizon=HORIZON, lookback=LOOKBACK, validation=5, update=5)
     library = small_table(
         spark, name=list(NAMES), expression=list(LIBRARY.values()), category=["terms", "price", "terms", "size", "terms", "price"]
     )

@@ -94,7 +94,7 @@ def filter_split(spark, folder):
 
 
 _BLOCK_DATES = with_sql(
-    PANEL_SQL, CALENDAR_SQL, hist_sql(), select="SELECT entity, trade_date, px FROM panel WHERE trade_date IN (SELECT trade_date FROM blocks WHERE trade_date = rebalance_date)"
+    PANEL_SQL, CALENDAR_SQL, hist_sql(start=START, end=END), select="SELECT entity, trade_date, px FROM panel WHERE trade_date IN (SELECT trade_date FROM blocks WHERE trade_date = rebalance_date)"
 )
 
 
@@ -183,7 +183,7 @@ def join_panel_checked(spark, folder):
         f"comp AS (SELECT * FROM long WHERE value IS NOT NULL AND {LABEL} IS NOT NULL)",
         f"rk AS (SELECT factor, trade_date, {avg_rank_sql('value', 'factor, trade_date', pct=False)} AS x, {avg_rank_sql(LABEL, 'factor, trade_date', pct=False)} AS y FROM comp)",
         f"ic AS (SELECT factor, trade_date, {pearson_sql('x', 'y')} AS ic FROM rk GROUP BY 1, 2 HAVING count(*) >= {MIN_NAMES})",
-        hist_sql(),
+        hist_sql(start=START, end=END),
         select="SELECT h.rebalance_date, h.trade_date, CAST(h.age AS INTEGER) AS age, f.factor, round(ic.ic, 10) + 0e0 AS ic FROM hist h CROSS JOIN (SELECT DISTINCT factor FROM long) f LEFT JOIN ic ON ic.factor = f.factor AND ic.trade_date = h.trade_date",
     ),
 )
@@ -197,7 +197,7 @@ def join_ic_history(spark, folder):
     return wf.rolling_ic(ic, windows, factors).select("rebalance_date", "trade_date", "age", "factor", r("ic").alias("ic"))
 
 
-@register("join_block_history", with_sql(PANEL_SQL, CALENDAR_SQL, hist_sql(), select="SELECT rebalance_date, trade_date, CAST(age AS INTEGER) AS age FROM hist"))
+@register("join_block_history", with_sql(PANEL_SQL, CALENDAR_SQL, hist_sql(start=START, end=END), select="SELECT rebalance_date, trade_date, CAST(age AS INTEGER) AS age FROM hist"))
 def join_block_history(spark, folder):
     calendar = main_calendar(spark, folder)
     blocks = wf.rebalance_calendar(calendar, START, END, UPDATE)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelforge.catalog.base import (
-    CALENDAR_SQL, DIGITS, DIRECTIONS, END, HORIZON, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, MAIN_SQL, MIN_NAMES, NAMES,
-    PANEL_SQL, SERIES, START, UPDATE, avg_rank_sql, factors_sql, fixed_sql, hist_sql, labelled_panel, long_sql,
+    CALENDAR_SQL, DIGITS, DIRECTIONS, WALK_END, HORIZON, LABEL, LABELLED_SQL, LIBRARY, LOOKBACK, MAIN_SQL, MIN_NAMES, NAMES,
+    PANEL_SQL, SERIES, WALK_START, UPDATE, avg_rank_sql, factors_sql, fixed_sql, hist_sql, labelled_panel, long_sql,
     main_calendar, main_panel, main_shape, pearson_sql, prepared, r, register, rounded, with_sql,
 )
 from panelforge.catalog.quality import IC_SQL
@@ -23,11 +23,11 @@ CAP, TOP_FACTORS, HALF_LIFE = 0.25, 5, 5.0
 
 def windows(spark, folder):
     calendar = main_calendar(spark, folder)
-    blocks = wf.rebalance_calendar(calendar, START, END, UPDATE)
+    blocks = wf.rebalance_calendar(calendar, WALK_START, WALK_END, UPDATE)
     return blocks, wf.history_windows(blocks, calendar, horizon=HORIZON, lookback=LOOKBACK)
 
 
-def within_windows(spark, folder, frame, lookback=LOOKBACK, span=(START, END)):
+def within_windows(spark, folder, frame, lookback=LOOKBACK, span=(WALK_START, WALK_END)):
     """Drop dates no window needs; temporals were computed on full histories before."""
     return prune_dates(frame, main_calendar(spark, folder), *span, horizon=HORIZON, lookback=lookback)
 
@@ -46,7 +46,7 @@ def factor_values(spark, folder):
     )
 
 
-def ranked_frame(spark, folder, lookback=LOOKBACK, span=(START, END)):
+def ranked_frame(spark, folder, lookback=LOOKBACK, span=(WALK_START, WALK_END)):
     """Ranked, filled frame with labels over the dates the windows need, written once."""
     keep = [LABEL, "target_rank", "relevance", "is_target_topk"]
 
@@ -106,7 +106,7 @@ def rebalance_calendar(spark, folder):
 @register("history_windows", with_sql(PANEL_SQL, CALENDAR_SQL, hist_sql(lookback=60), select="SELECT rebalance_date, trade_date, CAST(age AS INTEGER) AS age FROM hist"))
 def history_windows(spark, folder):
     calendar = main_calendar(spark, folder)
-    blocks = wf.rebalance_calendar(calendar, START, END, UPDATE)
+    blocks = wf.rebalance_calendar(calendar, WALK_START, WALK_END, UPDATE)
     return wf.history_windows(blocks, calendar, horizon=HORIZON, lookback=60)
 
 
