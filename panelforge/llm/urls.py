@@ -22,9 +22,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from panelforge.session import broadcast_checked, materialize
+from panelforge.session import broadcast_checked, materialize, small_table
 
 # Separates host and path; sorts before every character of either.
 CUT = "\u0001"
@@ -49,7 +50,8 @@ def _key(host: Column, path: Column) -> Column:
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Rules given as (verdict, host, path)."""
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    verdict, host, path = (pa.array(x, pa.string()) for x in (zip(*rules) if rules else ((), (), ())))
+    return small_table(spark, verdict=verdict, host=host, path=path)
 
 
 def rule_stacks(rules: DataFrame) -> DataFrame:

@@ -41,6 +41,8 @@ ARCHIVE_BYTES = 1 << 28
 # Ranges at most this far apart are read together, up to so many bytes.
 GAP = 1 << 16
 READ_BYTES = 1 << 23
+# Archive bytes that one task reads.
+TASK_BYTES = 8 << 20
 DATE = "2000-01-01T00:00:00Z"
 # Fixed value: the profile of revisits with an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -152,7 +154,10 @@ def read(index: DataFrame, payload: bool = True) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked for, the
     payload (missing for revisits) of the selected index rows."""
     kind = index.schema["page_id"].dataType.simpleString()
-    order = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    selected = index.select("file", "offset", "length")
+    # The index is tiny beside the archives it stands for, so tasks are counted by the bytes they read.
+    tasks = max(1, -(-(selected.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    order = selected.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
