@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, folder), works on all rows its predecessor kept and returns the
 columns of ``docs``, except the last, which returns the packed pieces. Stages are written as
 tables to the shared folder, so a lost executor costs at most one stage's tasks.
+
+Defined results, in every stage: a missing text counts as empty; very long texts are read whole; rows
+repeated with their id are rows of their own until exact dedup, which keeps one of equal texts; rows
+without an id pass the near-duplicate stage; without labels, or with good ones only, the classifier
+keeps every document, with bad ones only none; columns beside those of documents, whatever their
+names, pass every stage but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
