@@ -58,11 +58,10 @@ def ranked_frame(spark, folder, lookback=LOOKBACK, span=(WALK_START, WALK_END)):
 
 
 def ic_history(spark, folder, min_ic_days=10):
-    from panelforge.operators.quality import daily_rank_ic
-
+    """ICs of the windows; the daily ICs are written once for every query that needs them."""
     _, history = windows(spark, folder)
-    long = ex.to_long(factor_values(spark, folder), NAMES, [LABEL])
-    ic = daily_rank_ic(long, LABEL, min_names=MIN_NAMES, widest=main_shape(spark, folder).widest)
+    build = lambda: wf.label_ics(factor_values(spark, folder), NAMES, LABEL, min_names=MIN_NAMES, widest=main_shape(spark, folder).widest)
+    ic = prepared(spark, folder, "label_ics", build)
     return wf.rolling_ic(ic, history, small_table(spark, factor=list(NAMES)), min_ic_days=min_ic_days)
 
 

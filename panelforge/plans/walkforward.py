@@ -16,7 +16,7 @@ from panelforge.functions.scalar import floor_bin, half_life_weight, signal, sig
 from panelforge.operators.aggregates import information_ratio, pearson, share, weighted_mean
 from panelforge.operators.calendar import PanelShape
 from panelforge.operators.daily import daily_score_quality
-from panelforge.operators.quality import daily_rank_ic
+from panelforge.operators.quality import factor_ics as quality_ics
 from panelforge.operators.ranks import average_rank, average_ranks
 from panelforge.session import broadcast_checked, broadcast_within, small_table
 
@@ -424,4 +424,11 @@ def factor_ics(
 ) -> DataFrame:
     """Daily rank IC of every factor, computed once for all windows."""
     wide = evaluate_expressions(panel, expressions, keep=[label], digits=digits)
-    return daily_rank_ic(to_long(wide, list(expressions), [label]), label, min_names=min_names, widest=widest)
+    return label_ics(wide, list(expressions), label, min_names=min_names, widest=widest)
+
+
+def label_ics(wide: DataFrame, names: Sequence[str], label: str, *, min_names: int, widest: int | None = None) -> DataFrame:
+    """(factor, trade_date, names, ic) against a raw label: all factors of a date are ranked together,
+    after one exchange and without a row per factor."""
+    rows = wide.select("entity", "trade_date", *names, F.col(label).alias("target_rank"), F.lit(0).alias("relevance"))
+    return quality_ics(rows, names, complete=True, min_names=min_names, widest=widest)
