@@ -237,6 +237,29 @@ def test_trees_do_not_depend_on_partitions(spark, frame):
     assert any(r[3] >= 0 for r in one)
 
 
+@pytest.mark.parametrize("model", ["regression", "classifier", "lambdarank"])
+def test_windows_in_tasks_grow_the_lockstep_trees(spark, frame, monkeypatch, model):
+    """Equal trees, records and scores from both forms; the first needs no job per level of a tree."""
+    ranker = dict(rounds=9, bins=12, min_rows=6, step=0.3, l2=1.0, row_share=0.7, feature_share=0.67, patience=3)
+    options = ranker if model == "lambdarank" else dict(settings={**BASE, "row_share": 0.7, "feature_share": 0.67}, patience=3)
+
+    def found():
+        result = walk(frame, model, options, 5.0)
+        trees = result.models.table.select("rebalance_date", "tree", "node", "feature", "cut", "value", "gain", "rows").collect()
+        # Shares of gain and errors of the constant are sums in any order.
+        records = [{**r, "top_features": {f: round(x, 9) for f, x in r["top_features"].items()}, "validation_baseline_mae": None} for r in result.records]
+        return sorted(map(tuple, trees)), records, sorted(map(tuple, result.predictions.collect()))
+
+    def never(*args, **changes):
+        raise AssertionError("a job per level")
+
+    with monkeypatch.context() as m:
+        m.setattr(ls.Grower, "collect", never)
+        one = found()
+    monkeypatch.setattr(ls, "WINDOW_ROWS", 0)
+    assert found() == one
+
+
 def test_first_generation_ranker(spark, frame):
     """Decile relevance, two candidates, quality over the whole list, windows that need not be full."""
     from panelforge.plans.lambdarank import DECILE_GAINS
