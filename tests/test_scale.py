@@ -213,3 +213,19 @@ def test_factor_columns_agree_with_the_long_form(spark, kind):
     assert len(near) == len(far) == 4
     for x, y in zip(near, far):
         assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:])
+
+
+def test_columns_of_a_date_are_ranked_in_one_pass(spark, monkeypatch):
+    """No sort of whole rows per column; ties, missing values and NaN as in the windows."""
+    from panelforge.operators import ranks
+
+    rng, some = random.Random(4), [None, float("nan"), -0.0, 0.0, 1.0, 2.5]
+    rows = [(f"e{i:03d}", f"2024010{i % 3}", *[rng.choice(some) if rng.random() < 0.5 else rng.random() for _ in range(3)]) for i in range(240)]
+    rows += [("alone", "20240109", None, None, 1.0)]
+    df = spark.createDataFrame(rows, "entity string, trade_date string, a double, b double, c double")
+    made = lambda pct: ranks.average_ranks(df, ["trade_date"], {n: f"r_{n}" for n in "abc"}, pct=pct)
+    plan = made(True)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort [") == 1
+    here = [sorted(map(repr, made(pct).collect())) for pct in (True, False)]
+    monkeypatch.setattr(ranks, "GROUP_CELLS", 0)
+    assert [sorted(map(repr, made(pct).collect())) for pct in (True, False)] == here
