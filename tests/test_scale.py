@@ -229,3 +229,22 @@ def test_columns_of_a_date_are_ranked_in_one_pass(spark, monkeypatch):
     here = [sorted(map(repr, made(pct).collect())) for pct in (True, False)]
     monkeypatch.setattr(ranks, "GROUP_CELLS", 0)
     assert [sorted(map(repr, made(pct).collect())) for pct in (True, False)] == here
+
+
+def test_panel_groups_are_kept_as_numbers(spark, tmp_path):
+    """A scan task's groups hold no text and no decimals of 28 digits; sums stay exact."""
+    from decimal import Decimal
+
+    from panelforge.sources import panel
+
+    rng = random.Random(5)
+    lines = [(s, 10 * s, float(rng.randint(1, 50)), rng.randint(1, 10**9) / 100, rng.randint(0, 10) / 100, rng.randint(0, 8) / 100, "RNA"[s % 3]) for s in (1, 2, 3) for _ in range(200)]
+    df = spark.createDataFrame(lines, "l_suppkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string")
+    df.selectExpr("*", "timestamp'2024-01-31 12:00:00' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    week, month = panel.supplier_week(spark, str(tmp_path)), panel.supplier_month(spark, str(tmp_path))
+    partial = [x for x in week._jdf.queryExecution().executedPlan().toString().splitlines() if "partial_sum" in x]
+    assert partial and all("keys=[l_suppkey#" in x and "as bigint)" in x for x in partial)
+    for found, date in ((week, "20240129"), (month, "20240101")):
+        for r in found.collect():
+            own = [x for x in lines if str(x[0]) == r.entity]
+            assert r.trade_date == date and r.rev == float(sum(Decimal(str(x[3])) for x in own)) and r.qty == sum(x[2] for x in own) and r.n_lines == 200
