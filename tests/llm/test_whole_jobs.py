@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from panelforge.llm import mixing, secrets
+from panelforge.llm import masked, mixing, secrets
 from tests.llm.data import frame
 
 
@@ -74,3 +74,24 @@ def test_long_candidates_in_a_fresh_session():
 
     found = subprocess.run([sys.executable, "-c", LONG_CANDIDATES], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parents[2])
     assert found.stdout.strip().endswith("whole"), found.stderr[-2000:]
+
+
+def test_every_position_is_a_training_target_once(spark, monkeypatch):
+    """Also in texts whose words repeat at the stride of the masks."""
+    import numpy as np
+
+    texts = [list(range(7 * i, 7 * i + n)) for i, n in enumerate((1, 2, 3, 8, 9, 24, 40, 5))]
+    rows = spark.createDataFrame([(bytes(np.array(t, "<u2").tobytes()),) for t in texts], "slots binary").coalesce(1)
+    vocabulary = masked.Vocabulary(np.zeros(masked.SLOTS, "i8"))
+    vocabulary.classes = (np.arange(masked.SLOTS) % masked.CLASSES).astype("i4")
+    # In place of a gradient step the bias moves by the counts of the targets.
+    met = np.zeros(masked.CLASSES)
+
+    def step(self, context, target, rate):
+        self.bias += np.bincount(target, minlength=masked.CLASSES).astype("f4")
+
+    monkeypatch.setattr(masked.Network, "step", step)
+    network = masked.Network(vocabulary)
+    for turn in range(masked.ROUNDS):
+        met += (masked.train_round(rows, vocabulary, network, turn, masked.ROUNDS, 1.0) - network.flat())[-masked.CLASSES :]
+    assert met.round().astype(int).tolist() == np.bincount(sum(texts, []), minlength=masked.CLASSES).tolist()
