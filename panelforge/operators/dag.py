@@ -92,11 +92,15 @@ class Graph:
                 for n in nodes:
                     kind, operands = self.nodes[n]
                     if kind:
-                        made[n] = np.clip(COLUMNWISE[kind](*[made[o] for o in operands]), -MAX_ABS, MAX_ABS)
+                        found = COLUMNWISE[kind](*[made[o] for o in operands])
+                        made[n] = np.clip(found, -MAX_ABS, MAX_ABS, out=found)
                     else:
-                        made[n] = table.column(operands).to_numpy(zero_copy_only=False).astype("f8")
-            values = np.stack([made[r] for r in self.roots[first:last]], 1)
-            yield first, values if digits is None else rounded(values, digits)
+                        made[n] = table.column(operands).to_numpy().astype("f8", copy=False)
+            # One expression after the other in memory: whoever reads columns reads them in a row.
+            values = np.empty((last - first, table.num_rows))
+            for row, root in zip(values, self.roots[first:last]):
+                row[:] = made[root] if digits is None else rounded(made[root], digits)
+            yield first, values.T
 
 
 def graph_of(expressions: Sequence[str]) -> Graph:
@@ -121,7 +125,14 @@ def graph_of(expressions: Sequence[str]) -> Graph:
 def rounded(values: np.ndarray, digits: int) -> np.ndarray:
     """Half away from zero, as SQL rounds."""
     scale = 10.0**digits
-    return np.copysign(np.floor(np.abs(values) * scale + 0.5) / scale, values) + 0.0
+    out = np.abs(values)
+    out *= scale
+    out += 0.5
+    np.floor(out, out=out)
+    out /= scale
+    np.copysign(out, values, out=out)
+    out += 0.0
+    return out
 
 
 def _doubles(rows: DataFrame, names: Sequence[str]) -> list:

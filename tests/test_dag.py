@@ -112,3 +112,35 @@ def test_search_finds_the_same_library_in_both_forms(spark, panel, monkeypatch,
     monkeypatch.setattr(sr, "fits", lambda *a: False)
     columns = [tuple(r[c] for c in kept) + (round(r.score, 7),) for r in sr.search_factors(panel, FEATURES, options).collect()]
     assert graph == columns and graph
+
+
+def test_series_operators_in_tasks_equal_the_windows(spark, panel):
+    """Gaps, single rows, constant runs, huge values and batches that cut series."""
+    from panelforge.operators.series import TEMPORAL as ALL, temporals_by_series, with_temporals
+
+    rows = panel.select("entity", "trade_date", "a", F.when(F.hash("entity") % 3 == 0, 1e9 / 3).otherwise(F.col("b")).alias("b"))
+    rows = rows.unionByName(spark.createDataFrame([("alone", "20240101", 1.0, None), (None, "20240101", 2.0, 1.0), (None, "20240102", 3.0, 2.0)], "entity string, trade_date string, a double, b double"))
+    pairs = [(op, f) for op in ALL for f in ("a", "b")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = sorted(map(repr, temporals_by_series(rows, pairs).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(map(repr, with_temporals(rows, pairs).collect()))
+
+
+def test_only_sampled_entities_take_part_in_the_windows(spark, panel):
+    flagged = panel.withColumn("in_search", F.col("entity").isin("e01", "e07") & (F.col("trade_date") > "20240210"))
+    kept = sr.sampled_histories(flagged)
+    assert kept.count() == 120 and {r.entity for r in kept.select("entity").distinct().collect()} == {"e01", "e07"}
+
+
+def test_leading_rows_equal_those_of_a_stable_sort():
+    import numpy as np
+
+    from panelforge.operators import daily
+
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 30, 300):
+        for x in (rng.normal(size=n), np.round(rng.normal(size=n)), np.where(rng.random(n) < 0.9, np.nan, rng.normal(size=n))):
+            assert daily._leading(x, 10).tolist() == np.argsort(x, kind="stable")[:10].tolist()
