@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 
 from panelforge.catalog import base
 from panelforge.catalog.base import (
-    CALENDAR_SQL, CATEGORIES, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, MIN_NAMES, ORACLE, PANEL_SQL, avg_rank_sql, labelled_panel,
-    main_calendar, main_panel, main_shape, ordinal_sql, pearson_sql, r, register, with_sql,
+    CALENDAR_SQL, CATEGORIES, EDGES, HORIZON, K, LABEL, LABELLED_SQL, LIBRARY, MIN_NAMES, ORACLE, PANEL_SQL, avg_rank_sql, labelled_panel,
+    main_calendar, main_panel, main_shape, ordinal_sql, pearson_sql, prepared, r, register, with_sql,
 )
 from panelforge.catalog.expressions import CATEGORIES_SQL, EXPRESSIONS_SQL, LEAVES_SQL, categories, expression_table
 from panelforge.functions import expressions as ex
 from panelforge.operators import evaluate as ev
+from panelforge.operators.labels import add_labels
 from panelforge.plans import experiments as xp
 from panelforge.session import work_folder
 from panelforge.sources import panel as sources, store
 
 
 def predictions(spark, folder, score="disc"):
-    """Whole labelled panel with a column used as the score (many ties, some missing)."""
-    return labelled_panel(spark, folder).withColumn("score", F.col(score)).select(
-        "entity", "trade_date", "score", LABEL, "target_rank", "relevance", "is_target_topk"
-    )
+    """Whole labelled panel with a column used as the score (many ties, some missing).
+
+    Written once per score with the columns of a prediction only.
+    """
+    def build():
+        panel = main_panel(spark, folder, [score]).select("entity", "trade_date", F.col(score).alias("score"), LABEL)
+        return add_labels(panel, LABEL, K, EDGES, position=False, widest=main_shape(spark, folder, [score]).widest)
+
+    return prepared(spark, folder, f"predictions {score}", build)
 
 
 def pred_sql(score="disc"):
@@ -84,7 +90,7 @@ def scored(spark, folder, score="disc"):
 
 
 def daily(spark, folder, score="disc"):
-    return ev.daily_table(scored(spark, folder, score), LABEL, K, widest=main_shape(spark, folder).widest)
+    return ev.daily_table(scored(spark, folder, score), LABEL, K, widest=main_shape(spark, folder, [score]).widest)
 
 
 @register("topk_selection", with_sql(pred_sql(), select=f"SELECT entity, trade_date, score, CAST(p AS BIGINT) AS pred_position FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, entity) AS p FROM pred) WHERE p <= {K}"))

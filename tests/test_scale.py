@@ -248,3 +248,21 @@ def test_panel_groups_are_kept_as_numbers(spark, tmp_path):
         for r in found.collect():
             own = [x for x in lines if str(x[0]) == r.entity]
             assert r.trade_date == date and r.rev == float(sum(Decimal(str(x[3])) for x in own)) and r.qty == sum(x[2] for x in own) and r.n_lines == 200
+
+
+def test_panel_and_forward_return_take_one_exchange(spark, tmp_path, monkeypatch):
+    """Sums and series share the exchange by entity, which carries combined lines; the same rows as before."""
+    from panelforge.functions.scalar import fixed
+    from panelforge.sources import panel
+
+    rng = random.Random(6)
+    lines = [(s, float(rng.randint(1, 50)), rng.randint(1, 10**9) / 100, rng.randint(0, 10) / 100, None if rng.random() < 0.02 else rng.randint(0, 8) / 100, "RNA"[rng.randrange(3)], 7 * rng.randrange(30)) for s in (None, 1, 2, 3) for _ in range(300)]
+    df = spark.createDataFrame(lines, "l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, d int")
+    df.selectExpr("*", "timestamp'2024-01-31 12:00:00' + make_interval(0, 0, 0, d) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = panel.with_forward_return(panel.supplier_week(spark, str(tmp_path)), "px", 5, "ahead").withColumn("ahead", fixed(F.col("ahead"), 6))
+    for combined in (1, 70, 10**6):
+        monkeypatch.setattr(panel, "COMBINED", combined)
+        got = panel.supplier_week_ahead(spark, str(tmp_path), 5, "ahead")
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    shuffles = lambda x: x.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(got) == 1 and shuffles(want) == 2
