@@ -266,3 +266,18 @@ def test_panel_and_forward_return_take_one_exchange(spark, tmp_path, monkeypatch
         assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     shuffles = lambda x: x.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert shuffles(got) == 1 and shuffles(want) == 2
+
+
+def test_evaluation_writes_the_columns_it_needs(spark, monkeypatch):
+    """Panel and predictions hold keys, score and labels; other columns only if the whole panel is there."""
+    from panelforge.catalog import base, evaluation
+
+    monkeypatch.setattr(base, "_PREPARED", {})
+    monkeypatch.setattr(base, "_SHAPES", {})
+    folder = "/root/testdata/sf0.001"
+    narrow = sorted(map(repr, evaluation.predictions(spark, folder).collect()))
+    made = {key[-1]: spark.read.parquet(path).columns for key, path in base._PREPARED.items()}
+    assert made["panel disc"] == ["entity", "trade_date", "disc", "future_ret"] and len(made) == 2
+    base._PREPARED.clear()
+    assert len(base.main_panel(spark, folder).columns) == 10
+    assert sorted(map(repr, evaluation.predictions(spark, folder).collect())) == narrow and len(base._PREPARED) == 2
