@@ -56,10 +56,11 @@ def load_panel_labelled(spark, folder):
     from panelforge.session import work_folder
 
     path = f"{work_folder(spark)}/panel-{uuid.uuid4().hex}"
-    sources.build_or_reuse(spark, path, lambda: main_panel(spark, folder))
+    # Straight from the lines: the prepared panel is the only table written.
+    priced = lambda: sources.with_forward_return(sources.supplier_week(spark, folder), "px", HORIZON, LABEL).withColumn(LABEL, fixed(F.col(LABEL), 6))
+    sources.build_or_reuse(spark, path, priced)
     df = sources.load_panel(spark, path, START, END, ["px", LABEL, "px"])
-    widest = main_shape(spark, folder).widest
-    labelled = add_labels(df, LABEL, K, position=False, widest=widest)
+    labelled = add_labels(df, LABEL, K, position=False)
     return labelled.select("entity", "trade_date", "px", "target_rank", "relevance", "is_target_topk")
 
 
