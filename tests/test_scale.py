@@ -11,7 +11,7 @@ from panelforge.functions import expressions as ex
 from panelforge.operators import daily as dl, labels
 from panelforge.operators import quality as q
 from panelforge.operators.calendar import PanelShape
-from panelforge.operators.ranks import average_rank, ordinal_rank
+from panelforge.operators.ranks import average_rank, ordinal_rank, ranks_among
 from panelforge.plans import search as sr
 
 
@@ -47,6 +47,17 @@ def test_average_rank_sliced(spark, skewed, small_groups, pct):
     pd.testing.assert_series_equal(got.reset_index(drop=True), expected.reset_index(drop=True), check_names=False)
 
 
+@pytest.mark.parametrize("pct", [True, False])
+def test_ranks_of_few_rows_among_all(spark, skewed, pct):
+    """Ties inside and outside the few, missing values, a date of which no row is taken."""
+    df, pdf = skewed
+    few = df.where("trade_date <> '20240104' AND (entity LIKE '%7' OR x IS NULL OR x = 1.5)")
+    expected = pdf.set_index("entity").groupby("trade_date")["x"].rank(pct=pct).sort_index()
+    got = as_series(ranks_among(few, df, ["trade_date"], "x", "r", pct=pct))
+    assert 700 < len(got) < len(expected) and got.isna().any()
+    pd.testing.assert_series_equal(got, expected[got.index], check_names=False, check_exact=True)
+
+
 @pytest.mark.parametrize("descending", [True, False])
 def test_ordinal_rank_sliced(spark, skewed, small_groups, descending):
     df, pdf = skewed

@@ -47,3 +47,23 @@ def test_registered_search_uses_the_default_effort(spark, monkeypatch):
         assert getattr(options, name) == getattr(own, name), name
     assert set(options.temporal) == {"delta_5", "slope_5", "mean_5", "std_20", "zscore_20", "ts_rank_20"}
     assert features == base.FEATURES
+
+
+@pytest.mark.parametrize("name, label", [("score_population_sampled", None), ("score_population_phase_ic", "future_ret")])
+def test_sampled_populations_write_the_series_they_sample(spark, monkeypatch, name, label):
+    """Of the whole panel they write keys and label, all columns for the sampled entities only."""
+    monkeypatch.setattr(base, "_PREPARED", {})
+    monkeypatch.setattr(base, "_SHAPES", {})
+    base.QUERIES[name](spark, FOLDER).collect()
+    tables = {key[2]: spark.read.parquet(path) for key, path in base._PREPARED.items()}
+    assert sorted(tables) == ["panel ", f"sampled 20 7 40 {label}"]
+    whole, sampled = tables["panel "], tables[f"sampled 20 7 40 {label}"]
+    assert whole.columns == ["entity", "trade_date", base.LABEL]
+    # Their rows equal those of the panel with all labels and the mask, in full.
+    full = sr.search_mask(base.labelled_panel(spark, FOLDER), 20, 7, months=40, label=label).localCheckpoint()
+    histories = sr.sampled_histories(full)
+    keys = ["entity", "trade_date", "in_search", *base.FEATURES, base.LABEL]
+    assert sampled.select(keys).exceptAll(histories.select(keys)).count() == 0 and sampled.count() == histories.count()
+    kept = [*keys, "target_rank", "relevance"]
+    taken = sampled.where("in_search").select(kept)
+    assert taken.count() > 0 and taken.exceptAll(full.where("in_search").select(kept)).count() == 0
