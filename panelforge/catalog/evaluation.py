@@ -16,7 +16,7 @@ from panelforge.functions import expressions as ex
 from panelforge.operators import evaluate as ev
 from panelforge.operators.labels import add_labels
 from panelforge.plans import experiments as xp
-from panelforge.session import work_folder
+from panelforge.session import materialize, work_folder
 from panelforge.sources import panel as sources, store
 
 
@@ -327,7 +327,8 @@ def _summary_sql(name, cond):
     ),
 )
 def validation_test_gap(spark, folder):
-    table = daily(spark, folder)
+    panel = main_panel(spark, folder, ["disc"]).withColumnRenamed("disc", "score")
+    table = materialize(ev.daily_top_table(panel, LABEL, K, EDGES))  # one row per date, read four times
 
     def summary(condition):
         part = table.where(condition)

@@ -292,3 +292,25 @@ def test_evaluation_writes_the_columns_it_needs(spark, monkeypatch):
     base._PREPARED.clear()
     assert len(base.main_panel(spark, folder).columns) == 10
     assert sorted(map(repr, evaluation.predictions(spark, folder).collect())) == narrow and len(base._PREPARED) == 2
+
+
+def test_gap_of_selected_rows_moves_no_others(spark, monkeypatch):
+    """Equal to the daily table of all labelled rows; of the panel nothing is dealt by date or written beside it."""
+    from panelforge.catalog import base, evaluation
+    from panelforge.operators import evaluate as ev
+
+    monkeypatch.setattr(base, "_PREPARED", {})
+    monkeypatch.setattr(base, "_SHAPES", {})
+    folder = "/root/testdata/sf0.001"
+    gap = base.QUERIES["validation_test_gap"](spark, folder).collect()
+    assert len(gap) == 5 and [key[-1] for key in base._PREPARED] == ["panel disc"]
+    rng = random.Random(3)
+    value = lambda digits: None if rng.random() < 0.15 else round(rng.gauss(0, 1), digits)
+    rows = [(f"e{e}", f"202401{d:02d}", value(0), value(1)) for d in range(1, 9) for e in range(rng.choice((3, 40, 200)))]
+    pred = spark.createDataFrame([*rows, ("e1", "20240109", 1.0, None)], "entity string, trade_date string, score double, y double").repartition(5)
+    names = ["trade_date", "topk_return", "universe_return", "topk_excess", "topk_mean_percentile", "precision", "ndcg", "turnover", "month", "year"]
+    want = ev.daily_table(ev.scored_rows(labels.add_labels(pred, "y", 10, base.EDGES, widest=200), "y"), "y", 10, widest=200)
+    got = ev.daily_top_table(pred, "y", 10, base.EDGES)
+    a, b = (x.select(names).orderBy("trade_date").toPandas() for x in (got, want))
+    assert len(a) == 8 and a["ndcg"].notna().any()
+    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12, atol=1e-12)
