@@ -95,3 +95,27 @@ def test_every_position_is_a_training_target_once(spark, monkeypatch):
     for turn in range(masked.ROUNDS):
         met += (masked.train_round(rows, vocabulary, network, turn, masked.ROUNDS, 1.0) - network.flat())[-masked.CLASSES :]
     assert met.round().astype(int).tolist() == np.bincount(sum(texts, []), minlength=masked.CLASSES).tolist()
+
+
+def test_words_of_one_slot_are_counted_apart(spark, monkeypatch):
+    """Also across segments, and so that the words of the corpus share their slot's probability."""
+    import math
+    import zlib
+    from itertools import count
+
+    import numpy as np
+
+    slot = zlib.crc32(b"alpha") % masked.SLOTS
+    twin = next(w for w in (f"w{i}" for i in count()) if zlib.crc32(w.encode()) % masked.SLOTS == slot)
+    data = [(i, "alpha one", None, None, 0) for i in range(30)] + [(30 + i, f"{twin} one", None, None, 0) for i in range(10)] + [(40, None, None, None, 0)]
+    for size in (masked.SEGMENT, 7):
+        monkeypatch.setattr(masked, "SEGMENT", size)
+        monkeypatch.setattr(masked, "COUNTED", size)
+        got = {r.doc_id: r for r in masked.scored(frame(spark, data), by_word=True).collect()}
+        assert len(got) == 41 and got[40].n_tokens == 0 and got[40].log_likelihood == 0
+        # The two texts differ by words of one slot, so by nothing but the words' counts.
+        assert abs(got[0].log_likelihood - got[30].log_likelihood - math.log(3)) < 1e-3, size
+        rows = masked.materialize(masked.tokens(frame(spark, data)))
+        words = {p for r in masked.word_counts(rows).collect() for p in zip(np.frombuffer(r.slots, "<u2").tolist(), np.frombuffer(r.n, "<i8").tolist())}
+        assert sorted(n for s, n in words if s == slot) == [10, 30]
+        assert rows.select("segment").distinct().count() > (3 if size == 7 else 0)
