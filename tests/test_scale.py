@@ -314,3 +314,22 @@ def test_gap_of_selected_rows_moves_no_others(spark, monkeypatch):
     a, b = (x.select(names).orderBy("trade_date").toPandas() for x in (got, want))
     assert len(a) == 8 and a["ndcg"].notna().any()
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12, atol=1e-12)
+
+
+def test_sweep_deals_a_date_once_whatever_the_combinations(spark, monkeypatch):
+    """No row per combination is made for dates that fit a task, however many cells their scores have."""
+    from panelforge.catalog import base, walk
+    from panelforge.operators import daily, ranks
+
+    folder, seen = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(walk.wf, "VECTOR_CELLS", 0, raising=False)
+    monkeypatch.setattr(walk.wf, "average_rank", lambda df, *a, **k: seen.append(a) or ranks.average_rank(df, *a, **k))
+    one = {tuple(r) for r in base.QUERIES["parameter_sweep"](spark, folder).collect()}
+    assert len(one) == 48 and not seen
+    # Dates beyond the group limit keep rows per combination and give the same.
+    spark.conf.set("spark.panelforge.maxGroupRows", "3")
+    try:
+        two = {tuple(r) for r in base.QUERIES["parameter_sweep"](spark, folder).collect()}
+    finally:
+        spark.conf.unset("spark.panelforge.maxGroupRows")
+    assert seen and one == two
