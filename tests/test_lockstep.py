@@ -302,3 +302,27 @@ def test_dates_are_never_cut():
     assert [x for t in found for x in t] == [3, 3, 3, 1, 1, 1, 2, 2, 5, 7]
     for position in (1, 2, 3, 5, 7):
         assert sum(position in t for t in found) == 1
+
+
+def test_windows_count_two_features_together_and_the_smaller_side_only(monkeypatch):
+    """A round counts each row once per pair of features, and below a split at most half of the rows again."""
+    rng, rows, rounds, depth = np.random.default_rng(3), 24_000, 4, 3
+    position = np.repeat(np.arange(12), rows // 12)
+    y, hashes = (rng.random(rows) > 0.7).astype("f8"), rng.integers(0, 2**63, rows).astype("u8")
+    for features, weight in ((6, 50.0), (5, 1.0)):
+        bins = rng.integers(0, 63, (features, rows)).astype("u1")
+        bins[1] = bins[0] // 2
+        objective = ls.Objective("classifier" if weight > 1 else "regression", "y", 10.0, weight)
+        growth = ls.Growth(bins=63, step=0.1, row_share=0.8, feature_share=0.8, l2=1.0)
+        found = []
+        for joint in (0, 10**6):
+            counted, plain = [0], np.bincount
+            with monkeypatch.context() as m:
+                m.setattr(ls, "JOINT", joint)
+                m.setattr(ls.np, "bincount", lambda x, *a, **k: counted.__setitem__(0, counted[0] + len(x)) or plain(x, *a, **k))
+                chosen, trees = ls.Refit(position, y, hashes, bins, objective, growth).boost(9, 11, [ls.Candidate(depth, 20, leaves=7)], rounds, 15)
+            # Rounds of the older dates (9 of 12) and of the whole window; three sums, 0.8 of the rows drawn.
+            grown, groups = rows * (rounds * 9 / 12 + chosen["trees"]), -(-features // 2) if joint == 0 else features
+            assert counted[0] <= 1.02 * 0.8 * grown * 3 * groups * (1 + (depth - 1) / 2)
+            found.append((chosen, [[getattr(t, c).tolist() for c in ("feature", "cut", "value", "gain", "rows")] for t in trees]))
+        assert found[0] == found[1] and any(f >= 0 for t in found[0][1] for f in t[0][0])
